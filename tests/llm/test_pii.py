@@ -1,0 +1,73 @@
+import hashlib
+import re
+
+from residua.llm import pii
+from residua.llm.queries import op7_pii_disclosure
+
+
+def slow_luhn(d):
+    total = 0
+    for k, c in enumerate(reversed(d)):
+        x = int(c) * (1 + k % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def slow_base(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and slow_luhn(d)]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.findall("[0-9]", m[0])) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.BASE_KINDS.index(s[0])))
+
+
+def listed(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+TRICKY = [
+    "a@b@c.de x.y@z x@y.z. a..b@c-d.e.f, <q@w.e> ++1@2.3",
+    "1.2.3.4.5.6.7.8 300.1.2.3.4 1..2.3.4.5 001.02.3.0255 .9.8.7.6. 1.2.3 0000000256.1.1.1",
+    "4111 1111 1111 1111 4111-1111-1111-1111 4111  1111 1111 1111 4111111111111111 1234567890123456789012",
+    "+1 (555) 123-4567 +12345678 ++49 (0) 30.123456 +1(2 +1 234 567 8901 2345 678",
+    "é漢🙂 a.b@mail.example.com é 10.0.0.1",
+]
+
+
+def test_forms():
+    for t in TRICKY:
+        assert pii.base_spans(t) == slow_base(t), t
+
+
+def test_query(spark, sf):
+    docs = dict(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
+    rows = op7_pii_disclosure(spark, sf).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = slow_base(docs[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.BASE_KINDS]
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(","))
+
+
+def test_terms_that_disclose(spark):
+    """One word comes only with an entity, and is removed wherever it is; common ones stay."""
+    texts = [f"plain words number{k} about nothing much, with the usual letters" for k in range(40)]
+    texts += [f"the usual Zorblatt wrote from ann{'.'}lee@mail.example.com about letters and item{k}" for k in range(5)]
+    texts += ["the Zorblatt again, é zorblatt", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in pii.find_personal_data(docs).select("doc_id", pii.listing("spans").alias("s")).collect()}
+    assert rows[0].s == "" and rows[46].s == "" and rows[47].s == ""
+    assert rows[40].s.startswith("remove:10:18,") or rows[40].s.startswith("generalise:10:18,")
+    assert [x.split(":")[1:] for x in rows[45].s.split(",")] == [["4", "12"], ["22", "30"]]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[0] == texts[0] and "[EMAIL]" in clean[41] and "Zorblatt" not in clean[41] and clean[46] == ""
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    rows = pii.find_personal_data(odd_docs).collect()
+    got = sorted(((r.doc_id, listed((x.kind, x.s, x.e) for x in r.base)) for r in rows), key=repr)
+    assert got == sorted(((r.doc_id, listed(slow_base(r.text or ""))) for r in odd_docs.collect()), key=repr)
+    assert pii.find_personal_data(no_docs).count() == 0
+    digits = spark.createDataFrame([(1, "1" * 200_000), (2, "a" * 200_000 + "@"), (3, "1." * 100_000)], "doc_id bigint, text string")
+    assert pii.find_personal_data(digits).count() == 3

@@ -1,0 +1,68 @@
+import base64
+import hashlib
+import random
+from collections import defaultdict
+
+from residua.llm import warc_index as w
+from residua.llm.queries import op1_warc_index
+
+
+def slow(pages):
+    groups = defaultdict(list)
+    for i, h in pages:
+        groups[(h or "").encode()].append(i)
+    out = []
+    for i, h in pages:
+        raw = (h or "").encode()
+        largest = max((x for x in groups[raw] if x is not None), default=None)
+        again = i != largest
+        out.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", largest if again else None))
+    return sorted(out, key=repr)
+
+
+def test_query(spark, sf):
+    pages = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()]
+    rows = op1_warc_index(spark, sf).collect()
+    assert sorted(map(lambda r: tuple(r)[:5], rows), key=repr) == slow(pages)
+
+
+PAGES = [
+    (1, "http://b.example.com/x?q=1#frag", "same"),
+    (2, "https://B.example.com:8080/x?q=1", "same"),
+    (3, "http://a.example.com", None),
+    (4, None, ""),
+    (5, "http://user@www.c.example.org/é\n x", "é漢" * 50_000),
+    (None, "http://b.example.com/x?q=1", "same"),
+    (2, "https://B.example.com:8080/x?q=1", "same"),
+    (2, "https://B.example.com:8080/x?q=1", "different\r\n\r\nWARC/1.1"),
+]
+
+
+def test_odd_rows(spark):
+    schema = "page_id bigint, url string, html string, fetched_at timestamp, digest string, when int"
+    docs = spark.createDataFrame([(*p, None, "clash", 1) for p in PAGES], schema)
+    rows = w.archive_and_index(docs).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=repr) == slow([(p[0], p[2]) for p in PAGES])
+    assert {r.url_key for r in rows if r.page_id == 1} == {"com,example,b)/x?q=1"}
+    assert w.archive_and_index(docs.limit(0)).count() == 0
+
+
+def test_loser_tree():
+    rng = random.Random(3)
+    for k in (0, 1, 2, 3, 7, 16):
+        runs = [sorted(((rng.randrange(50), f"k{rng.randrange(9)}", rng.randrange(5), 0, "", "", None, "a", rng.randrange(99)) for _ in range(rng.randrange(30))), key=w.order_key) for _ in range(k)]
+        merged = list(w.LoserTree([iter(r) for r in runs]))
+        assert list(map(w.order_key, merged)) == sorted(w.order_key(x) for r in runs for x in r)
+
+
+def test_global_order(spark):
+    """Ranges follow each other, also within one URL that holds most captures."""
+    pages = spark.range(3000).selectExpr("id as page_id", "if(id % 3 > 0, 'http://hot.example.com/', concat('http://h', id % 50, '.example.com/', id)) as url", "cast(id as string) as html", "timestamp_seconds(1700000000 + (id * 7919) % 1000) as fetched_at")
+    runs = w.materialize(w.read_runs(w.write_archives(pages.repartition(6))), "runs")
+    rows = sorted(w.merge_index(runs, range_rows=100).collect(), key=lambda r: (r.range_no, r.range_pos))
+    keys = [(r.url_key, r.captured_at, r.page_id) for r in rows]
+    assert keys == sorted(keys) and len(keys) == 3000
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.range_no] += 1
+    assert len(sizes) > 20 and max(sizes.values()) < 400
