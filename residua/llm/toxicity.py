@@ -1,7 +1,7 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = sigmoid(w . x - theta_k): one weight vector for all thresholds, thresholds in order.
-Features are the presence of words and of word openings of four and five characters, so that inflected
+Features are the presence of words and of word openings of four to six characters, so that inflected
 and compounded forms count with their stem. The model is fitted on a bounded sample of labelled rows;
 every document is scored where it lies, on its whole text, with nothing shuffled.
 """
@@ -21,10 +21,10 @@ from residua.llm.common import map_batches, materialize, utf8
 SAMPLE_PER_CLASS = 4000
 #: Features that a model holds at most, and what one must show to be taken in.
 MAX_FEATURES, MIN_DOCS, MIN_CHI2 = 512, 5, 25.0
-PENALTY, STEPS, RATE = 1e-3, 600, 0.05
+PENALTY, STEPS, RATE = 1e-5, 800, 0.05
 #: A document is toxic where a grade above 0 is at least this probable.
 CUT = 0.5
-OPENINGS = (4, 5)
+OPENINGS = (4, 5, 6)
 EDGE = b".,!?;:#*$%&|\"'()[]{}<>-_"
 CACHE_WORDS = 500_000
 
