@@ -55,7 +55,9 @@ def fold_sizes(counts: dict[int, int], folds: int) -> dict[int, list[int]]:
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5) -> DataFrame:
-    """Adds ``fold`` (from 0): consecutive blocks of each class in order of ``key``."""
+    """Adds ``fold`` (from 0): consecutive blocks of each class in order of ``key``, of its hash where it is a string."""
+    if dict(df.dtypes)[key] == "string":
+        return stratified_folds(df.withColumn("__key", F.xxhash64(key)), label, "__key", folds).drop("__key")
     sizes = fold_sizes({r[0]: r[1] for r in df.groupBy(label).count().collect()}, folds)
     ranked = row_numbers(df, [label], key, [], "__rn")
     fold = F.lit(None).cast("int")
