@@ -91,4 +91,49 @@ def op10_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc_index, op2_best_fit_packing, op3_line_quality, op4_toxicity_ordinal, op5_benchmark_decontamination, op6_simhash_variants, op7_pii_disclosure, op8_bounded_ring_shards, op9_line_windows, op10_url_temporal_lists)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Up to one key range of pages, as the cuts between ranges are taken from a sample.
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, 1700000000 + page_id * 60 AS captured_at, split_part(split_part(lower(trim(url)), '#', 1), '://', 2) AS rest FROM pages),
+h AS (SELECT *, sha1(html) AS hex, regexp_extract(rest, '^[^/?]*') AS host FROM p),
+k AS (SELECT *, array_to_string(list_reverse(string_split(regexp_replace(host, '^www[.]', ''), '.')), ',') || ')' || CASE WHEN length(rest) > length(host) THEN substr(rest, length(host) + 1) ELSE '/' END AS url_key FROM h),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS largest FROM k)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, ((i // 4) * 5 + 1)::BIGINT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < largest THEN largest END AS refers_to,
+url_key, captured_at, 0 AS range_no, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS range_pos FROM g
+"""
+
+FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {FOLDED} AS ws FROM documents), i AS (SELECT item_id, {FOLDED} AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[k:k + 9], ' ') AS g FROM i, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(k) WHERE len(ws) > 0),
+s AS (SELECT DISTINCT n FROM w),
+f AS (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM (SELECT * FROM d, s) x, unnest(range(1, len(ws) - n + 2)) t(k)),
+h AS (SELECT DISTINCT doc_id, k, n, item_id FROM f JOIN w USING (g, n)),
+a AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM h, unnest(range(n)) t(j) GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)
+"""
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, k, ls[k] AS line, trim(regexp_replace(lower(ls[k]), '\\s+', ' ', 'g')) AS n FROM d, unnest(range(1, len(ls) + 1)) t(k)),
+w AS (SELECT doc_id, k, n || chr(10) || lead(n) OVER o || chr(10) || lead(n, 2) OVER o AS win FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS rn FROM w WHERE win IS NOT NULL AND win <> chr(10) || chr(10)),
+c AS (SELECT DISTINCT doc_id, k + j AS k, true AS cut FROM r, (VALUES (0), (1), (2)) x(j) WHERE rn > 1)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (cut IS NULL), '') AS text, count(*)::BIGINT AS n_lines, count(cut)::BIGINT AS n_cut FROM l LEFT JOIN c USING (doc_id, k) GROUP BY doc_id
+UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
+"""
+
+OP10_SQL = f"""
+WITH e AS (SELECT list_name, kind || ':' || entry AS key, action, day::TIMESTAMP AS t FROM (VALUES {", ".join(map(str, URL_EVENTS))}) x(list_name, kind, entry, action, day)),
+i AS (SELECT *, lead(t) OVER (PARTITION BY list_name, key ORDER BY t, action) AS until FROM e),
+v AS (SELECT * FROM i WHERE action = 'add' AND (until IS NULL OR until > t)),
+p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id % 366)::INT) AS f, regexp_extract(lower(url), '://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+k AS (SELECT page_id, f, unnest(list_concat(list_transform(range(1, len(string_split(host, '.')) + 1), lambda n: 'domain:' || array_to_string(string_split(host, '.')[n:], '.')), ['host:' || host, 'url:' || host || path])) AS key FROM p),
+m AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(list_name))), ',') AS names FROM k JOIN v USING (key) WHERE t <= f AND (until IS NULL OR f < until) GROUP BY page_id)
+SELECT page_id, host, coalesce(n, 0)::BIGINT AS n_entries, coalesce(names, '') AS lists, n IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_warc_index": OP1_SQL, "op5_benchmark_decontamination": OP5_SQL, "op9_line_windows": OP9_SQL, "op10_url_temporal_lists": OP10_SQL}
