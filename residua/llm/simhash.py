@@ -6,7 +6,9 @@ indexed under its one-wildcard variants: for every bit, the segment without it.
 by at most one bit share a variant, so equality of keys finds every link, and each candidate is
 verified on the whole fingerprint.
 
-Only distinct fingerprints are indexed. Within a key's rows links are followed as a search that
+Only distinct fingerprints are indexed. A key that very many of them share is cut further: the bits
+outside its segment also differ by 4 at most, so that of five parts of them one is equal, and each
+part in turn is added to the key. Within a key's rows links are followed as a search that
 drops what it has reached, and only the edges of a spanning forest leave the task: a family of close
 copies costs about its size, not its square. Components come from the edges by alternating large
 and small stars; everything about documents stays distributed.
@@ -30,6 +32,8 @@ SEED = 42
 #: Three segments: 4 differing bits leave one of them with one at most.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 KEYS_PER_PART = 4_000_000
+#: A key that more fingerprints than this may share is cut further.
+HOT_ROWS = 50_000
 
 
 def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS) -> int:
@@ -66,19 +70,63 @@ def digest(name: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
 
 
-def wildcard_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every fingerprint's variants: 64 keys each, and the fingerprint beside each key.
+def segment_of(fp: np.ndarray, shift: int, width: int) -> np.ndarray:
+    return (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+
+
+def wildcard_keys(fp: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Every fingerprint's variants: a key for each bit, and the fingerprint beside each key.
 
     The bits of a key are the segment with one bit cleared, and above them the number of that bit in
-    the fingerprint, which also tells the segment.
+    the fingerprint, which also tells the segment. Where one of the two values of the segment that
+    the key stands for is ``hot`` (a flag for each value of each segment), five keys take its place:
+    each adds the number and the bits of one part of what lies outside the segment.
     """
     fp = fp.view(np.uint64)
-    keys = []
+    keys, owners = [], []
+    base = 0
     for shift, width in SEGMENTS:
-        segment = (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        segment = segment_of(fp, shift, width)
         for bit in range(width):
-            keys.append((segment & ~np.uint64(1 << bit)) | np.uint64((shift + bit) << 32))
-    return np.concatenate(keys).view(np.int64), np.tile(fp.view(np.int64), 64)
+            key = (segment & ~np.uint64(1 << bit)) | np.uint64((shift + bit) << 32)
+            if hot is None:
+                keys.append(key)
+                owners.append(fp)
+                continue
+            many = hot[base + segment.astype(np.int64)] | hot[base + (segment ^ np.uint64(1 << bit)).astype(np.int64)]
+            keys.append(key[~many])
+            owners.append(fp[~many])
+            if many.any():
+                some, rest = fp[many], outside(fp[many], shift, width)
+                for part in range(MAX_BITS + 1):
+                    lo, hi = ((64 - width) * k // (MAX_BITS + 1) for k in (part, part + 1))
+                    keys.append(key[many] | np.uint64((part + 1) << 38) | segment_of(rest, lo, hi - lo) << np.uint64(41))
+                    owners.append(some)
+        base += 1 << width
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners).view(np.int64)
+
+
+def outside(fp: np.ndarray, shift: int, width: int) -> np.ndarray:
+    """The bits of a fingerprint but those of one segment, side by side."""
+    low = fp & np.uint64((1 << shift) - 1)
+    return low if shift + width == 64 else low | fp >> np.uint64(shift + width) << np.uint64(shift)
+
+
+def hot_segments(distinct_fp: DataFrame, hot_rows: int) -> np.ndarray | None:
+    """A flag for each value of each segment that over half of ``hot_rows`` fingerprints have; null where none has.
+
+    The flags' number is fixed by the segments' widths (8 million), whatever the input.
+    """
+    values = []
+    base = 0
+    for shift, width in SEGMENTS:
+        values.append(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(base))
+        base += 1 << width
+    counts = distinct_fp.select(F.explode(F.array(*values)).alias("at")).groupBy("at").agg(F.count("*").alias("n"))
+    flags = np.zeros(base, bool)
+    for (at,) in counts.filter(F.col("n") > hot_rows // 2).select("at").toLocalIterator():
+        flags[at] = True
+    return flags if flags.any() else None
 
 
 def forest(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +167,17 @@ def forest(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[n
     return pairs[0].view(np.int64), pairs[1].view(np.int64)
 
 
-def near_edges(distinct_fp: DataFrame, rows: int) -> DataFrame:
+def near_edges(distinct_fp: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Links between different fingerprints, enough to join each component: a, b."""
+    flags = hot_segments(distinct_fp, hot_rows) if rows > hot_rows // 2 else None
+    shared = None if flags is None else distinct_fp.sparkSession.sparkContext.broadcast(np.packbits(flags))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = None if shared is None else np.unpackbits(shared.value).view(bool)
         for batch in batches:
             all_fp = batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, len(all_fp), 4096):
-                key, fp = wildcard_keys(all_fp[lo : lo + 4096].copy())
+                key, fp = wildcard_keys(all_fp[lo : lo + 4096].copy(), hot)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp)], names=["key", "fp"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,11 +219,11 @@ def star_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
 
 
-def classes(prints: DataFrame) -> DataFrame:
+def classes(prints: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """fp and ``first``: the least (doc_id, digest) of its component, rows without doc_id last."""
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     known = materialize(prints.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
-    edges = near_edges(known.select("fp"), known.count())
+    edges = near_edges(known.select("fp"), known.count(), hot_rows)
     labels = star_components(edges).join(known, F.col("node") == F.col("fp"))
     first = labels.groupBy("label").agg(F.min("first").alias("least"))
     linked = labels.select("fp", "label").join(first, "label").select("fp", "least")

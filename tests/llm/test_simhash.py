@@ -74,6 +74,7 @@ def test_components_of_made_prints(spark):
     values += [core ^ (1 << b) ^ (1 << c) for b in range(0, 30) for c in range(30, 40)] + [rng.getrandbits(64) for _ in range(200)]
     rows = [(k, k, int(np.uint64(v).astype(np.int64))) for k, v in enumerate(values)]
     prints = spark.createDataFrame(rows, "doc_id bigint, digest bigint, fp bigint")
-    got = {r.fp: r["first"].doc_id for r in simhash.classes(prints).collect()}
     want = slow_components([(k, v) for k, v in enumerate(values)])
-    assert [got[r[2]] for r in rows] == want
+    for hot_rows in (simhash.HOT_ROWS, 40, 0):  # no key, some keys and all keys cut further
+        got = {r.fp: r["first"].doc_id for r in simhash.classes(prints, hot_rows).collect()}
+        assert [got[r[2]] for r in rows] == want
