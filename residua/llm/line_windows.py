@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from residua.llm.common import map_batches, materialize
 
@@ -73,13 +75,26 @@ def spans_to_cut(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
 
 
 def merge_spans(name: str, window: int) -> Column:
-    """Sorted starts of windows to disjoint spans of lines."""
-    return F.expr(
-        f"aggregate({name}, cast(array() as array<struct<s:int,e:int>>), (acc, x) -> "
-        f"if(size(acc) > 0 and x <= element_at(acc, -1).e, "
-        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', x + {window}))), "
-        f"concat(acc, array(named_struct('s', x, 'e', x + {window})))))"
-    )
+    """Sorted starts of windows to disjoint spans of lines: starts and ends, each found beside its neighbour."""
+    first = f"filter({name}, (x, i) -> i = 0 or x > {name}[i - 1] + {window})"
+    last = f"transform(filter({name}, (x, i) -> i = size({name}) - 1 or {name}[i + 1] > x + {window}), x -> x + {window})"
+    return F.expr(f"zip_with({first}, {last}, (s, e) -> named_struct('s', s, 'e', e))")
+
+
+@F.pandas_udf(StringType())
+def without_spans(text: pd.Series, cuts: pd.Series) -> pd.Series:
+    """Texts without the lines of their spans, each line looked at once; null for a null text."""
+
+    def kept(t: str | None, spans: list) -> str | None:
+        if t is None:
+            return None
+        lines, out, at = t.split("\n"), [], 0
+        for c in spans:
+            out += lines[at : c["s"]]
+            at = c["e"]
+        return "\n".join(out + lines[at:])
+
+    return pd.Series([kept(t, c) for t, c in zip(text, cuts, strict=True)], dtype=object)
 
 
 def cut_lines(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
@@ -95,7 +110,8 @@ def cut_lines(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
     # rows without cuts keep their text as it is; a document's cuts are one row
     both = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__digest")), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, k: ~F.exists("cuts", lambda c: (c.s <= k) & (k < c.e))), "\n")
+    # only the texts that have something to cut go to Python
+    kept = without_spans(F.when(F.col("cuts").isNotNull(), F.col("text")), F.col("cuts"))
     n_cut = F.coalesce(F.expr("aggregate(cuts, 0L, (a, c) -> a + c.e - c.s)"), F.lit(0).cast("bigint"))
     text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(kept)
     n_lines = F.coalesce(F.size(lines).cast("bigint"), F.lit(0).cast("bigint"))

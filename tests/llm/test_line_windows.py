@@ -50,3 +50,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[5][0].text is None and by[5][0].n_lines == 0 and by[4][0].n_lines == 1
     assert by[6][0].n_cut == 0 and by[7][0].n_cut == 0
     assert lw.cut_lines(no_docs).count() == 0
+
+
+def test_many_spans(spark):
+    """A long text with a repeated passage every ten lines: spans and lines are each looked at once."""
+    passage = ["this passage", "is found", "again and again"]
+    lines = [x for k in range(8000) for x in [*passage, *(f"own line {k} {j}" for j in range(7))]]
+    rows = lw.cut_lines(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(passage))], "doc_id bigint, text string")).collect()
+    by = {r.doc_id: r for r in rows}
+    assert by[1].n_cut == 3 * 7999 and by[1].text.split("\n") == passage + [x for x in lines if x not in passage]
+    assert by[2].text == "" and by[2].n_cut == 3
