@@ -215,7 +215,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
-    ``pieces`` should be a written table, as it is counted first. An empty table gives no rows.
+    ``pieces`` should be a written table of columns that can be ordered, as it is counted first. Pieces of
+    one length go in the order of the other columns. An empty table gives no rows.
     """
     groups = parts_for(pieces.count(), group_rows)
     names = pieces.columns
@@ -230,7 +231,9 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_rows: int = G
         yield from out.to_batches(max_chunksize=10_000)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id bigint, offset bigint"
-    return pieces.select(*names).repartition(groups).mapInArrow(run, schema)
+    # a total order within each group: a repeated attempt of a task packs alike
+    dealt = pieces.select(*names).repartition(groups).sortWithinPartitions(F.desc("length"), *(n for n in names if n != "length"))
+    return dealt.mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, group_rows: int = GROUP_ROWS) -> DataFrame:
