@@ -8,6 +8,7 @@ every document is scored where it lies, on its whole text, with nothing shuffled
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,11 +79,18 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, features: tuple[str, ...] = ()
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """doc_id, label and text of at most ``per_class`` labelled documents of each class.
 
-    A doc_id labelled more than once counts with its highest label; rows without id or label don't count.
+    The rows with the least hashes of doc_id are taken; only those below a limit that follows from the
+    class's size are ranked, so that no task holds a class. A doc_id labelled more than once counts with
+    its highest label; rows without id or label don't count.
     """
     one = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = one.withColumn("r", rank).filter(F.col("r") <= per_class).drop("r")
+    one = materialize(one.withColumn("h", F.xxhash64("doc_id")), "labels")
+    # hashes are even: those below the limit are about per_class rows of each class, with a margin of eight deviations
+    sizes = one.groupBy("label").agg(F.count("*").alias("n"))
+    limit = per_class + 8 * math.sqrt(per_class)
+    low = one.join(F.broadcast(sizes), "label").filter((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= limit)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
+    chosen = low.withColumn("r", rank).filter(F.col("r") <= per_class).select("doc_id", "label")
     texts = docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id")  # at most per_class rows a class
     return texts.groupBy("doc_id", "label").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
 
