@@ -25,5 +25,7 @@ def class_name(positive: Column) -> Column:
 
 def predictions(scored: DataFrame, key: str, z: str, show_all: bool = False) -> DataFrame:
     """id, prediction and probability_adhesion; only positive ones unless ``show_all``."""
-    rows = scored if show_all else scored.filter(F.col(z) > 0)
+    # a plain filter would be pushed below the score and compute all of it once more for every use of a feature
+    positive = F.filter(F.array(F.struct(F.col(key), F.col(z))), lambda r: r[z] > 0)
+    rows = scored if show_all else scored.select(F.inline(positive))
     return rows.select(F.col(key).cast("string").alias("id"), class_name(F.col(z) > 0).alias("prediction"), probability(F.col(z)).alias("probability_adhesion"))
