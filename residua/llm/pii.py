@@ -3,8 +3,11 @@
 Emails, IP addresses, card and phone numbers are found by their form. Each such value is a protected
 entity. Corpus co-occurrence tells how much of an entity's information a term carries: with N
 documents, IC(e) = log(N / n(e)) and PMI(e; t) = log(N n(e, t) / (n(e) n(t))). A term within
-``REACH`` words of an entity in at least ``MIN_SUPPORT`` distinct texts that carries at least
-``GENERALISE`` of IC is generalised wherever it occurs, and removed from ``REMOVE`` on.
+``REACH`` words of an entity that carries at least ``GENERALISE`` of IC is generalised wherever it
+occurs, and removed from ``REMOVE`` on. Entities seen once count too: ``UNSEEN`` is added to n(t), as
+if each term had also occurred without the entity, so that few sightings carry less than many. The
+values of a kind together, and the addresses of a mail domain, are entities as well. A term is any run
+of letters.
 
 Terms' document counts cover the whole corpus. The terms in question travel as a bitmap of fixed size;
 what passes it is counted and joined exactly by term, so the bitmap decides nothing. A document holds
@@ -28,9 +31,8 @@ from residua.llm.common import map_batches, materialize
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "generalise", "remove")
 REACH = 8
-MIN_SUPPORT = 3
+UNSEEN = 1
 GENERALISE, REMOVE = 0.8, 0.95
-TERM_CHARS = 4
 BITMAP_BITS = 23
 CACHE_WORDS = 400_000
 SALTS = 16
@@ -40,7 +42,7 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?+
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(rf"[^\W\d_]{{{TERM_CHARS},}}")
+TERM = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"\S+")
 
 
@@ -70,18 +72,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], BASE_KINDS.index(s[0])))
 
 
+def entities(kind: str, value: str) -> list[str]:
+    """The value, its kind and, of an address, the mail domain."""
+    return [f"{kind}:{value}", kind, *(["@" + value.rsplit("@", 1)[1]] if kind == "email" else [])]
+
+
 def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> dict[str, set[str]]:
-    """Terms within ``reach`` words of each protected value of the text, none that lie in a value."""
+    """Terms within ``reach`` words of each entity of the text, none that lie in a value."""
     taken = np.zeros(len(text) + 1, bool)
     for _, a, b in spans:
         taken[a:b] = True
     found: dict[str, set[str]] = {}
     for kind, a, b in spans:
-        terms = found.setdefault(f"{kind}:{text[a:b].lower()}", set())
+        terms: set[str] = set()
         for lo, hi, side in ((max(0, a - 400), a, -1), (b, min(len(text), b + 400), 1)):
             words = [(m.start() + lo, m.end() + lo) for m in WORD.finditer(text[lo:hi])]
             for s, e in words[-reach:] if side < 0 else words[:reach]:
                 terms |= {t[0].lower() for t in TERM.finditer(text[s:e]) if not taken[s + t.start()]}
+        for e in entities(kind, text[a:b].lower()):
+            found.setdefault(e, set()).update(terms)
     return found
 
 
@@ -152,7 +161,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     Copies of a text count once for co-occurrence; document counts are of all rows.
     """
     near = base.select("digest", F.explode("near").alias("p")).select("digest", "p.entity", "p.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= MIN_SUPPORT)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     pairs = materialize(pairs, "pairs")
     rows = docs.count()
 
@@ -169,10 +178,11 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     n_t = map_batches(texts, _with_filter(terms, count), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
     held = base.filter(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda p: p.entity))).alias("entity"))
     n_e = held.groupBy("entity").agg(F.count("*").alias("n_e"))
-    both = pairs.join(n_t, "term").join(n_e, "entity")
+    # a common term has a row for nearly every entity: equal counts become one before terms are dealt out
+    both = pairs.join(n_e, "entity").select("term", "n_et", "n_e").distinct().join(n_t, "term")
     total = F.lit(float(max(rows, 2)))
     # copies raise n_e and n_t, not n_et: at most as many distinct texts as rows
-    pmi = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    pmi = F.log(total * F.col("n_et") / (F.col("n_e") * (F.col("n_t") + UNSEEN)))
     share = pmi / F.greatest(F.log(total / F.col("n_e")), F.lit(1e-9))
     return both.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= GENERALISE).select("term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"), "share")
 
@@ -184,10 +194,11 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
         rows: dict[str, list] = {k: [] for k in ("doc_id", "digest", "term", "s", "e")}
         for doc_id, text, digest in zip(*cols, strict=True):
             raw = text.encode("utf-8")
-            if not any(map(keep.__getitem__, set(raw.split()))):
+            hits = {t for ts in filter(None, map(keep.__getitem__, set(raw.split()))) for t in ts}
+            if not hits:
                 continue
             for m in TERM.finditer(text):
-                if keep.passes(t := m[0].lower()):
+                if (t := m[0].lower()) in hits:
                     for k, v in zip(rows, (doc_id, digest, t, *m.span()), strict=True):
                         rows[k].append(v)
         yield rows

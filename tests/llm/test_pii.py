@@ -64,6 +64,25 @@ def test_terms_that_disclose(spark):
     assert clean[0] == texts[0] and "[EMAIL]" in clean[41] and "Zorblatt" not in clean[41] and clean[46] == ""
 
 
+def test_rare_entities_and_short_names(spark):
+    """Entities of one text each: rare terms beside them are added, two letters or many, common ones are not."""
+    texts = [f"plain words about nothing much to wit, by the usual {'abcdefgh'[k % 8] * 9}" for k in range(400)]
+    texts += ["the usual Bo by 10.20.30.40 about Quixel words", "much to wit, Zorblatt: ann@mail.example.com the usual"]
+    texts += [f"words of a {'abcdefgh'[k]}{'ijklmnop'[k]} Postbox u{k}@one.example.com, by the usual" for k in range(8)]
+    docs = spark.createDataFrame([(k, f"{k} {t}") for k, t in enumerate(texts)], "doc_id bigint, text string")
+    added = {}
+    for d in pii.find_personal_data(docs).collect():
+        added[d.doc_id] = {f"{d.doc_id} {texts[d.doc_id]}"[x.s : x.e] for x in d.spans} - {f"{d.doc_id} {texts[d.doc_id]}"[x.s : x.e] for x in d.base}
+    assert not any(added[k] for k in range(400))
+    assert added[400] == {"Bo", "Quixel"} and added[401] == {"Zorblatt"}
+    assert all("Postbox" in added[k] for k in range(402, 410))  # by the mail domain
+
+
+def test_query_adds_spans(spark):
+    rows = op7_pii_disclosure(spark, "/root/testdata/sf0.01").collect()
+    assert sum(len(re.findall("generalise|remove", r.spans)) for r in rows) > 0
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = pii.find_personal_data(odd_docs).collect()
     got = sorted(((r.doc_id, listed((x.kind, x.s, x.e) for x in r.base)) for r in rows), key=repr)
