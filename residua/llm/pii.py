@@ -9,8 +9,9 @@ if each term had also occurred without the entity, so that few sightings carry l
 values of a kind together, and the addresses of a mail domain, are entities as well. A term is any run
 of letters.
 
-Terms' document counts cover the whole corpus. The terms in question travel as a bitmap of fixed size;
-what passes it is counted and joined exactly by term, so the bitmap decides nothing. A document holds
+All counts are of distinct texts over the whole corpus, so that copies change none. The terms in question
+and the digests of copied texts travel as bitmaps of fixed size; what passes them is counted and joined
+exactly by term or digest, so the bitmaps decide nothing. A document holds
 spans of its own only.
 """
 
@@ -98,11 +99,11 @@ BASE = "doc_id bigint, digest bigint, base array<struct<kind: string, s: int, e:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), base spans and the pairs of protected values and nearby terms."""
+    """doc_id, digest (of the text), base spans and ``near``: pairs of entity and nearby term, and one with a null term for each entity."""
 
     def run(cols: list[list]) -> Iterator[dict[str, list]]:
         base = [base_spans(t or "") for t in cols[1]]
-        pairs = [[{"entity": e, "term": t} for e, ts in near_terms(text, spans).items() for t in sorted(ts)] if spans else [] for text, spans in zip(cols[1], base, strict=True)]
+        pairs = [[{"entity": e, "term": t} for e, ts in near_terms(text, spans).items() for t in (None, *sorted(ts))] if spans else [] for text, spans in zip(cols[1], base, strict=True)]
         yield {"doc_id": cols[0], "digest": cols[2], "base": [[{"kind": k, "s": a, "e": b} for k, a, b in x] for x in base], "near": pairs}
 
     rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
@@ -113,16 +114,23 @@ def bit(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode("utf-8")) & ((1 << BITMAP_BITS) - 1)
 
 
-def bitmap_of(terms: DataFrame) -> bytes:
-    """A bitmap of fixed size over the column ``term``; at most its positions come to the driver."""
+def bitmap_of(places: DataFrame) -> bytes:
+    """A bitmap of fixed size with the given bits set; at most these come to the driver."""
+    bits = np.zeros(1 << BITMAP_BITS, np.uint8)
+    for (at,) in places.distinct().toLocalIterator():
+        bits[at] = 1
+    return np.packbits(bits).tobytes()
+
+
+def is_set(bitmap: bytes, at: int) -> bool:
+    return bool(bitmap[at >> 3] >> (7 - (at & 7)) & 1)
+
 
+def term_places(terms: DataFrame) -> DataFrame:
     def run(cols: list[list]) -> Iterator[dict[str, list]]:
         yield {"at": [bit(t) for t in cols[0]]}
 
-    bits = np.zeros(1 << BITMAP_BITS, np.uint8)
-    for (at,) in map_batches(terms.select("term"), run, "at int").distinct().toLocalIterator():
-        bits[at] = 1
-    return np.packbits(bits).tobytes()
+    return map_batches(terms.select("term"), run, "at int")
 
 
 class TermFilter(dict):
@@ -133,8 +141,7 @@ class TermFilter(dict):
         self.bitmap = bitmap
 
     def passes(self, term: str) -> bool:
-        at = bit(term)
-        return bool(self.bitmap[at >> 3] >> (7 - (at & 7)) & 1)
+        return is_set(self.bitmap, bit(term))
 
     def __missing__(self, word: bytes) -> tuple[str, ...] | None:
         if len(self) >= CACHE_WORDS:
@@ -145,7 +152,7 @@ class TermFilter(dict):
 
 
 def _with_filter(terms: DataFrame, fn: Callable[[TermFilter, list[list]], Iterator[dict[str, list]]]):
-    shared, held = terms.sparkSession.sparkContext.broadcast(bitmap_of(terms)), {}
+    shared, held = terms.sparkSession.sparkContext.broadcast(bitmap_of(term_places(terms))), {}
 
     def run(cols: list[list]) -> Iterator[dict[str, list]]:
         if "f" not in held:
@@ -155,33 +162,50 @@ def _with_filter(terms: DataFrame, fn: Callable[[TermFilter, list[list]], Iterat
     return run
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """term, action (generalise or remove) and share: the largest part of an entity's information that it carries.
+def text_counts(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """term and n_t: the distinct texts with each of the terms. ``copied`` has the digests of texts with copies.
 
-    Copies of a text count once for co-occurrence; document counts are of all rows.
+    Texts that may have copies give a row for each digest and term, all others are added up where they lie.
     """
-    near = base.select("digest", F.explode("near").alias("p")).select("digest", "p.entity", "p.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    pairs = materialize(pairs, "pairs")
-    rows = docs.count()
+    mask = (1 << BITMAP_BITS) - 1
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(copied.select(F.col("digest").bitwiseAND(F.lit(mask)).cast("int").alias("at"))))
 
     def count(keep: TermFilter, cols: list[list]) -> Iterator[dict[str, list]]:
         seen: Counter[str] = Counter()
-        for text in cols[0]:
-            hits = list(filter(None, map(keep.__getitem__, set(text.split()))))
-            if hits:
-                seen.update({t for ts in hits for t in ts})
-        yield {"term": list(seen), "n": list(seen.values())}
-
-    texts = docs.filter(F.col("text").isNotNull()).select(F.col("text").cast("binary"))
-    terms = pairs.select("term").distinct()
-    n_t = map_batches(texts, _with_filter(terms, count), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n_t"))
-    held = base.filter(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda p: p.entity))).alias("entity"))
-    n_e = held.groupBy("entity").agg(F.count("*").alias("n_e"))
+        done: set[int] = set()
+        rows: dict[str, list] = {k: [] for k in ("digest", "term", "n")}
+        for text, digest in zip(*cols, strict=True):
+            if digest in done:
+                continue
+            terms = {t for ts in filter(None, map(keep.__getitem__, set(text.split()))) for t in ts}
+            if is_set(shared.value, digest & mask):
+                done.add(digest)
+                rows["digest"] += [digest] * len(terms)
+                rows["term"] += terms
+                rows["n"] += [1] * len(terms)
+            else:
+                seen.update(terms)
+        yield {"digest": rows["digest"] + [None] * len(seen), "term": rows["term"] + list(seen), "n": rows["n"] + list(seen.values())}
+
+    texts = docs.filter(F.col("text").isNotNull()).select(F.col("text").cast("binary"), F.xxhash64("text").alias("digest"))
+    found = map_batches(texts, _with_filter(terms, count), "digest bigint, term string, n bigint").groupBy("digest", "term").agg(F.sum("n").alias("n"))
+    return found.groupBy("term").agg(F.sum(F.when(F.col("digest").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """term, action (generalise or remove) and share: the largest part of an entity's information that it carries.
+
+    Copies of a text count once in all four counts.
+    """
+    near = base.select("digest", F.explode("near").alias("p")).select("digest", "p.entity", "p.term").distinct()
+    counts = materialize(near.groupBy("entity", "term").agg(F.count("*").alias("n")), "pairs")
+    n_e = counts.filter(F.col("term").isNull()).select("entity", F.col("n").alias("n_e"))
+    pairs = counts.filter(F.col("term").isNotNull()).withColumnRenamed("n", "n_et")
+    digests = base.groupBy("digest").count()
+    n_t = text_counts(docs, pairs.select("term").distinct(), digests.filter("count > 1"))
     # a common term has a row for nearly every entity: equal counts become one before terms are dealt out
     both = pairs.join(n_e, "entity").select("term", "n_et", "n_e").distinct().join(n_t, "term")
-    total = F.lit(float(max(rows, 2)))
-    # copies raise n_e and n_t, not n_et: at most as many distinct texts as rows
+    total = F.lit(float(max(digests.count(), 2)))
     pmi = F.log(total * F.col("n_et") / (F.col("n_e") * (F.col("n_t") + UNSEEN)))
     share = pmi / F.greatest(F.log(total / F.col("n_e")), F.lit(1e-9))
     return both.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= GENERALISE).select("term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"), "share")

@@ -78,6 +78,21 @@ def test_rare_entities_and_short_names(spark):
     assert all("Postbox" in added[k] for k in range(402, 410))  # by the mail domain
 
 
+def test_copies_change_no_counts(spark):
+    """An entity and a name together in three texts of ten copies each, against the same without copies."""
+    one = [f"plain words number {'abcdefgh'[k % 8]}{'ijklmnop'[k // 8 % 8]}{'qrstuvwx'[k // 64]} about the usual" for k in range(500)]
+    together = [f"plain words about Zorblatt ann@mail.example.com the usual number {c} as" for c in "abc"]
+
+    def shares(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+        return {r.term: (r.action, round(r.share, 9)) for r in pii.disclosing_terms(docs, pii.find_base(docs)).collect()}
+
+    plain = shares([*one, *together, "bob@b.example.com", None, ""])
+    assert plain["zorblatt"][0] == "generalise" and plain["zorblatt"][1] > 0.94 and "usual" not in plain
+    assert shares([*one, *together * 10, "bob@b.example.com", None, ""]) == plain
+    assert shares([*one * 2, *together * 10, *["bob@b.example.com"] * 5, None, None, ""]) == plain
+
+
 def test_query_adds_spans(spark):
     rows = op7_pii_disclosure(spark, "/root/testdata/sf0.01").collect()
     assert sum(len(re.findall("generalise|remove", r.spans)) for r in rows) > 0
