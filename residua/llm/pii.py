@@ -18,6 +18,7 @@ spans of its own only.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -79,19 +80,32 @@ def entities(kind: str, value: str) -> list[str]:
 
 
 def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> dict[str, set[str]]:
-    """Terms within ``reach`` words of each entity of the text, none that lie in a value."""
-    taken = np.zeros(len(text) + 1, bool)
+    """Terms within ``reach`` words of each entity of the text, however long these are; none that start in a value.
+
+    Blanks and values end words. A value is a word itself, so that a term lies near few values; marks alone are none.
+    """
+    taken = np.zeros(len(text) + 2, np.int8)
     for _, a, b in spans:
-        taken[a:b] = True
+        taken[a + 1 : b + 1] = 1
+    runs = np.flatnonzero(np.diff(taken)).reshape(-1, 2).tolist()
+    words: list[int] = []
+    place, at = [], 0
+    for lo, hi in [*runs, [len(text)] * 2]:
+        words += [m.start() for m in WORD.finditer(text, at, lo) if any(map(str.isalnum, m[0]))]
+        place.append(len(words))
+        words.append(lo)
+        at = hi
+    terms: list[set[str]] = [set() for _ in words]
+    for m in TERM.finditer(text):
+        if not taken[m.start() + 1]:
+            terms[bisect_right(words, m.start()) - 1].add(m[0].lower())
     found: dict[str, set[str]] = {}
+    firsts = [lo for lo, _ in runs]
     for kind, a, b in spans:
-        terms: set[str] = set()
-        for lo, hi, side in ((max(0, a - 400), a, -1), (b, min(len(text), b + 400), 1)):
-            words = [(m.start() + lo, m.end() + lo) for m in WORD.finditer(text[lo:hi])]
-            for s, e in words[-reach:] if side < 0 else words[:reach]:
-                terms |= {t[0].lower() for t in TERM.finditer(text[s:e]) if not taken[s + t.start()]}
+        k = place[bisect_right(firsts, a) - 1]
+        near = set().union(*terms[max(0, k - reach) : k], *terms[k + 1 : k + 1 + reach])
         for e in entities(kind, text[a:b].lower()):
-            found.setdefault(e, set()).update(terms)
+            found.setdefault(e, set()).update(near)
     return found
 
 

@@ -64,6 +64,19 @@ def test_terms_that_disclose(spark):
     assert clean[0] == texts[0] and "[EMAIL]" in clean[41] and "Zorblatt" not in clean[41] and clean[46] == ""
 
 
+def test_near_terms_by_words():
+    """Eight words on each side, whole ones, however long; also without blanks; work stays linear."""
+    near = lambda t: pii.near_terms(t, pii.base_spans(t))
+    long = "x" * 900
+    t = f"far Ann {long}1 {long}2 - c d e f Zorb 10.0.0.1 {long}3, Lee {'y' * 500} h i j k Bo off"
+    assert near(t)["ip:10.0.0.1"] == {"ann", long, "c", "d", "e", "f", "zorb", "lee", "y" * 500, "h", "i", "j", "k", "bo"}
+    assert near("漢字," * 300 + "名。" + "10.0.0.1" + "é" * 401 + "!Lee")["ip"] == {"漢字", "名", "é" * 401, "lee"}
+    assert near("a@b.cé no")["email:a@b.c"] == {"no"}  # of "cé", which starts within the value, no part is a term
+    assert near("a@b.c")["@b.c"] == set()
+    many = ";".join(f"u{k}@x.org;n{'abcdefghij'[k % 10] * (k % 97)}" for k in range(5000))
+    assert max(len(v) for e, v in near(many).items() if e.startswith("email:")) <= 16
+
+
 def test_rare_entities_and_short_names(spark):
     """Entities of one text each: rare terms beside them are added, two letters or many, common ones are not."""
     texts = [f"plain words about nothing much to wit, by the usual {'abcdefgh'[k % 8] * 9}" for k in range(400)]
