@@ -20,11 +20,14 @@ def validity(events: DataFrame) -> DataFrame:
 
     ``events`` has list_name, kind (domain, host or url), entry, action (add or remove) and listed_at.
     Of events of an entry at one time, a removal counts last. Adding a listed entry again changes
-    nothing of what is listed. Rows with a null in any of these columns are left out.
+    nothing of what is listed. Case counts in the path of a ``url`` entry only. Rows with a null in any of these columns are left out.
     """
+    entry = F.trim("entry")
+    host = F.regexp_extract(entry, r"^[^/?#]*", 0)
+    entry = F.when(F.col("kind") == "url", F.concat(F.lower(host), F.substr(entry, F.length(host) + 1))).otherwise(F.lower(entry))
     names = ["list_name", "kind", "entry", "action", "listed_at"]
     rows = events.select(*names).dropna().filter(F.col("action").isin("add", "remove"))
-    rows = rows.withColumn("key", F.concat_ws(":", "kind", F.lower(F.trim("entry")))).drop("kind", "entry").distinct()
+    rows = rows.withColumn("key", F.concat_ws(":", "kind", entry)).drop("kind", "entry").distinct()
     order = Window.partitionBy("list_name", "key").orderBy("listed_at", "action")
     until = rows.withColumn("valid_to", F.lead("listed_at").over(order)).filter("action = 'add' and (valid_to is null or valid_to > listed_at)")
     span = F.struct(F.col("listed_at").alias("valid_from"), "valid_to")

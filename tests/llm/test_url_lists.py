@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from residua.llm import url_lists as u
 from residua.llm.queries import URL_EVENTS, op10_url_temporal_lists
@@ -37,6 +38,14 @@ def test_query(spark):
     assert any(r.blocked for r in rows)
 
 
+def test_case_of_paths(spark):
+    """Hosts meet in any case, paths as they are."""
+    day = datetime(2024, 1, 1)
+    events = spark.createDataFrame([("a", "url", " X.com/Path", "add", day), ("b", "host", "X.Com", "add", day), ("c", "url", "X.com", "add", day)], "list_name string, kind string, entry string, action string, listed_at timestamp")
+    caps = spark.createDataFrame(list(enumerate(["http://x.COM/Path?Q", "http://x.com/path", "http://X.com"])), "page_id bigint, url string").withColumn("fetched_at", F.lit(day))
+    assert {r.page_id: r.lists for r in u.filter_urls(caps, events).collect()} == {0: "a,b", 1: "b", 2: "b,c"}
+
+
 @pytest.mark.parametrize("broadcast", [1000, 0])
 def test_odd_rows(spark, broadcast):
     day = lambda d: datetime(2024, 1, d)
