@@ -1,11 +1,18 @@
-"""Commands: predict, train, evaluate, filter-hits and sample-ids."""
+"""Commands: predict, train, evaluate, filter-hits and sample-ids.
+
+Results go to standard output, warnings and errors to standard error. A command ends with 0, with 1 where
+its input or output fails it, and with 2 where an argument is out of range.
+"""
 
 from __future__ import annotations
 
 import argparse
+import os
+import re
 import sys
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,99 +21,221 @@ from residua.operators import embedding, metrics, model, sampling
 from residua.session import session, ship_package
 from residua.sources import fasta, hits
 
+Make = Callable[[], embedding.Embedder]
+POSITIVE_DIR, NEGATIVE_DIR, MODELS_DIR = "data/positive", "data/negative", "models"
+
+
+class CommandError(Exception):
+    """Ends a command with a message and an exit code."""
+
+    def __init__(self, message: str, code: int = 1):
+        super().__init__(message)
+        self.code = code
+
+
+def warn(message: str) -> None:
+    print(f"Warning: {message}", file=sys.stderr)
+
 
-def embedded(df: DataFrame, make: Callable[[], embedding.Embedder]) -> DataFrame:
-    """Rows with an embedding, as double features; those that failed are left out."""
-    rows = embedding.embed(df, "sequence", make).filter(F.col("embedding").isNotNull())
+def default_model(name: str) -> str:
+    return os.path.join(os.getcwd(), MODELS_DIR, f"classifier_{name}")
+
+
+def embedded(df: DataFrame, make: Make, name: str) -> DataFrame:
+    """Rows with ``key``, ``embedding`` and the same as double features; null where a sequence could not be embedded."""
+    rows = embedding.embed(df, "sequence", make, name)
     return rows.withColumn("features", F.col("embedding").cast("array<double>")).withColumn("key", F.concat_ws(":", "file_path", "record_no"))
 
 
-def run_predict(spark: SparkSession, path: str, model_path: str, out: str | None, show_all: bool, make: Callable[[], embedding.Embedder]) -> str:
-    scored = model.score(model.load(model_path), embedded(fasta.read_fasta(spark, path), make))
+def with_features(rows: DataFrame) -> DataFrame:
+    """The rows that have features, persisted; says how many have none, and fails where all do."""
+    rows = rows.persist()
+    n, failed = rows.agg(F.count("*"), F.count_if(F.col("features").isNull())).first()
+    if not n:
+        raise CommandError("no sequences found in the input")
+    if failed:
+        warn(f"{failed} of {n} sequences could not be embedded and are left out")
+    if failed == n:
+        raise CommandError("no embeddings extracted")
+    return rows.filter(F.col("features").isNotNull())
+
+
+def sequences(spark: SparkSession, path: str, **reading) -> DataFrame:
+    """The records of a file or a folder; no such path, or no file with a sequence suffix there, is an error."""
+    if not fasta.exists(spark, path):
+        raise CommandError(f"{path} is neither a file nor a folder")
+    rows = fasta.read_fasta(spark, path, **reading)
+    if not rows.inputFiles():
+        raise CommandError(f"no FASTA files found in {path}")
+    return rows
+
+
+def stored_model(spark: SparkSession, path: str):
+    if not fasta.exists(spark, path):
+        raise CommandError(f"no model at {path}: train one first")
+    return model.load(path)
+
+
+def run_predict(spark: SparkSession, path: str, model_path: str, out: str | None, show_all: bool, make: Make, name: str = embedding.DEFAULT_MODEL, silent: bool = True) -> str:
+    """Writes the predictions in order of file and record, prints them unless ``silent``; where they are."""
+    stored = stored_model(spark, model_path)
+    rows = sequences(spark, path)
+    scored = model.score(stored, with_features(embedded(rows, make, name)))
     if not show_all:
         scored = scored.filter(F.col("prediction") == 1)
-    rows = scored.select("id", F.col("class_name").alias("prediction"), F.col("probability").alias("probability_adhesion"))
+    scored = scored.select("file_path", "record_no", "id", F.col("class_name").alias("prediction"), F.col("probability").alias("probability_adhesion"))
     out = out or sinks.prediction_name(path, not fasta.is_file(spark, path))
-    sinks.write_predictions(rows, out)
+    ordered = scored.orderBy("file_path", "record_no")
+    sinks.write_predictions(ordered, out)
+    if not silent:
+        for r in ordered.toLocalIterator():  # a part at a time
+            print(f"{r.id}: {r.prediction} (p={r.probability_adhesion:.3f})")
     return out
 
 
 def labelled(spark: SparkSession, positive: str, negative: str, require_both: bool) -> DataFrame:
-    sides = (fasta.read_fasta(spark, p, upper=False, on_error="fail") for p in (positive, negative))
-    return fasta.labelled_union(*sides, require_both=require_both)
+    sides = [sequences(spark, p, upper=False, on_error="fail") for p in (positive, negative)]
+    if require_both:
+        for rows, path in zip(sides, (positive, negative), strict=True):
+            if rows.isEmpty():
+                raise CommandError(f"no sequences found in {path}")
+    return fasta.labelled_union(*sides, require_both=False)
 
 
-def run_train(spark: SparkSession, positive: str, negative: str, out: str, test_size: float, make: Callable[[], embedding.Embedder]) -> model.Training:
-    rows = embedded(labelled(spark, positive, negative, True), make).select("key", "features", "label").persist()
+def run_train(spark: SparkSession, positive: str, negative: str, out: str, test_size: float, make: Make, name: str = embedding.DEFAULT_MODEL) -> model.Training:
+    rows = with_features(embedded(labelled(spark, positive, negative, True), make, name).select("key", "features", "label"))
     done = model.train(rows, "key", test_size=test_size)
     model.save(done.model, out)
-    rows.unpersist()
     return done
 
 
-def run_evaluate(spark: SparkSession, positive: str, negative: str, model_path: str, make: Callable[[], embedding.Embedder]) -> dict[str, DataFrame]:
-    rows = model.score(model.load(model_path), embedded(labelled(spark, positive, negative, False), make)).select("label", "prediction", "probability").persist()
+def run_evaluate(spark: SparkSession, positive: str, negative: str, model_path: str, make: Make, name: str = embedding.DEFAULT_MODEL) -> dict[str, DataFrame]:
+    stored = stored_model(spark, model_path)
+    rows = with_features(embedded(labelled(spark, positive, negative, False), make, name).select("key", "features", "label"))
+    rows = model.score(stored, rows).select("label", "prediction", "probability").persist()
     return {"confusion": metrics.confusion_matrix(rows), "report": metrics.class_report(rows), "auc": metrics.roc_auc(rows, score="probability"), "accuracy": metrics.accuracy(rows)}
 
 
-def run_filter_hits(spark: SparkSession, paths: list[str], out: str, percent: float) -> None:
-    sinks.write_hits(hits.above_identity(hits.read_hits(spark, paths), percent), out)
+def run_filter_hits(spark: SparkSession, paths: list[str], out: str, percent: float) -> int:
+    """Filters the files that are there, in their order, and warns of lines that it skips; 1 where a file is missing."""
+    there = [p for p in paths if fasta.exists(spark, p)]
+    for p in paths:
+        if p not in there:
+            print(f"Error: {p} not found", file=sys.stderr)
+    if there:
+        judged = hits.judge_hits(hits.read_hit_lines(spark, there))
+        skipped = judged.filter("problem in ('short', 'identity')").groupBy("file_no", "problem").count().orderBy("file_no", "problem")
+        for r in skipped.toLocalIterator():  # at most two rows for each file
+            warn(f"{there[r.file_no]}: {r['count']} lines skipped: {'fewer than 11 columns' if r.problem == 'short' else 'no number for identity'}")
+        kept = hits.above_identity(judged.filter("problem is null"), percent)
+        sinks.write_hits(kept.orderBy("file_no", "file_path", "block", "n"), out)
+    return int(len(there) < len(paths))
 
 
 def run_sample_ids(spark: SparkSession, folder: str, out: str, tab_glob: str, fasta_glob: str, column: int, n: int, seed: int) -> None:
-    if n < 1:
-        raise ValueError("at least one id is needed")
-    ids = fasta.read_headers(spark, folder, fasta_glob)
-    left = sampling.anti_join_ids(ids, hits.read_ids(spark, folder, tab_glob, column))
+    if column < 1 or n < 1:
+        raise CommandError("the column and the number of ids must be 1 or more", 2)
+    lists = spark.read.option("recursiveFileLookup", True)
+    files = lists.option("pathGlobFilter", fasta_glob).text(folder).inputFiles() if fasta.exists(spark, folder) else []
+    if not files:
+        raise CommandError("no FASTA files found")
+    left = fasta.read_headers(spark, folder, fasta_glob)
+    if lists.option("pathGlobFilter", tab_glob).text(folder).inputFiles():
+        left = sampling.anti_join_ids(left, hits.read_ids(spark, folder, tab_glob, column))
     chosen = sampling.sample_per_source(left, "file_path", "id", n, seed)
     sinks.write_sampled_ids(chosen.withColumn("source_file", F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.fasta$", "")), out)
+    plain = lambda f: re.sub("^file:/+", "/", f)
+    found = {plain(r.file_path): r["count"] for r in chosen.groupBy("file_path").count().collect()}  # a row for each file
+    for f in sorted(map(plain, files)):
+        if found.get(f, 0) < n:
+            warn(f"{f} has {found.get(f, 0)} ids after filtering: all are taken")
 
 
-def main(argv: list[str] | None = None) -> int:
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="residua")
     sub = p.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("predict")
-    for flag in ("--input", "--model"):
-        c.add_argument(flag, required=True)
+
+    def command(name: str, model_flag: str = "") -> argparse.ArgumentParser:
+        c = sub.add_parser(name)
+        if model_flag:
+            c.add_argument(model_flag, dest="model_name", default=embedding.DEFAULT_MODEL, choices=list(embedding.MODELS), help="language model; prediction and evaluation must take the one of training")
+            c.add_argument("--embedder", default="esm", help="esm (the language model), test (a stand-in without meaning) or module:callable")
+        return c
+
+    def sides(c: argparse.ArgumentParser) -> None:
+        c.add_argument("--positive", default=POSITIVE_DIR)
+        c.add_argument("--negative", default=NEGATIVE_DIR)
+
+    c = command("predict", "--model-name")
+    c.add_argument("--input", required=True, help="FASTA file, or folder of such files")
+    c.add_argument("--model", help="trained model; by default named by --model-name")
+    c.add_argument("--output")
+    c.add_argument("--silent", action="store_true", help="print no predictions")
+    c.add_argument("--show-all", action="store_true", help="negative predictions too")
+    c.add_argument("--max-workers", type=int, help="cores, where the session is not a cluster's")
+    c = command("train", "--model")
+    sides(c)
     c.add_argument("--output")
-    c.add_argument("--show-all", action="store_true")
-    c = sub.add_parser("train")
-    for flag in ("--positive", "--negative", "--output"):
-        c.add_argument(flag, required=True)
     c.add_argument("--test-size", type=float, default=0.2)
-    c = sub.add_parser("evaluate")
-    for flag in ("--positive", "--negative", "--model"):
-        c.add_argument(flag, required=True)
-    c = sub.add_parser("filter-hits")
+    c = command("evaluate", "--model-name")
+    sides(c)
+    c.add_argument("--model")
+    c = command("filter-hits")
     c.add_argument("inputs", nargs="+")
     c.add_argument("--output", required=True)
     c.add_argument("--percent-id", type=float, default=90.0)
-    c = sub.add_parser("sample-ids")
-    for flag in ("--input-dir", "--output-dir"):
-        c.add_argument(flag, required=True)
+    c = command("sample-ids")
+    c.add_argument("--input-dir", default=".")
+    c.add_argument("--output-dir", required=True)
     for flag, default in (("--tab-pattern", "*.tab"), ("--fasta-pattern", "*.fasta")):
         c.add_argument(flag, default=default)
     for flag, number in (("--tab-column", 2), ("--num-ids", 500), ("--seed", 42)):
         c.add_argument(flag, type=int, default=number)
-    a = p.parse_args(argv)
-    spark = session()
+    return p
+
+
+def run(a: argparse.Namespace) -> int:
+    workers = getattr(a, "max_workers", None)
+    spark = session(f"local[{workers}]" if workers else None)
     ship_package(spark)
-    make = embedding.TestEmbedder
+    if a.command == "filter-hits":
+        return run_filter_hits(spark, a.inputs, a.output, a.percent_id)
+    if a.command == "sample-ids":
+        run_sample_ids(spark, a.input_dir, a.output_dir, a.tab_pattern, a.fasta_pattern, a.tab_column, a.num_ids, a.seed)
+        return 0
+    make = embedding.factory(a.embedder, a.model_name)
     if a.command == "predict":
-        print(run_predict(spark, a.input, a.model, a.output, a.show_all, make))
+        out = run_predict(spark, a.input, a.model or default_model(a.model_name), a.output, a.show_all, make, a.model_name, a.silent)
+        print(f"Predictions: {out}")
     elif a.command == "train":
-        t = run_train(spark, a.positive, a.negative, a.output, a.test_size, make)
-        print(f"train {t.train_accuracy:.4f} test {t.test_accuracy:.4f} cv {t.cv_mean:.4f} +/- {t.cv_two_std:.4f}")
-    elif a.command == "evaluate":
-        for name, df in run_evaluate(spark, a.positive, a.negative, a.model, make).items():
+        out = a.output or default_model(a.model_name)
+        t = run_train(spark, a.positive, a.negative, out, a.test_size, make, a.model_name)
+        print(f"train {t.train_accuracy:.4f} test {t.test_accuracy:.4f} cv {t.cv_mean:.4f} +/- {t.cv_two_std:.4f}\nModel: {out}")
+    else:
+        for name, df in run_evaluate(spark, a.positive, a.negative, a.model or default_model(a.model_name), make, a.model_name).items():
             print(name)
             df.show(truncate=False)
-    elif a.command == "filter-hits":
-        run_filter_hits(spark, a.inputs, a.output, a.percent_id)
-    else:
-        run_sample_ids(spark, a.input_dir, a.output_dir, a.tab_pattern, a.fasta_pattern, a.tab_column, a.num_ids, a.seed)
     return 0
 
 
+def main(argv: list[str] | None = None) -> int:
+    a = parser().parse_args(argv)
+    try:
+        return run(a)
+    except CommandError as e:
+        print(f"Error: {e}", file=sys.stderr)
+        return e.code
+    except (PySparkException, ValueError) as e:
+        print(f"Error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
+        return 1
+
+
+def _one(name: str) -> Callable[[], int]:
+    return lambda: main([name, *sys.argv[1:]])
+
+
+predict, train, evaluate = _one("predict"), _one("train"), _one("evaluate")
+
+
 if __name__ == "__main__":
     sys.exit(main())

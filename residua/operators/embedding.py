@@ -3,15 +3,17 @@
 An embedder is any object with ``embed(list[str]) -> list[list[float]]`` that pickles, or a function
 that makes one; it is made once for each Python worker. A sequence that can't be embedded gets null,
 so that labels, which stay in their rows, never shift. The test embedder stands in where no language
-model is installed; it is not one.
+model is wanted; it is not one, and is only taken by its name.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
+import importlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,34 @@ class Embedder(Protocol):
     def embed(self, sequences: list[str]) -> list[list[float]]: ...
 
 
+class LanguageModelEmbedder:
+    """Mean over residues of a protein language model's sixth layer; torch and esm are needed where it runs."""
+
+    LAYER = 6
+
+    def __init__(self, name: str = DEFAULT_MODEL):
+        try:
+            import esm
+            import torch
+        except ImportError as e:
+            raise RuntimeError(f"the embedder {name} needs torch and esm on every worker; choose another with --embedder") from e
+        self.torch = torch
+        self.device = torch.device("cuda" if torch.cuda.is_available() else "cpu")
+        model, alphabet = esm.pretrained.load_model_and_alphabet(name)
+        self.model = model.eval().to(self.device)
+        self.tokens_of = alphabet.get_batch_converter()
+        self.batch = batch_size(torch.cuda.get_device_properties(self.device).total_memory if self.device.type == "cuda" else None, name)
+
+    def embed(self, sequences: list[str]) -> list[list[float]]:
+        _, _, tokens = self.tokens_of([("", s) for s in sequences])
+        with self.torch.no_grad():
+            layer = self.model(tokens.to(self.device), repr_layers=[self.LAYER], return_contacts=False)["representations"][self.LAYER]
+        # one place before the residues is the opening mark's
+        return [layer[k, 1 : len(s) + 1].mean(dim=0).cpu().tolist() for k, s in enumerate(sequences)]
+
+
 class TestEmbedder:
-    """Deterministic vectors from digests of the residues and their places; of no biological meaning."""
+    """A deterministic stand-in of no biological meaning: each dimension is a mean over residues of a small whole number."""
 
     __test__ = False
 
@@ -46,13 +74,25 @@ class TestEmbedder:
         return [self._one(s) for s in sequences]
 
     def _one(self, seq: str) -> list[float]:
-        total = [0.0] * self.width
-        for k in range(0, len(seq), 3):
-            d = hashlib.md5(seq[k : k + 3].encode()).digest()
-            for i in range(self.width):
-                total[i] += d[i % 16] / 255.0 - 0.5
-        n = max(1, -(-len(seq) // 3))
-        return [x / n for x in total]
+        codes, counts = np.unique(np.frombuffer(seq.encode("utf-32-le"), "<u4").astype(np.int64), return_counts=True)
+        values = (codes[:, None] * (2 * np.arange(self.width) + 3)) % 17 - 8
+        return ((values * counts[:, None]).sum(axis=0) / max(1, len(seq))).tolist()
+
+
+def factory(spec: str, model_name: str = DEFAULT_MODEL) -> Callable[[], Embedder]:
+    """How to make an embedder: ``esm`` (with the model's name), ``test``, or ``module:callable``, looked up where it runs."""
+    if spec == "esm":
+        return functools.partial(LanguageModelEmbedder, model_name)
+    if spec == "test":
+        return TestEmbedder
+    module, _, name = spec.partition(":")
+    if not name:
+        raise ValueError(f"{spec}: an embedder is named esm, test or module:callable")
+    return functools.partial(_make, module, name)
+
+
+def _make(module: str, name: str) -> Embedder:
+    return getattr(importlib.import_module(module), name)()
 
 
 _MADE: dict[str, Embedder] = {}
@@ -67,8 +107,9 @@ def embed_column(sequence: Column, make: Callable[[], Embedder], name: str = DEF
         model = _MADE[name]
         for texts in batches:
             out: list[list[float] | None] = []
-            for lo in range(0, len(texts), batch):
-                some = texts.iloc[lo : lo + batch].tolist()
+            size = getattr(model, "batch", batch)
+            for lo in range(0, len(texts), size):
+                some = texts.iloc[lo : lo + size].tolist()
                 try:
                     out += model.embed(some)
                 except Exception:  # one bad sequence must not lose its neighbours

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.operators.ranks import running_total
+from residua.scratch import materialize
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -41,6 +42,7 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the curve by mid-ranks, ties counted half; null where only one class occurs."""
     by = df.groupBy(score).agg(F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.sum((F.col(label) == 0).cast("bigint")).alias("neg"))
+    by = materialize(by, "scores")  # read for the cuts, the totals and the rows
     below = running_total(by, [], score, [], F.col("neg"), "below")
     return below.agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 

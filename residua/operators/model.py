@@ -64,3 +64,7 @@ def save(model: LogisticRegressionModel, path: str) -> None:
 
 def load(path: str) -> LogisticRegressionModel:
     return LogisticRegressionModel.load(path)
+
+
+#: The names under which the package exports them.
+load_model, predict, save_model, train_classifier = load, score, save, train

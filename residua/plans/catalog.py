@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from residua.functions import sequences as fn
 from residua.operators import embedding, metrics, sampling, scoring
+from residua.scratch import scratch_path
 from residua.sources import fasta, hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,10 +65,8 @@ def sql_scored(upper: str) -> str:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents cleaned, cut to what an embedder reads, and scored with the fixed model."""
     seq = fn.truncate(cleaned())
-    docs = table(spark, sf_dir, "documents").select("doc_id", seq.alias("seq"))
-    feats = docs.select("doc_id", *fn.composition(F.col("seq")))
-    names = [c for c in feats.columns if c != "doc_id"]
-    return feats.select("doc_id", scoring.linear_score([F.col(c) for c in names], WEIGHTS, BIAS).alias("z"))
+    feats = fn.with_composition(table(spark, sf_dir, "documents").select("doc_id", seq.alias("seq")), "seq")
+    return feats.select("doc_id", scoring.linear_score([F.col(c) for c in fn.FEATURES], WEIGHTS, BIAS).alias("z"))
 
 
 PREDICT_SQL = f"SELECT doc_id::VARCHAR AS id, CASE WHEN z > 0 THEN 'Adhesion' ELSE 'Non-adhesion' END AS prediction, round(1 / (1 + exp(-z)), 6) AS probability_adhesion FROM ({sql_scored(UPPER_CUT)})"
@@ -106,21 +105,25 @@ def seq_length(spark, sf_dir):
 @query("SELECT doc_id, " + ", ".join(f"({sql_count('u', r)})::BIGINT AS n_{r}" for r in fn.RESIDUES) + f" FROM (SELECT doc_id, {UPPER_CLEAN} AS u FROM documents)")
 def aa_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", cleaned().alias("seq"))
-    return docs.select("doc_id", *fn.residue_counts(F.col("seq")))
+    return fn.with_residue_counts(docs, "seq").drop("seq")
 
 
 @query("SELECT doc_id, " + ", ".join(f"round({e}, 9) AS {n}" for e, n in zip(sql_features("u"), [*[f"aa_{r}" for r in fn.RESIDUES], "len_k"], strict=True)) + f" FROM (SELECT doc_id, {SHARP.format('text')} AS u FROM documents)")
 def aa_frequencies(spark, sf_dir):
     """Of the text as it is: a raw J counts for the length only."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", *fn.composition(F.col("text")))
-    return rows.select("doc_id", *[F.round(c, 9).alias(c) for c in rows.columns if c != "doc_id"])
+    rows = fn.with_composition(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return rows.select("doc_id", *[F.round(c, 9).alias(c) for c in fn.FEATURES])
 
 
-@query("SELECT event_id, printf('%.4f', floor(value * 1000) / 1000 + 0.00004) AS shown FROM events")
+@query("""
+SELECT event_id, printf('%.4f', value) AS shown, printf('%.4f', event_id % 4097 / 4096.0::DOUBLE) AS exact_half, printf('%.4f', (2 * (event_id % 10000) + 1) / 20000.0::DOUBLE) AS near_half
+FROM events
+""")
 def format_prob(spark, sf_dir):
-    """Away from ties, which engines round differently."""
-    p = F.floor(F.col("value") * 1000) / 1000 + 0.00004
-    return table(spark, sf_dir, "events").select("event_id", fn.format_probability(p).alias("shown"))
+    """Any values, exact halves of the last digit, and doubles next to such halves."""
+    e = F.col("event_id")
+    shown = {"shown": F.col("value"), "exact_half": e % 4097 / F.lit(4096.0), "near_half": (2 * (e % 10000) + 1) / F.lit(20000.0)}
+    return table(spark, sf_dir, "events").select("event_id", *(fn.format_probability(p).alias(n) for n, p in shown.items()))
 
 
 @query("""
@@ -135,29 +138,51 @@ def batch_size_rule(spark, sf_dir):
     return parts.select("p_partkey", "model", fn.batch_size_rule(F.col("p_size"), F.col("model")).alias("batch"))
 
 
-def as_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("source", F.col("doc_id"), fasta.format_record(F.concat(F.lit("d"), F.col("doc_id")), F.col("source"), F.col("text")).alias("record"))
+def as_record(id_: Column, text: Column) -> Column:
+    return fasta.format_record(id_, F.col("source"), text)
 
 
 @query("SELECT doc_id, '>d' || doc_id || ' ' || source || chr(10) || text AS record FROM documents")
 def fasta_format(spark, sf_dir):
-    return as_records(spark, sf_dir).select("doc_id", "record")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", as_record(F.concat(F.lit("d"), "doc_id"), F.col("text")).alias("record"))
+
+
+#: Documents in a file that a query writes.
+FILE_DOCS = 5000
+
 
+def fasta_files(spark: SparkSession, sf_dir: str, id_: Column, text: Column) -> str:
+    """Writes the documents as FASTA files of ``FILE_DOCS``, in order of doc_id, below folders f=0, f=1, ..; where they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / FILE_DOCS).alias("f"), as_record(id_, text).alias("value"))
+    path = scratch_path(spark, "fasta")
+    docs.repartition("f").sortWithinPartitions("f", "doc_id").select("value", "f").write.partitionBy("f").text(path)
+    return path
 
-@query("SELECT 'd' || doc_id AS id, source AS description, translate(text, 'Jj*' || chr(10) || chr(13) || chr(9) || ' ', 'LL') AS sequence FROM documents")
+
+FILE_NO = r"/f=(\d+)/"
+
+
+@query(f"""
+SELECT doc_id // {FILE_DOCS} AS f, row_number() OVER (PARTITION BY doc_id // {FILE_DOCS} ORDER BY doc_id) AS record_no, 'd' || doc_id AS id, source AS description,
+translate(text, 'Jj*> ' || chr(10) || chr(13) || chr(9), 'LL') AS sequence FROM documents
+""")
 def fasta_parse(spark, sf_dir):
-    """Records formatted and parsed back."""
-    rows = as_records(spark, sf_dir).select(F.substring("record", 2, 2_000_000_000).alias("value"))
-    return fasta.parse_records(rows).select("id", "description", "sequence")
+    """Documents written as files and read back; a text's own marks would open records and are left out."""
+    path = fasta_files(spark, sf_dir, F.concat(F.lit("d"), "doc_id"), F.translate("text", ">", ""))
+    rows = fasta.read_fasta(spark, path, glob="*.txt")
+    return rows.select(F.regexp_extract("file_path", FILE_NO, 1).cast("bigint").alias("f"), "record_no", "id", "description", "sequence")
 
 
-@query("SELECT source, id, min(doc_id) AS ord FROM (SELECT source, doc_id, lang || (doc_id % 7) AS id FROM documents) GROUP BY source, id")
+@query(f"""
+SELECT f, row_number() OVER (PARTITION BY f ORDER BY least_doc) AS ord, id
+FROM (SELECT doc_id // {FILE_DOCS} AS f, lang || (doc_id % 97) AS id, min(doc_id) AS least_doc FROM documents GROUP BY 1, 2)
+""")
 def fasta_ids_distinct(spark, sf_dir):
-    """The first of equal ids of a source."""
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select("source", "doc_id", F.regexp_extract(F.concat(F.lit(">"), "lang", (F.col("doc_id") % 7).cast("string"), F.lit(" x")), r"^>\s*(\S+)", 1).alias("id"))
-    return rows.groupBy("source", "id").agg(F.min("doc_id").alias("ord"))
+    """Ids of the headers of written files, the first of equal ones of a file."""
+    path = fasta_files(spark, sf_dir, F.concat("lang", (F.col("doc_id") % 97).cast("string")), F.lit("ACD"))
+    rows = fasta.read_headers(spark, path, "*.txt")
+    return rows.select(F.regexp_extract("file_path", FILE_NO, 1).cast("bigint").alias("f"), "ord", "id")
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -165,33 +190,60 @@ def counts_by_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
 
 
-def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eleven-field lines from lineitem: query, subject, identity, fillers and e-value."""
-    item = table(spark, sf_dir, "lineitem")
-    fields = [F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), (F.col("l_quantity") * 2).cast("decimal(5,1)").cast("string"), *[F.lit("-")] * 7, F.col("l_discount").cast("decimal(4,2)").cast("string")]
-    return item.select(F.concat_ws("\t", *fields).alias("value"))
+#: Every so manyth line is odd in its way: blank, short, or with an identity that is no number or an unusual one.
+ODD_LINES = 12
+ODD = {0: "  ", 2: "nan", 3: "abc", 4: "9_5.5", 5: "9.55e1", 6: " 95.5", 7: "95.5d", 8: "", 9: "-inf", 10: "Infinity"}
 
 
-HITS_SQL = "SELECT l_orderkey::VARCHAR AS query, l_partkey::VARCHAR AS subject, (l_quantity * 2)::DECIMAL(5,1)::VARCHAR AS pident_raw, l_discount::DECIMAL(4,2)::VARCHAR AS evalue_raw FROM lineitem"
+def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven-field lines from lineitem: query, subject, identity, fillers and e-value; some are malformed."""
+    item = table(spark, sf_dir, "lineitem")
+    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % ODD_LINES
+    identity = (F.col("l_quantity") * 2).cast("decimal(5,1)").cast("string")
+    for k, text in ODD.items():
+        identity = F.when(kind == k, F.lit(text)).otherwise(identity) if k else identity
+    evalue = F.when(kind == 11, F.concat(F.lit("1e-"), "l_linenumber")).otherwise(F.col("l_discount").cast("decimal(4,2)").cast("string"))
+    fields = [F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), identity, *[F.lit("-")] * 7, evalue]
+    whole = F.concat_ws("\t", *fields)
+    line = F.when(kind == 0, ODD[0]).when(kind == 1, F.concat_ws("\t", *fields[:10])).when(kind == 6, F.concat(F.lit(" "), whole, F.lit("\t "))).otherwise(whole)
+    return item.select(line.alias("value"))
+
+
+ODD_SQL = " ".join(f"WHEN {k} THEN '{t}'" for k, t in ODD.items() if k)
+LINES_SQL = f"""
+(SELECT CASE k WHEN 0 THEN '  ' WHEN 1 THEN array_to_string(f[1:10], chr(9)) WHEN 6 THEN ' ' || array_to_string(f, chr(9)) || chr(9) || ' ' ELSE array_to_string(f, chr(9)) END AS line
+FROM (SELECT k, [l_orderkey::VARCHAR, l_partkey::VARCHAR, CASE k {ODD_SQL} ELSE (l_quantity * 2)::DECIMAL(5,1)::VARCHAR END, '-', '-', '-', '-', '-', '-', '-',
+CASE k WHEN 11 THEN '1e-' || l_linenumber ELSE l_discount::DECIMAL(4,2)::VARCHAR END] AS f FROM (SELECT *, (l_orderkey + l_linenumber) % {ODD_LINES} AS k FROM lineitem)))
+"""
+HITS_SQL = f"""
+SELECT f[1] AS query, f[2] AS subject, f[3] AS pident_raw, f[11] AS evalue_raw FROM (SELECT *, TRY_CAST(trim(f[3]) AS DOUBLE) AS p, TRY_CAST(f[11] AS DOUBLE) AS e
+FROM (SELECT string_split(trim(line, ' ' || chr(9)), chr(9)) AS f FROM {LINES_SQL}) WHERE len(f) >= 11) WHERE p IS NOT NULL
+"""
 HIT_NAMES = ("query", "subject", "pident_raw", "evalue_raw")
 
 
-@query(HITS_SQL + " WHERE l_quantity * 2 > 90")
+@query(HITS_SQL + " AND p > 90 AND NOT isnan(p)")
 def hits_parse_filter(spark, sf_dir):
     return hits.above_identity(hits.parse_hits(hit_lines(spark, sf_dir)), 90.0).select(*HIT_NAMES)
 
 
-@query(HITS_SQL + " WHERE l_discount::DECIMAL(4,2) <= 0.05")
+@query(HITS_SQL + " AND e <= 0.05")
 def hits_evalue_filter(spark, sf_dir):
     return hits.within_evalue(hits.parse_hits(hit_lines(spark, sf_dir)), 0.05).select(*HIT_NAMES)
 
 
-@query(f"SELECT DISTINCT subject FROM ({HITS_SQL} WHERE l_quantity * 2 > 90) ORDER BY subject")
+@query(f"SELECT DISTINCT subject FROM ({HITS_SQL} AND p > 90 AND NOT isnan(p)) ORDER BY subject")
 def hit_ids_sorted(spark, sf_dir):
     return hits.above_identity(hits.parse_hits(hit_lines(spark, sf_dir)), 90.0).select("subject").distinct().orderBy("subject")
 
 
-@query("SELECT DISTINCT l_partkey::VARCHAR AS id FROM lineitem")
+@query(f"SELECT coalesce(problem, 'none') AS problem, count(*) AS n FROM (SELECT CASE WHEN len(f) = 1 AND f[1] = '' THEN 'blank' WHEN len(f) < 11 THEN 'short' WHEN TRY_CAST(trim(f[3]) AS DOUBLE) IS NULL THEN 'identity' END AS problem FROM (SELECT string_split(trim(line, ' ' || chr(9)), chr(9)) AS f FROM {LINES_SQL})) GROUP BY 1")
+def hits_skipped(spark, sf_dir):
+    """Lines by what is wrong with them."""
+    return hits.judge_hits(hit_lines(spark, sf_dir)).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT f[2] AS id FROM (SELECT string_split(trim(line, ' ' || chr(9)), chr(9)) AS f FROM {LINES_SQL}) WHERE len(f) >= 2 AND f[1][1] <> '#'")
 def ignored_ids(spark, sf_dir):
     return hits.parse_ids(hit_lines(spark, sf_dir), 2)
 
@@ -336,9 +388,16 @@ def train_eval(spark, sf_dir):
     return spark.createDataFrame([(t.train_accuracy, t.test_accuracy, t.cv_mean, t.cv_two_std)], "train_accuracy double, test_accuracy double, cv_mean double, cv_two_std double")
 
 
-@query()
+EMBED_SQL = f"""
+WITH d AS (SELECT doc_id, substr({CLEAN}, 1, 1022) AS s FROM documents), c AS (SELECT doc_id, unnest(string_split(s, '')) AS c FROM d),
+m AS (SELECT doc_id, i, sum((unicode(c) * (2 * i + 3)) % 17 - 8) AS total FROM c, unnest(range(16)) t(i) WHERE c <> '' GROUP BY doc_id, i)
+SELECT doc_id, i::INT AS dim, round((coalesce(total, 0)::DOUBLE / greatest(length(s), 1))::FLOAT::DOUBLE, 5) AS x FROM d CROSS JOIN unnest(range(16)) t(i) LEFT JOIN m USING (doc_id, i)
+"""
+
+
+@query(EMBED_SQL)
 def embed_test_vectors(spark, sf_dir):
     """The embedder's boundary, with the stand-in embedder."""
     docs = table(spark, sf_dir, "documents").select("doc_id", cleaned().alias("sequence"))
-    rows = embedding.embed(docs, "sequence", embedding.TestEmbedder, "test")
-    return rows.filter(F.col("embedding").isNotNull()).select("doc_id", "embedding")
+    rows = embedding.embed(docs, "sequence", embedding.TestEmbedder, "test").filter(F.col("embedding").isNotNull())
+    return rows.select("doc_id", F.posexplode("embedding").alias("dim", "x")).select("doc_id", "dim", F.round(F.col("x").cast("double"), 5).alias("x"))

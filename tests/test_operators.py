@@ -1,7 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from residua.operators import metrics, model, sampling
-from residua.operators.ranks import row_numbers
+from residua.operators.ranks import row_numbers, running_total
 
 
 def test_row_numbers(spark):
@@ -12,6 +13,17 @@ def test_row_numbers(spark):
         assert [got[k] for k in want] == list(range(1, len(want) + 1))
 
 
+def test_many_buckets(spark):
+    """Buckets of few rows, repeated and missing order values, values of both signs."""
+    df = spark.range(3000).selectExpr("id", "id % 2 as g", "if(id % 50 = 0, null, cast((id * 37) % 611 - 300 as bigint)) as x").repartition(5)
+    got = {r.id: r.t for r in running_total(df, ["g"], "x", ["id"], F.col("id"), "t", bucket_rows=20).collect()}
+    rows = sorted(((k % 2, -(10**6) if k % 50 == 0 else (k * 37) % 611 - 300, k) for k in range(3000)))
+    want, sums = {}, [0, 0]
+    for g, _, k in rows:
+        want[k], sums[g] = sums[g], sums[g] + k
+    assert got == want
+
+
 def test_quotas_and_folds(spark):
     assert sampling.class_quotas({0: 58, 1: 341}, 0.2) == {0: 12, 1: 68}
     assert sampling.fold_sizes({0: 13, 1: 9}, 5) == {0: [3, 3, 3, 2, 2], 1: [2, 2, 1, 2, 2]}

@@ -1,7 +1,11 @@
 import gzip
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+import residua
 from residua import cli, sinks
 from residua.functions import sequences as fn
 from residua.operators import embedding
@@ -26,7 +30,7 @@ def test_fasta(spark, folder):
         ("a.fasta", 1): ("s1", "first one", "MKLLLL"),
         ("a.fasta", 2): ("s2", "", ""),
         ("a.fasta", 3): ("s1", "again", "ACD"),
-        ("B.FAA", 2): ("t1", "x", "ACDEFG"),
+        ("B.FAA", 1): ("t1", "x", "ACDEFG"),
         ("c.pep.gz", 1): ("g1", "", "WWW"),
     }
     assert fasta.read_fasta(spark, folder, upper=False).count() == 4
@@ -35,12 +39,67 @@ def test_fasta(spark, folder):
     assert ids == [(1, "s1"), (2, "s2")]
 
 
+def test_one_file_in_many_splits(spark, tmp_path):
+    """Records and ids are numbered by file, whatever tasks read it; texts are never shuffled."""
+    want = [(f"r{k % 700}", "A" * (k % 90)) for k in range(2000)]
+    (tmp_path / "big.fasta").write_text("junk\nmore\n" + "".join(f">{i} about {i}\n{s[:60]}\n{s[60:]}\n" for i, s in want))
+    (tmp_path / "small.fasta").write_text(">a\nC\n")
+    small = {"spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        df = fasta.read_fasta(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 10
+        rows = sorted((r.record_no, r.id, r.sequence) for r in df.filter("file_path like '%big.fasta'").collect())
+        ids = [(r.ord, r.id) for r in fasta.read_headers(spark, str(tmp_path), "big.fasta").orderBy("ord").collect()]
+        for limit in (fasta.BROADCAST_BLOCKS, 0):
+            fasta.BROADCAST_BLOCKS, kept = limit, fasta.BROADCAST_BLOCKS
+            assert fasta.read_fasta(spark, str(tmp_path)).count() == 2001
+            fasta.BROADCAST_BLOCKS = kept
+        assert fasta.block_bound(spark.read.text(str(tmp_path))) >= df.rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == [(k + 1, i, s) for k, (i, s) in enumerate(want)]
+    assert ids == [(k + 1, f"r{k}") for k in range(700)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "value" in x]
+
+
+def test_fetch_keeps_the_lists_order(spark):
+    records = spark.createDataFrame([("a", "AA"), ("b", "BB"), ("c", "CC")], "id string, sequence string")
+    ids = spark.createDataFrame([("c", 1), ("a", 2), ("none", 3), ("c", 4)], "id string, ord int")
+    assert [(r.ord, r.sequence) for r in fasta.fetch(records, ids).collect()] == [(1, "CC"), (2, "AA"), (4, "CC")]
+
+
 def test_composition(spark):
-    df = spark.createDataFrame([("AXBJ",), ("",), ("acd",)], "s string")
-    rows = df.select("s", *fn.composition(df.s)).collect()
+    df = spark.createDataFrame([("AXBJ",), ("",), ("acd",), (None,)], "s string")
+    rows = fn.with_composition(df, "s").collect()
     assert rows[0].aa_A == 0.25 and rows[0].len_k == 0.004 and rows[0].aa_L == 0
     assert set(rows[1][1:]) == {0.0}
     assert abs(rows[2].aa_C - 1 / 3) < 1e-12
+    assert set(rows[3][1:-1]) == {0.0} and rows[3].len_k is None
+    counts = fn.with_residue_counts(df, "s").first()
+    assert (counts.n_A, counts.n_C, counts.s) == (1, 0, "AXBJ")
+
+
+def test_work_is_done_once(spark):
+    """A filter above doesn't split lines or count residues again."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    lines = spark.range(10).selectExpr("cast(id as string) as value")
+    text = plan(hits.within_evalue(hits.above_identity(hits.parse_hits(lines)), 1.0))
+    assert text.count("split(") == 1 and text.count("RLIKE") == 2
+    text = plan(fn.with_composition(lines, "value").filter("aa_A + aa_C > 0.1"))
+    assert text.count("upper(") == 1 and text.startswith("Filter")  # above what generates the shares
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(0, 1), min_size=50, max_size=300))
+def test_format_probability(spark, values):
+    values = [*values, 0.03125, 0.00005, 0.00015, 0.99995, 0.000149999999999, 1.0, 0.0, float("nan"), 12.34565, *[k / 4096 for k in range(0, 4096, 37)], *[(2 * k + 1) / 20000 for k in range(0, 10000, 61)]]
+    rows = spark.createDataFrame([(v,) for v in values], "p double").select("p", fn.format_probability(F.col("p")).alias("t")).collect()
+    assert all(r.t == f"{r.p:.4f}" for r in rows), [(r.p, r.t) for r in rows if r.t != f"{r.p:.4f}"][:5]
 
 
 def test_hits(spark):
@@ -65,17 +124,47 @@ def test_bad_sequence_loses_only_itself(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
-def test_train_predict_and_evaluate(spark, tmp_path):
+def test_train_predict_and_evaluate(spark, tmp_path, capsys):
     for side, residues in (("pos", "STST"), ("neg", "GAVL")):
         (tmp_path / side).mkdir()
-        (tmp_path / side / "x.fasta").write_text("".join(f">{side}{k}\n{residues * (3 + k % 5)}\n" for k in range(20)))
+        for k in range(2):
+            (tmp_path / side / f"x{k}.fasta").write_text("".join(f">{side}{k}_{j}\n{residues * (3 + j % 5)}\n" for j in range(10)))
     p = {k: str(tmp_path / k) for k in ("pos", "neg", "model", "out")}
     t = cli.run_train(spark, p["pos"], p["neg"], p["model"], 0.2, embedding.TestEmbedder)
-    assert 0 <= t.test_accuracy <= 1 and 0 <= t.cv_mean <= 1
-    cli.run_predict(spark, p["pos"], p["model"], p["out"], True, embedding.TestEmbedder)
-    assert spark.read.option("header", True).csv(p["out"]).count() == 20
+    assert t.test_accuracy == 1 and t.cv_mean > 0.9
+    cli.run_predict(spark, p["pos"], p["model"], p["out"], False, embedding.TestEmbedder, silent=False)
+    rows = [(r.id, r.prediction) for r in spark.read.option("header", True).csv(p["out"]).collect()]
+    assert rows == [(f"pos{k}_{j}", "Adhesion") for k in range(2) for j in range(10)]  # in order of file and record
+    said = capsys.readouterr().out.splitlines()
+    assert len(said) == 20 and said[0].startswith("pos0_0: Adhesion (p=0.")
     m = cli.run_evaluate(spark, p["pos"], p["neg"], p["model"], embedding.TestEmbedder)["confusion"].first()
-    assert sum(m) == 40
+    assert tuple(m) == (20, 0, 0, 20)
+
+
+def test_exit_codes(spark, tmp_path, capsys):
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "a.fasta").write_text(">a\nACD\n")
+    t = str(tmp_path)
+    assert cli.main(["predict", "--input", f"{t}/a.fasta", "--embedder", "test"]) == 1  # no model
+    assert "train one first" in capsys.readouterr().err
+    assert cli.main(["train", "--positive", f"{t}/empty", "--negative", f"{t}/none", "--output", f"{t}/m", "--embedder", "test"]) == 1
+    assert cli.main(["train", "--positive", f"{t}/a.fasta", "--negative", f"{t}/none", "--output", f"{t}/m", "--embedder", "nocolon"]) == 1
+    assert cli.main(["sample-ids", "--input-dir", t, "--output-dir", f"{t}/o", "--num-ids", "0"]) == 2
+    assert cli.main(["sample-ids", "--input-dir", f"{t}/empty", "--output-dir", f"{t}/o"]) == 1
+    assert cli.main(["sample-ids", "--input-dir", t, "--output-dir", f"{t}/o"]) == 0
+    assert "1 ids after filtering" in capsys.readouterr().err
+    good = "\t".join(["q", "s", "95", *"4567890", "1e-5"])
+    (tmp_path / "h1").write_text(f"{good}x\nshort\n\n")
+    (tmp_path / "h2").write_text(good.replace("95", "bad") + f"\n{good}\n")
+    assert cli.main(["filter-hits", f"{t}/h2", f"{t}/missing", f"{t}/h1", "--output", f"{t}/hits"]) == 1
+    assert [r.value for r in spark.read.text(f"{t}/hits").collect()] == ["q\ts\t95\t1e-5", "q\ts\t95\t1e-5x"]
+    err = capsys.readouterr().err
+    assert "missing not found" in err and "1 lines skipped: fewer than 11" in err and "1 lines skipped: no number" in err
+    assert cli.parser().parse_args(["train"]).model_name == embedding.DEFAULT_MODEL
+    with pytest.raises(RuntimeError, match="torch"):
+        embedding.factory("esm")()
+    assert isinstance(embedding.factory("residua.operators.embedding:TestEmbedder")(), embedding.TestEmbedder)
+    assert residua.train_classifier and residua.read_fasta is fasta.read_fasta
 
 
 def test_sample_ids(spark, tmp_path):
