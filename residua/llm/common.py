@@ -3,38 +3,70 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT_SETTING = "spark.checkpoint.dir"
+from residua.scratch import discard, materialize, scratch_path
 
+__all__ = ["Bitmap", "bitmap_of", "discard", "join_skewed", "map_batches", "materialize", "parts_for", "scratch_path", "spare", "utf8"]
 
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the cluster's shared checkpoint folder.
+#: A key is hot where it has more than one in so many rows; so there are fewer hot keys than this.
+HOT_SHARE = 1000
+#: Bits of a bitmap for each value, and the most that one has (32 MB).
+BITS_EACH, MAX_BITS = 16, 28
 
-    Where the session names no folder (tests on one machine) a temporary one is set, once.
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` has not, made from ``names``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_skewed(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows for a key with one fact for each key, exact whatever share of the rows a key has.
+
+    Facts of hot keys, fewer than HOT_SHARE of them, are broadcast and meet their rows in place; all others are
+    joined by key. ``rows`` is read three times: pass a written table. Null keys meet nothing.
     """
-    base = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/residua/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them again."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    rows = rows.filter(F.col(key).isNotNull())
+    total = rows.count()
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") * HOT_SHARE > total).select(key)
+    hot = F.broadcast(hot)
+    met = rows.join(F.broadcast(facts.join(hot, key, "left_semi")), key)
+    return met.unionByName(rows.join(hot, key, "left_anti").join(facts, key))
+
+
+class Bitmap:
+    """Marks of 64-bit hashes by their low bits: a set mark may be another value's, an unset one is certain."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.mask = np.uint64(64 * len(words) - 1)
+
+    def marked(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) & self.mask
+        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bitmap_of(hashes: DataFrame, column: str) -> Bitmap:
+    """A bitmap of a column of longs, sized by their number up to 32 MB; its words are made in the cluster, and only these come to the driver."""
+    n = hashes.count()
+    bits = min(MAX_BITS, max(16, (BITS_EACH * n - 1).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return Bitmap(out)
 
 
 def map_batches(df: DataFrame, fn: Callable[[list[list]], Iterator[dict[str, list]]], schema: str) -> DataFrame:

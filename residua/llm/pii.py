@@ -10,24 +10,26 @@ values of a kind together, and the addresses of a mail domain, are entities as w
 of letters.
 
 All counts are of distinct texts over the whole corpus, so that copies change none. The terms in question
-and the digests of copied texts travel as bitmaps of fixed size; what passes them is counted and joined
-exactly by term or digest, so the bitmaps decide nothing. A document holds
-spans of its own only.
+and the digests of copied texts travel as bitmaps sized by their number, 32 MB at most; what passes them is
+counted and joined exactly by term or digest, so the bitmaps decide nothing. Texts are cut into terms a few
+megabytes at a time, each distinct term of which is looked up once. A document holds spans of its own only.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import map_batches, materialize
+from residua.llm.common import bitmap_of, join_skewed, map_batches, materialize
 
 #: Kinds in their order: found by form, then by disclosure.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -35,16 +37,15 @@ KINDS = (*BASE_KINDS, "generalise", "remove")
 REACH = 8
 UNSEEN = 1
 GENERALISE, REMOVE = 0.8, 0.95
-BITMAP_BITS = 23
-CACHE_WORDS = 400_000
-SALTS = 16
+#: Bytes of text that are cut into terms at once.
+SLICE_BYTES = 8_000_000
 
 # possessive: each run is read once, also in texts without any match
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?+")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]+")
+TERM, BETWEEN_TERMS = regex.compile(r"\p{L}+"), r"[^\p{L}]+"
 WORD = re.compile(r"\S+")
 
 
@@ -75,12 +76,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def entities(kind: str, value: str) -> list[str]:
-    """The value, its kind and, of an address, the mail domain."""
-    return [f"{kind}:{value}", kind, *(["@" + value.rsplit("@", 1)[1]] if kind == "email" else [])]
+    """The value in one form (of numbers the digits only), its kind and, of an address, the mail domain."""
+    if kind == "email":
+        value = value.lower()
+        return [f"{kind}:{value}", kind, "@" + value.rsplit("@", 1)[1]]
+    parts = re.findall("[0-9]+", value)
+    return [f"{kind}:{'.'.join(str(int(p)) for p in parts) if kind == 'ip' else ''.join(parts)}", kind]
 
 
 def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> dict[str, set[str]]:
-    """Terms within ``reach`` words of each entity of the text, however long these are; none that start in a value.
+    """Terms within ``reach`` words of each entity of a lower-case text, however long these are; none that start in a value.
 
     Blanks and values end words. A value is a word itself, so that a term lies near few values; marks alone are none.
     """
@@ -98,13 +103,13 @@ def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int = REACH)
     terms: list[set[str]] = [set() for _ in words]
     for m in TERM.finditer(text):
         if not taken[m.start() + 1]:
-            terms[bisect_right(words, m.start()) - 1].add(m[0].lower())
+            terms[bisect_right(words, m.start()) - 1].add(m[0])
     found: dict[str, set[str]] = {}
     firsts = [lo for lo, _ in runs]
     for kind, a, b in spans:
         k = place[bisect_right(firsts, a) - 1]
         near = set().union(*terms[max(0, k - reach) : k], *terms[k + 1 : k + 1 + reach])
-        for e in entities(kind, text[a:b].lower()):
+        for e in entities(kind, text[a:b]):
             found.setdefault(e, set()).update(near)
     return found
 
@@ -112,98 +117,95 @@ def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int = REACH)
 BASE = "doc_id bigint, digest bigint, base array<struct<kind: string, s: int, e: int>>, near array<struct<entity: string, term: string>>"
 
 
-def find_base(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the text), base spans and ``near``: pairs of entity and nearby term, and one with a null term for each entity."""
-
-    def run(cols: list[list]) -> Iterator[dict[str, list]]:
-        base = [base_spans(t or "") for t in cols[1]]
-        pairs = [[{"entity": e, "term": t} for e, ts in near_terms(text, spans).items() for t in (None, *sorted(ts))] if spans else [] for text, spans in zip(cols[1], base, strict=True)]
-        yield {"doc_id": cols[0], "digest": cols[2], "base": [[{"kind": k, "s": a, "e": b} for k, a, b in x] for x in base], "near": pairs}
-
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
-    return map_batches(rows, run, BASE)
-
-
-def bit(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode("utf-8")) & ((1 << BITMAP_BITS) - 1)
-
-
-def bitmap_of(places: DataFrame) -> bytes:
-    """A bitmap of fixed size with the given bits set; at most these come to the driver."""
-    bits = np.zeros(1 << BITMAP_BITS, np.uint8)
-    for (at,) in places.distinct().toLocalIterator():
-        bits[at] = 1
-    return np.packbits(bits).tobytes()
+def lower(texts: pa.Array) -> pa.Array:
+    """Letter for letter: places in the result are those in the text. Nulls are empty."""
+    return pc.utf8_lower(pc.fill_null(texts, ""))
 
 
-def is_set(bitmap: bytes, at: int) -> bool:
-    return bool(bitmap[at >> 3] >> (7 - (at & 7)) & 1)
+def text_digest(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def term_places(terms: DataFrame) -> DataFrame:
-    def run(cols: list[list]) -> Iterator[dict[str, list]]:
-        yield {"at": [bit(t) for t in cols[0]]}
-
-    return map_batches(terms.select("term"), run, "at int")
+def find_base(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the text), base spans and ``near``: pairs of entity and nearby term, and one with a null term for each entity."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
+    schema = to_arrow_schema(StructType.fromDDL(BASE))
 
-class TermFilter(dict):
-    """The terms of a blank-separated word that pass the bitmap, remembered for a bounded number of words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                base = [base_spans(t or "") for t in part.column(1).to_pylist()]
+                texts = lower(part.column(1))
+                near = [[{"entity": e, "term": t} for e, ts in near_terms(texts[k].as_py(), spans).items() for t in (None, *sorted(ts))] if spans else [] for k, spans in enumerate(base)]
+                spans = [[{"kind": k, "s": a, "e": b} for k, a, b in x] for x in base]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(spans, schema.field(2).type), pa.array(near, schema.field(3).type)], schema=schema)
 
-    def __init__(self, bitmap: bytes):
-        super().__init__()
-        self.bitmap = bitmap
+    return docs.select("doc_id", "text", text_digest().alias("digest")).mapInArrow(run, BASE)
 
-    def passes(self, term: str) -> bool:
-        return is_set(self.bitmap, bit(term))
 
-    def __missing__(self, word: bytes) -> tuple[str, ...] | None:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        terms = (m[0].lower() for m in TERM.finditer(word.decode("utf-8")))
-        self[word] = found = tuple(t for t in terms if self.passes(t)) or None
-        return found
+def term_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """Slices of some megabytes: the first row, where each row's terms begin (and the last end), their numbers, and the distinct terms."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+        split = pc.split_pattern_regex(lower(texts.slice(lo, hi - lo)), pattern=BETWEEN_TERMS)
+        terms = split.flatten().dictionary_encode()
+        edges = split.offsets.to_numpy()
+        yield lo, edges - edges[0], terms.indices.to_numpy(), terms.dictionary
+        lo = hi
 
 
-def _with_filter(terms: DataFrame, fn: Callable[[TermFilter, list[list]], Iterator[dict[str, list]]]):
-    shared, held = terms.sparkSession.sparkContext.broadcast(bitmap_of(term_places(terms))), {}
+def term_hashes(terms: pa.Array) -> np.ndarray:
+    """Spark's xxhash64 of each term."""
+    return np.array([xxhash.xxh64_intdigest(t, 42) for t in terms.cast(pa.binary()).to_pylist()], np.uint64)
 
-    def run(cols: list[list]) -> Iterator[dict[str, list]]:
-        if "f" not in held:
-            held["f"] = TermFilter(shared.value)
-        yield from fn(held["f"], cols)
 
-    return run
+def hashed(terms: DataFrame) -> DataFrame:
+    return terms.select(F.xxhash64("term").alias("h"))
 
 
 def text_counts(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
     """term and n_t: the distinct texts with each of the terms. ``copied`` has the digests of texts with copies.
 
-    Texts that may have copies give a row for each digest and term, all others are added up where they lie.
+    Texts that may have copies give a row for each digest, all others are added up where they lie. Terms
+    that are not asked for may be among the rows.
     """
-    mask = (1 << BITMAP_BITS) - 1
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(copied.select(F.col("digest").bitwiseAND(F.lit(mask)).cast("int").alias("at"))))
+    asked, again = (docs.sparkSession.sparkContext.broadcast(b) for b in (bitmap_of(hashed(terms), "h"), bitmap_of(copied, "digest")))
 
-    def count(keep: TermFilter, cols: list[list]) -> Iterator[dict[str, list]]:
-        seen: Counter[str] = Counter()
+    names = ["digest", "term", "n", "terms"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
-        rows: dict[str, list] = {k: [] for k in ("digest", "term", "n")}
-        for text, digest in zip(*cols, strict=True):
-            if digest in done:
-                continue
-            terms = {t for ts in filter(None, map(keep.__getitem__, set(text.split()))) for t in ts}
-            if is_set(shared.value, digest & mask):
-                done.add(digest)
-                rows["digest"] += [digest] * len(terms)
-                rows["term"] += terms
-                rows["n"] += [1] * len(terms)
-            else:
-                seen.update(terms)
-        yield {"digest": rows["digest"] + [None] * len(seen), "term": rows["term"] + list(seen), "n": rows["n"] + list(seen.values())}
-
-    texts = docs.filter(F.col("text").isNotNull()).select(F.col("text").cast("binary"), F.xxhash64("text").alias("digest"))
-    found = map_batches(texts, _with_filter(terms, count), "digest bigint, term string, n bigint").groupBy("digest", "term").agg(F.sum("n").alias("n"))
-    return found.groupBy("term").agg(F.sum(F.when(F.col("digest").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+        for batch in batches:
+            digests = batch.column(1).to_numpy()
+            twice = again.value.marked(digests)
+            for lo, edges, codes, words in term_slices(batch.column(0)):
+                wanted = asked.value.marked(term_hashes(words))
+                single, texts = [], []
+                for k in range(len(edges) - 1):
+                    here = codes[edges[k] : edges[k + 1]]
+                    if twice[lo + k]:
+                        if (d := int(digests[lo + k])) in done:
+                            continue
+                        done.add(d)
+                        texts.append((d, np.unique(here[wanted[here]])))
+                    else:
+                        single.append(np.unique(here[wanted[here]]))
+                n = np.bincount(np.concatenate([np.zeros(0, np.int64), *single]), minlength=len(words))
+                some = np.flatnonzero(n)
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *(len(t) for _, t in texts)]).astype(np.int32), words.take(pa.array(np.concatenate([np.zeros(0, np.int64), *(t for _, t in texts)]))))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), words.take(pa.array(some)), pa.array(n[some]), pa.nulls(len(some), lists.type)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts], pa.int64()), pa.nulls(len(texts), pa.string()), pa.nulls(len(texts), pa.int64()), lists], names=names)
+
+    rows = docs.filter(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("digest"))
+    found = materialize(rows.mapInArrow(count, "digest bigint, term string, n bigint, terms array<string>"), "terms_seen")
+    once = found.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.first("terms").alias("terms"))
+    both = found.filter(F.col("digest").isNull()).select("term", "n").union(once.select(F.explode("terms"), F.lit(1).cast("bigint")))
+    return both.groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
@@ -217,8 +219,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     pairs = counts.filter(F.col("term").isNotNull()).withColumnRenamed("n", "n_et")
     digests = base.groupBy("digest").count()
     n_t = text_counts(docs, pairs.select("term").distinct(), digests.filter("count > 1"))
-    # a common term has a row for nearly every entity: equal counts become one before terms are dealt out
-    both = pairs.join(n_e, "entity").select("term", "n_et", "n_e").distinct().join(n_t, "term")
+    # a kind has pairs with nearly every term, and a common term with nearly every entity: equal counts become one
+    both = join_skewed(pairs, n_e, "entity").select("term", "n_et", "n_e").distinct().join(n_t, "term")
     total = F.lit(float(max(digests.count(), 2)))
     pmi = F.log(total * F.col("n_et") / (F.col("n_e") * (F.col("n_t") + UNSEEN)))
     share = pmi / F.greatest(F.log(total / F.col("n_e")), F.lit(1e-9))
@@ -227,32 +229,32 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, digest and ``added``: the spans of the given terms in each text that has some."""
-
-    def find(keep: TermFilter, cols: list[list]) -> Iterator[dict[str, list]]:
-        rows: dict[str, list] = {k: [] for k in ("doc_id", "digest", "term", "s", "e")}
-        for doc_id, text, digest in zip(*cols, strict=True):
-            raw = text.encode("utf-8")
-            hits = {t for ts in filter(None, map(keep.__getitem__, set(raw.split()))) for t in ts}
-            if not hits:
-                continue
-            for m in TERM.finditer(text):
-                if (t := m[0].lower()) in hits:
-                    for k, v in zip(rows, (doc_id, digest, t, *m.span()), strict=True):
-                        rows[k].append(v)
-        yield rows
-
-    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    found = map_batches(texts, _with_filter(terms, find), "doc_id bigint, digest bigint, term string, s int, e int")
-    copies = terms.select("term", "action", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    exact = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(copies, ["term", "salt"])
+    asked = docs.sparkSession.sparkContext.broadcast(bitmap_of(hashed(terms), "h"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids, texts, digests = batch.columns
+            for lo, edges, codes, words in term_slices(texts):
+                wanted = asked.value.marked(term_hashes(words))
+                hits = np.unique(np.searchsorted(edges, np.flatnonzero(wanted[codes]), side="right") - 1)
+                names = set(words.filter(pa.array(wanted)).to_pylist())
+                low = lower(texts.take(pa.array(lo + hits))).to_pylist()
+                found = [(lo + k, m[0], *m.span()) for k, text in zip(hits.tolist(), low, strict=True) for m in TERM.finditer(text) if m[0] in names]
+                at = pa.array([f[0] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_ids.take(at), digests.take(at), pa.array([f[1] for f in found], pa.string()), *(pa.array([f[k] for f in found], pa.int32()) for k in (2, 3))], names=["doc_id", "digest", "term", "s", "e"])
+
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    found = materialize(rows.mapInArrow(find, "doc_id bigint, digest bigint, term string, s int, e int"), "term_spans")
+    exact = join_skewed(found, terms.select("term", "action"), "term")
     return exact.groupBy("doc_id", "digest").agg(F.collect_set(F.struct(F.col("action").alias("kind"), "s", "e")).alias("added"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row for each document row: doc_id, digest, base spans and ``spans`` (all, in order).
 
-    Null texts are empty. Added spans never overlap base ones. Repeated rows get equal answers and a
-    null doc_id stays null.
+    Null texts are empty. Added spans never overlap base ones. Repeated rows get equal answers, rows that
+    share a doc_id are told apart by their text, and a null doc_id stays null. Texts may be of any length.
+    Other columns are left out, so that none can clash. An empty table gives no rows.
     """
     base = materialize(find_base(docs), "base")
     terms = materialize(disclosing_terms(docs, base), "terms")
@@ -275,7 +277,12 @@ def listing(name: str):
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id and the text with values masked by their kind, disclosing terms generalised or removed."""
+    """doc_id and the text with values masked by their kind, disclosing terms generalised or removed.
+
+    A row for each document row: null texts become empty, empty ones stay, a null doc_id stays, rows that
+    share a doc_id keep their own text, repeated rows are each returned. Other columns are left out, so
+    that none can clash. Texts may be of any length; an empty table gives no rows.
+    """
 
     def run(cols: list[list]) -> Iterator[dict[str, list]]:
         out = []
@@ -289,6 +296,6 @@ def sanitise(docs: DataFrame) -> DataFrame:
         yield {"doc_id": cols[0], "text": out}
 
     found = find_personal_data(docs).select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), "spans").distinct()
-    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
+    rows = docs.select("doc_id", "text", text_digest().alias("own"))
     both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("own") == F.col("__digest")))
     return map_batches(both.select("doc_id", "text", "spans"), run, "doc_id bigint, text string")

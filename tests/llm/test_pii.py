@@ -1,7 +1,13 @@
 import hashlib
+import math
 import re
+from collections import Counter
 
-from residua.llm import pii
+import numpy as np
+import regex
+from pyspark.sql import functions as F
+
+from residua.llm import common, pii
 from residua.llm.queries import op7_pii_disclosure
 
 
@@ -39,6 +45,109 @@ def test_forms():
         assert pii.base_spans(t) == slow_base(t), t
 
 
+def slow_entities(kind, value):
+    if kind == "email":
+        return {"email:" + value.lower(), "email", "@" + value.lower().split("@")[1]}
+    if kind == "ip":
+        return {"ip", "ip:" + ".".join(str(int(x)) for x in value.split("."))}
+    return {kind, kind + ":" + "".join(c for c in value if c in "0123456789")}
+
+
+def slow_near(text):
+    """Pairs of entity and term by going over all words; entities alone have a null term."""
+    low, base = text.lower(), slow_base(text)
+    merged = []
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    inside = lambda k: any(a <= k < b for a, b in merged)
+    words, k = [], 0  # starts of words: values, and what is between blanks and values
+    while k < len(low):
+        value = next((m for m in merged if m[0] == k), None)
+        if value:
+            words.append((k, True))
+            k = value[1]
+        elif low[k].isspace():
+            k += 1
+        else:
+            e = k
+            while e < len(low) and not low[e].isspace() and not any(m[0] == e for m in merged):
+                e += 1
+            if any(c.isalnum() for c in low[k:e]):
+                words.append((k, False))
+            k = e
+    terms = [(m.start(), m[0]) for m in regex.finditer(r"\p{L}+", low) if not inside(m.start())]
+    out = set()
+    for kind, a, b in base:
+        at = next(i for i, (k, v) in enumerate(words) if v and k <= a and any(m[0] == k and a < m[1] for m in merged))
+        ends = [*[w[0] for w in words[1:]], len(low)]
+        for e in slow_entities(kind, text[a:b]):
+            out.add((e, None))
+            for i in range(max(0, at - 8), min(len(words), at + 9)):
+                if i != at:
+                    out |= {(e, t) for s, t in terms if words[i][0] <= s < ends[i]}
+    return out
+
+
+def slow_terms(texts):
+    distinct = set(t or "" for t in texts)
+    near = [slow_near(t) for t in distinct]
+    pairs = Counter(p for n in near for p in n)
+    n_t = Counter(w for t in distinct for w in set(regex.findall(r"\p{L}+", t.lower())))
+    total, share = max(len(distinct), 2), {}
+    for (e, t), n in pairs.items():
+        if t is not None:
+            n_e = pairs[e, None]
+            share[t] = max(share.get(t, -9), math.log(total * n / (n_e * (n_t[t] + 1))) / max(math.log(total / n_e), 1e-9))
+    return {t: ("remove" if x >= 0.95 else "generalise", x) for t, x in share.items() if x >= 0.8}
+
+
+def slow_spans(text, terms):
+    base = slow_base(text or "")
+    more = [(terms[m[0]][0], *m.span()) for m in regex.finditer(r"\p{L}+", (text or "").lower()) if m[0] in terms]
+    more = [x for x in more if not any(x[1] < b and a < x[2] for _, a, b in base)]
+    return listed(sorted(base + more, key=lambda s: (s[1], pii.KINDS.index(s[0]))))
+
+
+def test_terms_and_spans_by_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = dict(map(tuple, docs.collect()))
+    terms = slow_terms(texts.values())
+    got = {r.term: (r.action, r.share) for r in pii.disclosing_terms(docs, pii.find_base(docs)).collect()}
+    assert set(got) == set(terms) and len(terms) > 5
+    assert all(got[t][0] == a and abs(got[t][1] - x) < 1e-9 for t, (a, x) in terms.items())
+    assert {r.doc_id: r.spans for r in op7_pii_disclosure(spark, sf).collect()} == {d: slow_spans(t, terms) for d, t in texts.items()}
+
+
+def test_forms_of_one_value(spark):
+    """Cards, phones and addresses in several forms are one entity."""
+    assert pii.entities("card", "4111 1111-1111 1111")[0] == pii.entities("card", "4111111111111111")[0]
+    assert pii.entities("phone", "+1 (555) 123-4567")[0] == pii.entities("phone", "+15551234567")[0]
+    assert pii.entities("ip", "010.0.00.1")[0] == "ip:10.0.0.1"
+    assert pii.entities("email", "A@B.com") == ["email:a@b.com", "email", "@b.com"]
+
+
+def test_join_skewed(spark, monkeypatch):
+    """Hot and other keys, keys without facts, nulls."""
+    rows = spark.createDataFrame([(None if k % 7 == 0 else "hot" if k % 3 else f"k{k % 50}", k) for k in range(900)], "key string, n int")
+    facts = spark.createDataFrame([("hot", 1), *[(f"k{k}", k) for k in range(0, 50, 2)], (None, 5)], "key string, fact int")
+    want = sorted(map(tuple, rows.join(facts, "key").collect()))
+    for share in (1000, 3, 1):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        assert sorted(map(tuple, common.join_skewed(rows, facts, "key").collect())) == want
+
+
+def test_bitmap(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_BITS", 17)
+    some = spark.range(-9000, 9000, 3).select(F.xxhash64("id").alias("h"))
+    marks = common.bitmap_of(some, "h")
+    assert len(marks.words) == 2048 and marks.marked(np.array([r.h for r in some.collect()])).all()
+    assert marks.marked(np.arange(50_000) * 7919).mean() < 0.06
+    assert not common.bitmap_of(some.limit(0), "h").marked(np.arange(1000)).any()
+
+
 def test_query(spark, sf):
     docs = dict(map(tuple, spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()))
     rows = op7_pii_disclosure(spark, sf).collect()
@@ -66,7 +175,7 @@ def test_terms_that_disclose(spark):
 
 def test_near_terms_by_words():
     """Eight words on each side, whole ones, however long; also without blanks; work stays linear."""
-    near = lambda t: pii.near_terms(t, pii.base_spans(t))
+    near = lambda t: pii.near_terms(t.lower(), pii.base_spans(t))
     long = "x" * 900
     t = f"far Ann {long}1 {long}2 - c d e f Zorb 10.0.0.1 {long}3, Lee {'y' * 500} h i j k Bo off"
     assert near(t)["ip:10.0.0.1"] == {"ann", long, "c", "d", "e", "f", "zorb", "lee", "y" * 500, "h", "i", "j", "k", "bo"}
@@ -115,6 +224,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = pii.find_personal_data(odd_docs).collect()
     got = sorted(((r.doc_id, listed((x.kind, x.s, x.e) for x in r.base)) for r in rows), key=repr)
     assert got == sorted(((r.doc_id, listed(slow_base(r.text or ""))) for r in odd_docs.collect()), key=repr)
-    assert pii.find_personal_data(no_docs).count() == 0
+    assert pii.find_personal_data(no_docs).count() == 0 and pii.sanitise(no_docs).count() == 0
+    clean = pii.sanitise(odd_docs).collect()
+    assert len(clean) == odd_docs.count() and not [r for r in clean if r.text is None]
+    assert any("[EMAIL]" in r.text and "[PHONE]" in r.text for r in clean) and any("[IP]" in r.text for r in clean)
+    many = odd_docs.union(spark.createDataFrame([(50 + k, f"ΑΣ İstanbul Zorblatt {'x' * 100} at 10.9.8.7 ok", None, None, None, None, None) for k in range(3)], odd_docs.schema))
+    texts = [r.text for r in many.collect()]
+    terms = slow_terms([t and t.replace("İ", "i").replace("ΑΣ", "ασ") for t in texts])
+    assert {r.term for r in pii.disclosing_terms(many, pii.find_base(many)).collect()} == set(terms)
     digits = spark.createDataFrame([(1, "1" * 200_000), (2, "a" * 200_000 + "@"), (3, "1." * 100_000)], "doc_id bigint, text string")
     assert pii.find_personal_data(digits).count() == 3
