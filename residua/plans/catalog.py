@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from residua import sinks
 from residua.functions import sequences as fn
 from residua.operators import embedding, metrics, sampling, scoring
 from residua.scratch import scratch_path
 from residua.sources import fasta, hits
+from residua.streaming.fasta import score_stream, stream_fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,7 +71,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.select("doc_id", scoring.linear_score([F.col(c) for c in fn.FEATURES], WEIGHTS, BIAS).alias("z"))
 
 
-PREDICT_SQL = f"SELECT doc_id::VARCHAR AS id, CASE WHEN z > 0 THEN 'Adhesion' ELSE 'Non-adhesion' END AS prediction, round(1 / (1 + exp(-z)), 6) AS probability_adhesion FROM ({sql_scored(UPPER_CUT)})"
+def predict_sql(probability: str) -> str:
+    said = "CASE WHEN z > 0 THEN 'Adhesion' ELSE 'Non-adhesion' END AS prediction"
+    return f"SELECT doc_id::VARCHAR AS id, {said}, {probability} AS probability_adhesion FROM ({sql_scored(UPPER_CUT)})"
+
+
+PREDICT_SQL = predict_sql("round(1 / (1 + exp(-z)), 6)")
 
 
 @query(PREDICT_SQL + " WHERE z > 0")
@@ -83,6 +90,14 @@ def predict_all(spark, sf_dir):
     return rounded(scoring.predictions(scored(spark, sf_dir), "doc_id", "z", show_all=True))
 
 
+@query(predict_sql("printf('%.4f', 1 / (1 + exp(-z)))") + " WHERE z > 0")
+def predictions_csv(spark, sf_dir):
+    """The file of predictions as it is written, in order of id."""
+    out = scratch_path(spark, sinks.prediction_name("documents.fasta", False))
+    sinks.write_predictions(scoring.predictions(scored(spark, sf_dir), "doc_id", "z").orderBy("id"), out)
+    return spark.read.option("header", True).csv(out)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("probability_adhesion", F.round("probability_adhesion", 6))
 
@@ -102,13 +117,19 @@ def seq_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", fn.seq_length(F.col("text")).alias("n"))
 
 
-@query("SELECT doc_id, " + ", ".join(f"({sql_count('u', r)})::BIGINT AS n_{r}" for r in fn.RESIDUES) + f" FROM (SELECT doc_id, {UPPER_CLEAN} AS u FROM documents)")
+COUNTS_SQL = ", ".join(f"({sql_count('u', r)})::BIGINT AS n_{r}" for r in fn.RESIDUES)
+
+
+@query(f"SELECT doc_id, {COUNTS_SQL} FROM (SELECT doc_id, {UPPER_CLEAN} AS u FROM documents)")
 def aa_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", cleaned().alias("seq"))
     return fn.with_residue_counts(docs, "seq").drop("seq")
 
 
-@query("SELECT doc_id, " + ", ".join(f"round({e}, 9) AS {n}" for e, n in zip(sql_features("u"), [*[f"aa_{r}" for r in fn.RESIDUES], "len_k"], strict=True)) + f" FROM (SELECT doc_id, {SHARP.format('text')} AS u FROM documents)")
+ROUNDED_SQL = ", ".join(f"round({e}, 9) AS {n}" for e, n in zip(sql_features("u"), fn.FEATURES, strict=True))
+
+
+@query(f"SELECT doc_id, {ROUNDED_SQL} FROM (SELECT doc_id, {SHARP.format('text')} AS u FROM documents)")
 def aa_frequencies(spark, sf_dir):
     """Of the text as it is: a raw J counts for the length only."""
     rows = fn.with_composition(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
@@ -185,6 +206,58 @@ def fasta_ids_distinct(spark, sf_dir):
     return rows.select(F.regexp_extract("file_path", FILE_NO, 1).cast("bigint").alias("f"), "ord", "id")
 
 
+SUFFIXES = (".fasta", ".FAA", ".pep.gz", ".fas")
+
+
+def suffixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents in files of four suffixes by doc_id, one of them that of no sequence file, each in a folder of its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("id"), F.col("lang").alias("description"), F.translate("text", ">\n\r", "").alias("sequence"))
+    root = scratch_path(spark, "suffixes")
+    for k, suffix in enumerate(SUFFIXES):
+        sinks.write_fasta(docs.filter(F.col("doc_id") % len(SUFFIXES) == k), f"{root}/k{k}", suffix)
+    return root
+
+
+BODY = "translate(text, 'Jj*> ' || chr(10) || chr(13) || chr(9), 'LL')"
+
+
+@query(f"SELECT (doc_id % 4)::INT AS k, 'd' || doc_id AS id, lang AS description, {BODY} AS sequence FROM documents WHERE doc_id % 4 < 3")
+def fasta_discovery(spark, sf_dir):
+    """All files below a folder by their suffixes, in any case, plain and gzip."""
+    rows = fasta.read_fasta(spark, suffixed_files(spark, sf_dir))
+    return rows.select(F.regexp_extract("file_path", r"/k(\d)/", 1).cast("int").alias("k"), "id", "description", "sequence")
+
+
+@query(f"SELECT 'd' || doc_id AS id, {BODY} AS sequence, (doc_id % 4 = 0)::INT AS label FROM documents WHERE doc_id % 4 IN (0, 2)")
+def fasta_training(spark, sf_dir):
+    """Positive and negative folders as training reads them: suffixes in lower case only."""
+    root = suffixed_files(spark, sf_dir)
+    sides = [fasta.read_fasta(spark, p, upper=False, on_error="fail") for p in ([f"{root}/k0", f"{root}/k1"], [f"{root}/k2", f"{root}/k3"])]
+    return fasta.labelled_union(*sides).select("id", "sequence", "label")
+
+
+@query(f"SELECT 'd' || doc_id AS id, round(length({SHARP.format(BODY)}) / 1000.0::DOUBLE, 6) AS len_k FROM documents WHERE doc_id % 4 < 3")
+def fasta_stream(spark, sf_dir):
+    """The same files as a stream, scored as they come."""
+    out, marks = scratch_path(spark, "stream"), scratch_path(spark, "marks")
+    score = lambda df: fn.with_composition(df.select("id", "sequence"), "sequence").select("id", F.round("len_k", 6).alias("len_k"))
+    score_stream(stream_fasta(spark, suffixed_files(spark, sf_dir)), score, out, marks).awaitTermination()
+    return spark.read.schema("id string, len_k double").parquet(out)
+
+
+@query("""
+WITH w AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id DESC))::BIGINT AS ord FROM labels UNION ALL SELECT doc_id, doc_id + 1000000000 FROM labels WHERE toxic = 1)
+SELECT ord, doc_id AS id, source FROM w JOIN documents USING (doc_id) ORDER BY ord
+""")
+def fetch_in_order(spark, sf_dir):
+    """Records by a list of ids, in its order and with its repeats."""
+    labels = table(spark, sf_dir, "labels")
+    n = sampling.assign_batches(labels.select((-F.col("doc_id")).alias("down"), "doc_id"), "down", 1).select(F.col("doc_id").alias("id"), (F.col("batch") + 1).alias("ord"))
+    again = labels.filter("toxic = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") + 1_000_000_000).alias("ord"))
+    records = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return fasta.fetch(records, n.union(again)).select("ord", "id", "source")
+
+
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def counts_by_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
@@ -195,9 +268,10 @@ ODD_LINES = 12
 ODD = {0: "  ", 2: "nan", 3: "abc", 4: "9_5.5", 5: "9.55e1", 6: " 95.5", 7: "95.5d", 8: "", 9: "-inf", 10: "Infinity"}
 
 
-def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hit_lines(spark: SparkSession, sf_dir: str, which: Column | None = None) -> DataFrame:
     """Eleven-field lines from lineitem: query, subject, identity, fillers and e-value; some are malformed."""
     item = table(spark, sf_dir, "lineitem")
+    item = item if which is None else item.filter(which)
     kind = (F.col("l_orderkey") + F.col("l_linenumber")) % ODD_LINES
     identity = (F.col("l_quantity") * 2).cast("decimal(5,1)").cast("string")
     for k, text in ODD.items():
@@ -210,19 +284,30 @@ def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ODD_SQL = " ".join(f"WHEN {k} THEN '{t}'" for k, t in ODD.items() if k)
-LINES_SQL = f"""
-(SELECT CASE k WHEN 0 THEN '  ' WHEN 1 THEN array_to_string(f[1:10], chr(9)) WHEN 6 THEN ' ' || array_to_string(f, chr(9)) || chr(9) || ' ' ELSE array_to_string(f, chr(9)) END AS line
-FROM (SELECT k, [l_orderkey::VARCHAR, l_partkey::VARCHAR, CASE k {ODD_SQL} ELSE (l_quantity * 2)::DECIMAL(5,1)::VARCHAR END, '-', '-', '-', '-', '-', '-', '-',
-CASE k WHEN 11 THEN '1e-' || l_linenumber ELSE l_discount::DECIMAL(4,2)::VARCHAR END] AS f FROM (SELECT *, (l_orderkey + l_linenumber) % {ODD_LINES} AS k FROM lineitem)))
-"""
-HITS_SQL = f"""
-SELECT f[1] AS query, f[2] AS subject, f[3] AS pident_raw, f[11] AS evalue_raw FROM (SELECT *, TRY_CAST(trim(f[3]) AS DOUBLE) AS p, TRY_CAST(f[11] AS DOUBLE) AS e
-FROM (SELECT string_split(trim(line, ' ' || chr(9)), chr(9)) AS f FROM {LINES_SQL}) WHERE len(f) >= 11) WHERE p IS NOT NULL
-"""
+
+
+def lines_sql(part: str = "") -> str:
+    """The same lines in SQL; ``part`` names a column that stays beside them."""
+    odd = f"CASE k {ODD_SQL} ELSE (l_quantity * 2)::DECIMAL(5,1)::VARCHAR END"
+    evalue = "CASE k WHEN 11 THEN '1e-' || l_linenumber ELSE l_discount::DECIMAL(4,2)::VARCHAR END"
+    fields = f"[l_orderkey::VARCHAR, l_partkey::VARCHAR, {odd}, '-', '-', '-', '-', '-', '-', '-', {evalue}]"
+    whole = "array_to_string(f, chr(9))"
+    line = f"CASE k WHEN 0 THEN '  ' WHEN 1 THEN array_to_string(f[1:10], chr(9)) WHEN 6 THEN ' ' || {whole} || chr(9) || ' ' ELSE {whole} END AS line"
+    return f"(SELECT {part}{line} FROM (SELECT {part}k, {fields} AS f FROM (SELECT *, (l_orderkey % 3)::INT AS part, (l_orderkey + l_linenumber) % {ODD_LINES} AS k FROM lineitem)))"
+
+
+def hits_sql(part: str = "") -> str:
+    split = f"(SELECT {part}string_split(trim(line, ' ' || chr(9)), chr(9)) AS f FROM {lines_sql(part)})"
+    numbers = f"(SELECT *, TRY_CAST(trim(f[3]) AS DOUBLE) AS p, TRY_CAST(f[11] AS DOUBLE) AS e FROM {split} WHERE len(f) >= 11)"
+    return f"SELECT {part}f[1] AS query, f[2] AS subject, f[3] AS pident_raw, f[11] AS evalue_raw FROM {numbers} WHERE p IS NOT NULL"
+
+
+LINES_SQL, HITS_SQL = lines_sql(), hits_sql()
+ABOVE_SQL = " AND p > 90 AND NOT isnan(p)"
 HIT_NAMES = ("query", "subject", "pident_raw", "evalue_raw")
 
 
-@query(HITS_SQL + " AND p > 90 AND NOT isnan(p)")
+@query(HITS_SQL + ABOVE_SQL)
 def hits_parse_filter(spark, sf_dir):
     return hits.above_identity(hits.parse_hits(hit_lines(spark, sf_dir)), 90.0).select(*HIT_NAMES)
 
@@ -232,12 +317,31 @@ def hits_evalue_filter(spark, sf_dir):
     return hits.within_evalue(hits.parse_hits(hit_lines(spark, sf_dir)), 0.05).select(*HIT_NAMES)
 
 
-@query(f"SELECT DISTINCT subject FROM ({HITS_SQL} AND p > 90 AND NOT isnan(p)) ORDER BY subject")
+@query(f"SELECT DISTINCT subject FROM ({HITS_SQL}{ABOVE_SQL}) ORDER BY subject")
 def hit_ids_sorted(spark, sf_dir):
     return hits.above_identity(hits.parse_hits(hit_lines(spark, sf_dir)), 90.0).select("subject").distinct().orderBy("subject")
 
 
-@query(f"SELECT coalesce(problem, 'none') AS problem, count(*) AS n FROM (SELECT CASE WHEN len(f) = 1 AND f[1] = '' THEN 'blank' WHEN len(f) < 11 THEN 'short' WHEN TRY_CAST(trim(f[3]) AS DOUBLE) IS NULL THEN 'identity' END AS problem FROM (SELECT string_split(trim(line, ' ' || chr(9)), chr(9)) AS f FROM {LINES_SQL})) GROUP BY 1")
+@query(hits_sql("part, ") + ABOVE_SQL)
+def hits_files(spark, sf_dir):
+    """Lines written as three folders of files, read in that order, filtered, written and read again."""
+    root = scratch_path(spark, "hits")
+    for k in range(3):
+        hit_lines(spark, sf_dir, F.col("l_orderkey") % 3 == k).write.text(f"{root}/{k}")
+    kept = hits.above_identity(hits.judge_hits(hits.read_hit_lines(spark, [f"{root}/{k}" for k in range(3)])).filter("problem is null"), 90.0)
+    parts = []
+    for k in range(3):
+        sinks.write_hits(kept.filter(F.col("file_no") == k), f"{root}/kept{k}")
+        f = F.split("value", "\t", -1)
+        parts.append(spark.read.text(f"{root}/kept{k}").select(F.lit(k).alias("part"), *(f[i].alias(n) for i, n in enumerate(HIT_NAMES))))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"""
+SELECT coalesce(problem, 'none') AS problem, count(*) AS n
+FROM (SELECT CASE WHEN len(f) = 1 AND f[1] = '' THEN 'blank' WHEN len(f) < 11 THEN 'short' WHEN TRY_CAST(trim(f[3]) AS DOUBLE) IS NULL THEN 'identity' END AS problem
+FROM (SELECT string_split(trim(line, ' ' || chr(9)), chr(9)) AS f FROM {LINES_SQL})) GROUP BY 1
+""")
 def hits_skipped(spark, sf_dir):
     """Lines by what is wrong with them."""
     return hits.judge_hits(hit_lines(spark, sf_dir)).groupBy(F.coalesce("problem", F.lit("none")).alias("problem")).agg(F.count("*").alias("n"))
@@ -279,6 +383,15 @@ def sample_n_per_source(spark, sf_dir):
     return sampling.sample_per_source(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 5)
 
 
+@query("SELECT source AS source_file, 'd' || doc_id AS id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42:d' || doc_id), doc_id) AS rn FROM documents) WHERE rn <= 50")
+def sampled_id_files(spark, sf_dir):
+    """The lists of sampled ids as they are written, by source."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_file"), F.concat(F.lit("d"), "doc_id").alias("id"))
+    out = scratch_path(spark, "sampled")
+    sinks.write_sampled_ids(sampling.sample_per_source(docs, "source_file", "id", 50), out)
+    return spark.read.text(out).select("source_file", F.col("value").alias("id"))
+
+
 @query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM documents")
 def batch_assign(spark, sf_dir):
     return sampling.assign_batches(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 4)

@@ -11,7 +11,8 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _ROOTS: dict[str, str] = {}
 
 
-def _path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system that it is on."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -30,7 +31,7 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
         sc.setCheckpointDir(base)
     root = f"{base.rstrip('/')}/residua/{sc.applicationId}"
     if _ROOTS.get(sc.applicationId) != root:
-        p, files = _path(spark, root)
+        p, files = hadoop_path(spark, root)
         files.mkdirs(p)
         files.deleteOnExit(p)
         _ROOTS[sc.applicationId] = root
@@ -47,5 +48,5 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Deletes what ``materialize`` wrote for a table that nothing will read again."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p, files = _path(df.sparkSession, folder)
+        p, files = hadoop_path(df.sparkSession, folder)
         files.delete(p, True)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.functions.sequences import format_probability
+from residua.scratch import hadoop_path
 from residua.sources.fasta import format_record
 from residua.sources.hits import hit_line
 
@@ -33,6 +34,14 @@ def write_hits(df: DataFrame, folder: str) -> None:
     df.select(hit_line().alias("value")).write.mode("overwrite").text(folder)
 
 
-def write_fasta(df: DataFrame, folder: str) -> None:
-    """Records of id, description and sequence."""
-    df.select(format_record(F.col("id"), F.nullif(F.col("description"), F.lit("")), F.col("sequence")).alias("value")).write.mode("overwrite").text(folder)
+def write_fasta(df: DataFrame, folder: str, suffix: str = ".fasta") -> None:
+    """Records of id, description and sequence in files that end in ``suffix``, in gzip where that does."""
+    rows = df.select(format_record(F.col("id"), F.nullif(F.col("description"), F.lit("")), F.col("sequence")).alias("value"))
+    packed = suffix.lower().endswith(".gz")
+    rows.write.mode("overwrite").option("compression", "gzip" if packed else "none").text(folder)
+    # Spark names text files itself; the readers look for suffixes of sequences
+    p, files = hadoop_path(df.sparkSession, folder)
+    for status in files.listStatus(p):
+        name = status.getPath().getName()
+        if name.startswith("part-"):
+            files.rename(status.getPath(), hadoop_path(df.sparkSession, f"{folder}/{name.split('.txt')[0]}{suffix}")[0])

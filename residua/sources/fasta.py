@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from residua.functions.sequences import clean_body
+from residua.scratch import hadoop_path
 
 # The suffixes of sequence files.
 SUFFIXES = (".aa", ".faa", ".pep", ".fa", ".fasta", ".aa.gz", ".faa.gz", ".pep.gz", ".fa.gz", ".fasta.gz")
@@ -80,8 +81,8 @@ def block_bound(rows: DataFrame) -> int:
 
 
 def _status(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    p, files = hadoop_path(spark, path)
+    found = files.globStatus(p)
     return list(found) if found is not None else []
 
 
