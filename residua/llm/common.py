@@ -6,23 +6,27 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residua.scratch import discard, materialize, scratch_path
 
-__all__ = ["Bitmap", "bitmap_of", "discard", "join_skewed", "map_batches", "materialize", "parts_for", "scratch_path", "spare", "utf8"]
+__all__ = ["Bitmap", "bitmap_of", "discard", "join_counted", "join_skewed", "marked", "map_batches", "materialize", "parts_for", "scratch_path", "spare", "utf8"]
 
 #: A key is hot where it has more than one in so many rows; so there are fewer hot keys than this.
 HOT_SHARE = 1000
 #: Bits of a bitmap for each value, and the most that one has (32 MB).
 BITS_EACH, MAX_BITS = 16, 28
+#: Where the parts of a hash begin that are marked.
+SHIFTS = (0, 18, 36)
 
 
-def spare(df: DataFrame, *names: str) -> list[str]:
-    """Column names that ``df`` has not, made from ``names``."""
-    taken = {c.lower() for c in df.columns}
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Names that are none of ``columns``, made from ``names``."""
+    taken = {c.lower() for c in columns}
     out = []
     for name in names:
         while name.lower() in taken:
@@ -32,43 +36,65 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_skewed(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """Inner join of many rows for a key with one fact for each key, exact whatever share of the rows a key has.
+def join_counted(rows: DataFrame, facts: DataFrame, key: str | list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins many rows for a key with at most one fact for each key, exact whatever share of the rows a key has.
 
-    Facts of hot keys, fewer than HOT_SHARE of them, are broadcast and meet their rows in place; all others are
-    joined by key. ``rows`` is read three times: pass a written table. Null keys meet nothing.
+    ``facts`` tell in column ``n`` how many rows a key has of ``total``. Those of hot keys, fewer than
+    HOT_SHARE of them, are broadcast and meet their rows in place; all others are joined by key (``how``
+    inner or left). Null keys meet nothing. Tables are read more than once: pass written ones, or aggregates.
     """
-    rows = rows.filter(F.col(key).isNotNull())
-    total = rows.count()
-    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") * HOT_SHARE > total).select(key)
-    hot = F.broadcast(hot)
-    met = rows.join(F.broadcast(facts.join(hot, key, "left_semi")), key)
-    return met.unionByName(rows.join(hot, key, "left_anti").join(facts, key))
+    keys = [key] if isinstance(key, str) else key
+    is_hot = F.col(n) * HOT_SHARE > total
+    hot = F.broadcast(facts.filter(is_hot))
+    rest = rows.join(F.broadcast(facts.filter(is_hot).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(facts.filter(~is_hot), keys, how))
+
+
+def join_skewed(rows: DataFrame, facts: DataFrame, key: str | list[str]) -> DataFrame:
+    """Inner ``join_counted`` where the rows of each key must be counted first."""
+    keys = [key] if isinstance(key, str) else key
+    (n,) = spare([*rows.columns, *facts.columns], "n")
+    counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(n))
+    return join_counted(rows, facts.join(counts, keys), keys, n, rows.count()).drop(n)
 
 
 class Bitmap:
-    """Marks of 64-bit hashes by their low bits: a set mark may be another value's, an unset one is certain."""
+    """Marks of 64-bit hashes, each by three parts of it: what has all its marks may still be another value, what lacks one is certain."""
 
     def __init__(self, words: np.ndarray):
         self.words = words
         self.mask = np.uint64(64 * len(words) - 1)
 
     def marked(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.view(np.uint64) & self.mask
-        return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        out = np.ones(len(hashes), bool)
+        for shift in SHIFTS:
+            at = hashes.view(np.uint64) >> np.uint64(shift) & self.mask
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
 
 
 def bitmap_of(hashes: DataFrame, column: str) -> Bitmap:
     """A bitmap of a column of longs, sized by their number up to 32 MB; its words are made in the cluster, and only these come to the driver."""
     n = hashes.count()
     bits = min(MAX_BITS, max(16, (BITS_EACH * n - 1).bit_length()))
-    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    words = hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    parts = F.array(*(F.shiftrightunsigned(column, shift) for shift in SHIFTS))
+    at = hashes.select(F.explode(parts).alias("at")).select(F.col("at").bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
     return Bitmap(out)
 
 
+def marked(hash_: Column, bitmap: Bitmap) -> Column:
+    """Whether a row's hash has a mark; only the hashes go to Python."""
+    shared = SparkContext.getOrCreate().broadcast(bitmap)
+
+    def probe(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.marked(h.to_numpy()))
+
+    return F.pandas_udf(probe, "boolean")(hash_)
+
+
 def map_batches(df: DataFrame, fn: Callable[[list[list]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """Arrow batches through ``fn``: it gets the columns as lists and yields dicts of output columns."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -2,8 +2,8 @@
 
 Every three consecutive lines are hashed. Windows that occur more than once in the corpus stay where
 they occur first, in order of doc_id and line; the lines that later occurrences cover are removed,
-overlapping occurrences as one span. Only hashes and positions are shuffled for the search; texts move
-once, to meet the spans to cut.
+overlapping occurrences as one span. Only hashes and positions are shuffled for the search. Texts that a
+bounded bitmap tells to have nothing to cut stay where they lie; the others move once, to meet their spans.
 """
 
 from __future__ import annotations
@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from residua.llm.common import map_batches, materialize
+from residua.llm.common import bitmap_of, join_counted, map_batches, marked, materialize, spare
 
 WINDOW_LINES = 3
-#: Keys over which the later occurrences of one window are dealt.
-SALTS = 16
 
 
 def line_key(line: str) -> bytes:
@@ -66,10 +64,8 @@ def spans_to_cut(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
     """doc_id, digest and ``cuts``: merged spans [start, end) of lines that later occurrences cover."""
     found = materialize(windows(docs, window), "windows")
     place = F.struct("doc_id", "digest", "line")
-    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
-    copies = repeated.select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line"), F.lit(SALTS)).cast("int"))
-    later = salted.join(copies, ["h1", "h2", "salt"]).filter(~place.eqNullSafe(F.col("first")))
+    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter(~F.col("first").eqNullSafe(F.col("last")))
+    later = join_counted(found, repeated, ["h1", "h2"], "n", found.count()).filter(~place.eqNullSafe(F.col("first")))
     starts = later.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("starts"))
     return starts.select("doc_id", "digest", merge_spans("starts", window).alias("cuts"))
 
@@ -102,18 +98,24 @@ def cut_lines(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
 
     Null texts stay null with no lines; a text of fewer lines than a window is never cut. Rows with
     the same doc_id and text are one document: they neither repeat each other nor differ in result.
-    Rows with no doc_id come before all others. A text that is cut entirely becomes empty. Columns of
-    ``docs`` named n_lines or n_cut are replaced.
+    Rows with no doc_id come before all others. A text that is cut entirely becomes empty. Texts may be of
+    any length. Columns of ``docs`` named n_lines or n_cut are replaced, those of any other name stay. An
+    empty table gives no rows.
     """
-    cuts = spans_to_cut(docs, window).select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), "cuts")
-    rows = docs.drop("n_lines", "n_cut").withColumn("__own", digest("text"))
-    # rows without cuts keep their text as it is; a document's cuts are one row
-    both = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__digest")), "left")
-    lines = F.split("text", "\n", -1)
-    # only the texts that have something to cut go to Python
-    kept = without_spans(F.when(F.col("cuts").isNotNull(), F.col("text")), F.col("cuts"))
-    n_cut = F.coalesce(F.expr("aggregate(cuts, 0L, (a, c) -> a + c.e - c.s)"), F.lit(0).cast("bigint"))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.coalesce(F.size(lines).cast("bigint"), F.lit(0).cast("bigint"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_cut")]
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.when(F.col("text").isNull(), F.lit(0).cast("bigint")).otherwise(n_lines).alias("n_lines"), n_cut.alias("n_cut"))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_cut")]
+    rows = docs.select(*names)
+    own, touched, other_id, other_digest, cuts, mark = spare(names, "own_digest", "touched", "other_id", "other_digest", "cuts", "mark")
+    spans = spans_to_cut(docs, window).select(F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest), F.col("cuts").alias(cuts))
+    spans = materialize(spans.withColumn(mark, F.xxhash64(F.coalesce(other_id, F.lit(-1)), other_digest)), "cuts")
+    rows = rows.withColumn(own, digest("text"))
+    rows = rows.withColumn(touched, marked(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), own), bitmap_of(spans, mark)))
+    zero = F.lit(0).cast("bigint")
+    n_lines = F.when(F.col("text").isNull(), zero).otherwise(F.size(F.split("text", "\n", -1)).cast("bigint")).alias("n_lines")
+    whole = rows.filter(~F.col(touched)).select(*names, n_lines, zero.alias("n_cut"))
+    # a document's cuts are one row; a mark may also be another's, so that some rows meet none
+    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other_digest))
+    met = rows.filter(touched).join(spans, same, "left")
+    kept = without_spans(F.when(F.col(cuts).isNotNull(), F.col("text")), F.col(cuts))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(kept).alias("text")
+    n_cut = F.coalesce(F.aggregate(cuts, zero, lambda a, c: a + c.e - c.s), zero).alias("n_cut")
+    return whole.unionByName(met.select(*[text if c == "text" else F.col(c) for c in names], n_lines, n_cut))

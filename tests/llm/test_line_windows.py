@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from residua.llm import common
 from residua.llm import line_windows as lw
 from residua.llm.queries import op9_line_windows
 
@@ -60,3 +63,34 @@ def test_many_spans(spark):
     by = {r.doc_id: r for r in rows}
     assert by[1].n_cut == 3 * 7999 and by[1].text.split("\n") == passage + [x for x in lines if x not in passage]
     assert by[2].text == "" and by[2].n_cut == 3
+
+
+def test_names_that_clash(spark, odd_docs):
+    """Columns named as the operator's own are kept, whatever their type."""
+    docs = odd_docs
+    for name in ("cuts", "own_digest", "touched", "other_id", "other_digest", "mark", "h1", "line", "first", "N_CUT"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.coalesce(F.col("doc_id"), F.lit(-1))))
+    rows = lw.cut_lines(docs).collect()
+    plain = sorted(((r.doc_id, r.text, r.n_lines, r.n_cut) for r in lw.cut_lines(odd_docs).collect()), key=repr)
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_cut) for r in rows), key=repr) == plain
+    assert all(r[n] == f"{n}{-1 if r.doc_id is None else r.doc_id}" for r in rows for n in ("cuts", "own_digest", "touched", "other_id", "mark", "line"))
+
+
+def test_hot_windows(spark, monkeypatch):
+    """One passage in most documents, with every window hot and with none."""
+    rng = random.Random(2)
+    docs = [(k, "\n".join([*(["p q", "r", "s t", "u"] if k % 4 else []), *(rng.choice("abcdefghij") * 3 for _ in range(rng.randrange(6)))])) for k in range(300)]
+    want = sorted((d, *v) for (d, _), v in slow(docs).items())
+    for share in (1000, 2):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        assert sorted(map(tuple, lw.cut_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())) == want
+
+
+def test_odd_rows_by_brute_force(odd_docs):
+    """Documents in the operator's order: without id first, then by id; of one id by the texts' digests."""
+    rows = [(r.doc_id, r.text, r.digest) for r in odd_docs.select("doc_id", "text", lw.digest("text").alias("digest")).collect()]
+    order = sorted({(d is not None, d or 0, g, t) for d, t, g in rows if t is not None}) + [(True, 0, 0, None)]
+    want = slow([((a, d), t) for a, d, _, t in order])
+    found = {(a, d, t): want[(a, d), t] for a, d, _, t in order}
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_cut) for r in lw.cut_lines(odd_docs).collect()), key=repr)
+    assert got == sorted(((d, *(found[d is not None, d or 0, t] if t is not None else (None, 0, 0))) for d, t, _ in rows), key=repr)
