@@ -5,8 +5,10 @@ payloads the one with the largest id is a response and the others are revisits o
 archive back gives a locally sorted run of captures. The index over all archives is an external
 merge: each run is cut at boundaries taken from a regular sample of all runs, the cuts of one key range
 meet in one task, and a loser tree merges them by URL key, time and page. Ranges follow each other, so
-the histories are in global order; boundaries are whole (key, time, page) triples, so that a URL with
-a third of all captures is spread over as many ranges as it needs.
+the histories are in global order; boundaries are captures' whole places in that order, down to archive and
+offset, so that a URL, or a single capture repeated, with a third of all rows is spread over as many ranges
+as it needs. The sample is sorted in the cluster; one boundary for each range comes to the driver, as does
+one for each task of a sort by Spark itself.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import materialize, parts_for, scratch_path, utf8
+from residua.llm.common import bitmap_of, join_counted, marked, materialize, parts_for, scratch_path, utf8
 
 ARCHIVE_BYTES = 64_000_000
 ARCHIVE_ROWS = 4000
@@ -35,6 +37,8 @@ GZIP_LEVEL = 4
 
 CAPTURE = "page_id bigint, url_key string, captured_at bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, archive string, at bigint"
 FIELDS = [f.split()[0] for f in CAPTURE.split(", ")]
+#: What orders captures.
+PLACE = ["url_key", "captured_at", "page_id", "archive", "at"]
 
 
 def url_key(url: str | None) -> str:
@@ -51,13 +55,26 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
+#: What a date of an archive can tell: years 1 to 9999.
+EPOCH, FIRST, LAST = datetime(1970, 1, 1), -62_135_596_800, 253_402_300_799
+
+
+def date_of(when: int) -> str:
+    t = EPOCH + timedelta(seconds=min(LAST, max(FIRST, when)))
+    return f"{t.year:04d}-{t:%m-%dT%H:%M:%S}Z"
+
+
+def time_of(date: str) -> int:
+    return int((datetime.fromisoformat(date.removesuffix("Z")) - EPOCH).total_seconds())
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, when: int, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC/1.1 record. A revisit has no payload, but tells its length."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>",
-        f"WARC-Date: {datetime.fromtimestamp(when, timezone.utc).strftime('%Y-%m-%dT%H:%M:%SZ')}",
+        f"WARC-Date: {date_of(when)}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
@@ -100,26 +117,32 @@ def _files(path: str):
 def with_references(pages: DataFrame) -> DataFrame:
     """Adds ``payload``, ``digest`` (hex SHA-1) and, for rows that revisit another, ``is_revisit`` and ``refers_to``.
 
-    Only ids and digests are compared; the payloads move once, dealt evenly by page.
+    Only digests are compared. Payloads of a single page stay where they lie, as a bounded bitmap of the repeated
+    digests tells; of the others those of very many pages meet their reference in place, and the rest move once.
     """
     rows = pages.select("page_id", "url", "fetched_at", utf8("html").alias("payload")).withColumn("digest", F.sha1("payload"))
-    ids = rows.select("page_id", "digest")
-    largest = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    salted = largest.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    own = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int"))
-    again = own.join(salted, ["digest", "salt"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to").distinct()
-    both = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
-    return both.select("page_id", "url", "fetched_at", "payload", "digest", F.col("again_digest").isNotNull().alias("is_revisit"), "refers_to")
+    ids = materialize(rows.select("page_id", "digest"), "payloads")
+    repeated = ids.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    repeated = materialize(repeated.withColumn("mark", F.xxhash64("digest")), "repeated")
+    rows = rows.withColumn("again", marked(F.xxhash64("digest"), bitmap_of(repeated, "mark")))
+    met = join_counted(rows.filter("again"), repeated.drop("mark"), "digest", "n", ids.count(), "left")
+    # where no row of a group has an id, all are responses
+    revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    met = met.withColumn("is_revisit", revisit).withColumn("refers_to", F.when(F.col("is_revisit"), F.col("refers_to")))
+    alone = rows.filter("not again").withColumns({"is_revisit": F.lit(False), "refers_to": F.lit(None).cast("bigint")})
+    names = ["page_id", "url", "fetched_at", "payload", "digest", "is_revisit", "refers_to"]
+    return alone.select(*names).unionByName(met.select(*names))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes the archives below ``folder`` (the shared one by default); a row for each: archive, n_records, n_bytes.
 
     A repeated attempt of a task writes under new names; only archives of the rows that Spark has
-    committed count. A null html is an empty payload, a null url an empty address, a null time 1970.
-    Rows with equal page_id and payload are alike: all response, or all revisits. Where no row of a
-    group has an id, all are responses.
+    committed count. A null html is an empty payload, a null url an empty address, a null time 1970; times
+    before the year 1 or after 9999 count as its first or last second. Rows with equal page_id and payload
+    are alike: all response, or all revisits. Where no row of a group has an id, all are responses. Pages
+    and addresses may be of any length. Other columns are left out, so that none can clash. An empty table
+    gives no archives.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     when = F.coalesce(F.unix_timestamp("fetched_at"), F.lit(0)).alias("when")
@@ -173,7 +196,7 @@ def read_runs(archives: DataFrame) -> DataFrame:
                         digest, revisit = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "revisit"
                         if not revisit and base32(hashlib.sha1(payload).hexdigest()) != digest:
                             raise ValueError(f"{archive}: the payload at {at} differs from its digest")
-                        when = int(datetime.strptime(h["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc).timestamp())
+                        when = time_of(h["WARC-Date"])
                         length = int(h["X-Payload-Length"]) if revisit else len(payload)
                         run.append((page(h["WARC-Record-ID"]), url_key(h["WARC-Target-URI"]), when, length, digest, h["WARC-Type"], page(h["WARC-Refers-To"]) if revisit else None, archive, at))
                 run.sort(key=order_key)
@@ -246,13 +269,21 @@ def merge_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.take(pa.array(range(step // 2, batch.num_rows, step), pa.int64()))
-            yield some.select(["url_key", "captured_at", "page_id"])
+            yield batch.take(pa.array(range(step // 2, batch.num_rows, step), pa.int64())).select(PLACE)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = SAMPLES // 2
+        for batch in batches:
+            picked = list(range(at, batch.num_rows, SAMPLES))
+            at = (picked[-1] + SAMPLES if picked else at) - batch.num_rows
+            yield batch.take(pa.array(picked, pa.int64()))
 
     bounds: list[tuple] = []
-    if ranges > 1:  # about SAMPLES keys a range come to the driver
-        keys = sorted((r[0], r[1], -(1 << 63) if r[2] is None else r[2]) for r in runs.mapInArrow(sample, "url_key string, captured_at bigint, page_id bigint").toLocalIterator())
-        bounds = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)} if keys else set())
+    if ranges > 1:
+        schema = "url_key string, captured_at bigint, page_id bigint, archive string, at bigint"
+        # a missing page_id comes first, as in order_key
+        sorted_sample = runs.mapInArrow(sample, schema).orderBy("url_key", "captured_at", F.asc_nulls_first("page_id"), "archive", "at")
+        bounds = sorted({(r[0], r[1], -(1 << 63) if r[2] is None else r[2], r[3], r[4]) for r in sorted_sample.mapInArrow(every, schema).toLocalIterator()})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +292,7 @@ def merge_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
             before = None
             for row in rows:
                 key = order_key(row)
-                where = bisect_right(bounds, key[:3])
+                where = bisect_right(bounds, key)
                 if before is None or key < before or where != pieces[-1][0]:
                     pieces.append((where, []))
                 pieces[-1][1].append(row)
@@ -285,5 +316,8 @@ _SEGMENT = pa.list_(pa.struct(list(zip(FIELDS, _TYPES, strict=True))))
 
 
 def archive_and_index(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Pages (page_id, url, html, fetched_at) to archives, and back as the merged index of captures."""
+    """Pages (page_id, url, html, fetched_at) to archives, and back as the merged index of captures.
+
+    A row for each page row, as ``write_archives`` says of nulls and repeated rows; an empty table gives none.
+    """
     return merge_index(materialize(read_runs(write_archives(pages, folder)), "runs"))

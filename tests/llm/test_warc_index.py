@@ -1,8 +1,11 @@
 import base64
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from residua.llm import common
 from residua.llm import warc_index as w
 from residua.llm.queries import op1_warc_index
 
@@ -66,3 +69,33 @@ def test_global_order(spark):
     for r in rows:
         sizes[r.range_no] += 1
     assert len(sizes) > 20 and max(sizes.values()) < 400
+
+
+def test_dates():
+    """All years that an archive can name; times beyond are its first and last seconds."""
+    for when in (0, -1, w.FIRST, w.LAST, -50_000_000_000, 1_700_000_000):
+        assert w.time_of(w.date_of(when)) == when
+    assert w.date_of(w.FIRST) == "0001-01-01T00:00:00Z" and len(w.date_of(-50_000_000_000)) == 20
+    assert w.time_of(w.date_of(10**15)) == w.LAST and w.time_of(w.date_of(-(10**15))) == w.FIRST
+
+
+def test_early_and_late_times(spark):
+    pages = spark.createDataFrame([(1, "http://a.com", "x", -40_000_000_000), (2, "http://a.com", "y", 0), (3, "http://a.com", "z", 10**12), (4, "http://a.com/" + "p" * 300_000, "z", None)], "page_id bigint, url string, html string, t bigint")
+    rows = w.archive_and_index(pages.withColumn("fetched_at", F.timestamp_seconds("t"))).collect()
+    assert {r.page_id: r.captured_at for r in rows} == {1: -40_000_000_000, 2: 0, 3: w.LAST, 4: 0}
+
+
+def test_ranges_with_repeated_rows(spark, monkeypatch):
+    """One row a thousand times, rows without id, address and time: each range stays small, the order is whole."""
+    pages = spark.range(3000).selectExpr("if(id % 3 = 0, 7, if(id % 7 = 0, null, id)) as page_id", "if(id % 3 = 0, 'http://hot.example.com/', if(id % 7 = 0, null, concat('http://h', id % 50, '.example.com/', id))) as url", "if(id % 3 = 0, 'same', cast(id % 100 as string)) as html", "if(id % 7 = 0 or id % 3 = 0, null, timestamp_seconds(id)) as fetched_at")
+    pages = w.materialize(pages.repartition(6), "pages")
+    want = slow([(r.page_id, r.html) for r in pages.collect()])
+    for share in (1000, 2):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        runs = w.materialize(w.read_runs(w.write_archives(pages)), "runs")
+        rows = sorted(w.merge_index(runs, range_rows=100).collect(), key=lambda r: (r.range_no, r.range_pos))
+        keys = [w.order_key(tuple(r)) for r in rows]
+        assert keys == sorted(keys)
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=repr) == want
+        sizes = Counter(r.range_no for r in rows)
+        assert len(sizes) > 20 and max(sizes.values()) < 400
