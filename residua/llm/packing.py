@@ -10,17 +10,20 @@ while no task ever sees more than ``group_rows`` pieces.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import map_batches, materialize, parts_for, utf8
+from residua.llm.common import join_skewed, map_batches, materialize, parts_for, utf8
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -28,15 +31,29 @@ GROUP_ROWS = 131_072
 #: Words that a worker remembers at most, in each of two generations.
 CACHE_WORDS = 400_000
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+#: ``ids_hash`` tells, beside the checksum, pieces of texts apart that share a doc_id.
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids_hash bigint"
+
+
+def works_by_words(rules: dict) -> bool:
+    """Whether a tokenizer's rules lower letters, cut at white space and leave it out, with special tokens of the known opening only."""
+    normal, cut = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+    steps = normal.get("normalizers", [normal])
+    known = all(n.get("type") in ("NFC", "Lowercase") or n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"} and n.get("content") == " " for n in steps)
+    first = (cut.get("pretokenizers") or [cut])[0]
+    pattern = (first.get("pattern") or {}).get("Regex", " ") if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") else " "
+    no_blanks = not any(regex.search(pattern, blank) for blank in " \t\n\r\x0b\x0c\xa0") and regex.findall(pattern, "ab cd") == ["ab", "cd"]
+    plain = rules.get("post_processor") is None and not rules["model"].get("continuing_subword_prefix")
+    return known and any(n.get("type") == "Lowercase" for n in steps) and no_blanks and plain and all(t["content"].startswith("<|") for t in rules.get("added_tokens", []))
 
 
 class WordEncoder:
     """Token ids of whole texts, exactly as the tokenizer gives them, by remembering words.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its
-    blank-separated words in turn. Words are kept with ASCII letters lowered, as the tokenizer
-    lowers them itself. Texts that hold the opening of a special token go to the tokenizer whole.
+    Where a tokenizer lowers letters, drops white space and never merges across it, a text's ids are those
+    of its blank-separated words in turn. Words are kept with ASCII letters lowered. Texts that hold the
+    opening of a special token go to the tokenizer whole, and so do all texts where the tokenizer's file
+    doesn't say that it works so.
     """
 
     SPECIAL = b"<|"
@@ -46,6 +63,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = works_by_words(json.loads(self.tokenizer.to_str()))
         self.cache_words = cache_words
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -95,6 +113,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_words:
+            return [self.pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
         split = [None if self.SPECIAL in t else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
         out = []
         for text, words in zip(texts, split, strict=True):
@@ -145,7 +165,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUEN
         enc, end = encoder(tokenizer_path), END_ID.to_bytes(4, "little")
         ids_of, texts = cols
         for lo in range(0, len(texts), 256):
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
+            rows: dict[str, list] = {k: [] for k in (f.split()[0] for f in schema.split(", "))}
             for doc_id, ids in zip(ids_of[lo : lo + 256], enc.encode(texts[lo : lo + 256]), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -155,6 +175,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUEN
                     rows["start"].append(at // 4)
                     rows["length"].append(len(part) // 4)
                     rows["ids_crc32"].append(zlib.crc32(part))
+                    rows["ids_hash"].append(xxhash.xxh3_64_intdigest(part) - (1 << 63))
                     if with_ids:
                         rows["ids"].append(part)
             yield rows
@@ -237,7 +258,12 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, group_rows: int = G
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Tokenises, cuts and packs; one row for each piece with its place."""
+    """Tokenises, cuts and packs; one row for each piece with its place.
+
+    Null and empty texts are packed as an end id; a null doc_id stays null; repeated rows, and rows that
+    share a doc_id, are packed each for itself. A text of any length is cut into pieces. Other columns are
+    left out, so that none can clash. An empty table gives no rows.
+    """
     return pack(materialize(tokenize_pieces(docs, tokenizer_path, capacity), "pieces"), capacity, group_rows)
 
 
@@ -245,10 +271,13 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer_path: str, capacity:
     """The packed training sequences themselves: ``sequence_id``, ``ids`` and ``doc_ids``.
 
     Tokenises again where the texts lie and brings each piece's ids to its sequence; a sequence has
-    at most ``capacity`` ids, so no group is larger than that. Needs unique, non-null doc_ids.
+    at most ``capacity`` ids, so no group is larger than that. A piece finds its ids by doc_id, number, checksum and
+    hash: equal pieces of repeated rows share them, a null doc_id is a value like others, and rows that share a
+    doc_id but not a text are told apart. Pieces of no row of ``docs`` are left out.
     """
-    ids = tokenize_pieces(docs, tokenizer_path, capacity, with_ids=True).select("doc_id", "piece", "ids")
-    parts = placed.select("doc_id", "piece", "sequence_id", "offset").join(ids, ["doc_id", "piece"])
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "piece", "length", "ids_crc32", "ids_hash")
+    ids = tokenize_pieces(docs, tokenizer_path, capacity, with_ids=True).select(key.alias("key"), "ids").groupBy("key").agg(F.first("ids").alias("ids"))
+    parts = join_skewed(placed.select(key.alias("key"), "doc_id", "sequence_id", "offset"), materialize(ids, "ids"), "key")
     ordered = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))
     return (
         parts.groupBy("sequence_id")

@@ -86,8 +86,36 @@ def test_words_encode_as_the_whole(text):
         assert np.frombuffer(enc.encode([text.encode()])[0], "<u4").tolist() == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
 
 
-def test_sequences_hold_the_ids(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (2, "d e"), (3, "word " * 3000)], "doc_id long, text string")
+def test_several_groups(spark, sf):
+    """Pieces in groups of a hundred: every piece once, all sequences within their room, few more sequences than needed."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = packing.pack_documents(docs, tokenizer_path(), group_rows=100).collect()
+    n, least = check_pieces(rows, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert len({r.sequence_id >> 32 for r in rows}) > 1 and n <= 1.1 * least + 4
+
+
+def test_sequences_hold_the_ids(spark, odd_docs):
+    """Of all rows, those with a null or repeated doc_id too: each sequence is the ids of its pieces in their places."""
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame([(3, "word " * 3000), (3, "word " * 3000), (None, "d e")], "doc_id long, text string"))
     placed = packing.pack_documents(docs, tokenizer_path())
-    rows = packing.sequences(docs, placed, tokenizer_path()).collect()
-    assert sum(len(r.ids) for r in rows) == 4 * sum(r.length for r in placed.collect())
+    places = placed.collect()
+    rows = {r.sequence_id: r for r in packing.sequences(docs, placed, tokenizer_path()).collect()}
+    assert sum(len(r.ids) for r in rows.values()) == 4 * sum(p.length for p in places)
+    for p in places:
+        r = rows[p.sequence_id]
+        assert zlib.crc32(r.ids[4 * p.offset : 4 * (p.offset + p.length)]) == p.ids_crc32
+    order = sorted(places, key=lambda p: (p.sequence_id, p.offset))
+    assert [d for k in sorted(rows) for d in rows[k].doc_ids] == [p.doc_id for p in order]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    """A tokenizer that keeps case and blanks is not cut into words."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.BPE(vocab={"a": 0, "A": 1, "Ġ": 2, "Ġa": 3, "b": 4}, merges=[("Ġ", "a")]))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tok.save(str(tmp_path / "t.json"))
+    enc = packing.WordEncoder(str(tmp_path / "t.json"))
+    assert not enc.by_words and packing.WordEncoder(tokenizer_path()).by_words
+    texts = ["a A a b", "", "  a"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode([t.encode() for t in texts])] == [tok.encode(t).ids for t in texts]
