@@ -28,14 +28,22 @@ SYMBOL_BYTES = [bytes([c]) for c in SYMBOLS]
 #: Ends of sentences; also after closing quotes and brackets.
 TERMINAL = re.compile(r"[.!?:;,…。！？][\"'”’»)\]]*$")
 SEPARATORS = frozenset((b"|", b">", b"<", b">>", "»".encode(), "›".encode(), "·".encode(), "•".encode(), b"/", b"-", b"--"))
-#: Phrases of a boilerplate line, as whole words.
+#: Share of a line's words, in percent, that boilerplate phrases must make up.
+MIN_BOILERPLATE_WORDS = 20
+#: Phrases of legal notes, consent and calls to click, as whole words, in English, German, French and Spanish.
 BOILERPLATE = (
-    "cookie", "cookies", "javascript", "terms of use", "terms of service", "privacy policy", "all rights reserved", "copyright", "lorem ipsum",
-    "subscribe to", "sign up", "log in", "click here", "read more", "share this", "share on", "licensed under", "powered by",
+    "accept cookies", "all rights reserved", "click here", "cookie policy", "copyright", "enable javascript", "licensed under", "log in", "lorem ipsum",
+    "powered by", "privacy policy", "read more", "share on", "share this", "sign up", "subscribe to", "terms of service", "terms of use", "use cookies", "uses cookies",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "datenschutzerklärung", "hier klicken", "impressum", "jetzt anmelden",
+    "mehr lesen", "newsletter abonnieren", "nutzungsbedingungen", "verwendet cookies", "weiterlesen",
+    "accepter les cookies", "cliquez ici", "conditions générales", "lire la suite", "mentions légales", "politique de confidentialité", "se connecter",
+    "tous droits réservés", "utilise des cookies",
+    "aceptar cookies", "aviso legal", "haga clic aquí", "iniciar sesión", "leer más", "política de privacidad", "términos de uso", "todos los derechos reservados", "utiliza cookies",
 )
-BOILERPLATE_LINE = re.compile(r"\b(?:" + "|".join(BOILERPLATE) + r")\b|[{}©]", re.IGNORECASE)
-HINTS = (*(x.encode() for x in BOILERPLATE), b"{", b"}", "©".encode())
-UPPER = bytes(range(65, 91))
+BOILERPLATE_PHRASE = re.compile(r"\b(?:" + "|".join(BOILERPLATE) + r")\b|[{}©]+", re.IGNORECASE)
+#: What a text must hold somewhere for a phrase to be possible: the longest ASCII run of letters of each phrase.
+HINTS = tuple({max(re.findall("[a-z]+", x), key=len).encode() for x in BOILERPLATE} | {b"{", b"}", "©".encode()})
+UPPER, ASCII = bytes(range(65, 91)), bytes(range(128))
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, "
     "n_lines_removed bigint, n_words_removed bigint"
@@ -59,9 +67,11 @@ def line_fails(line: bytes, words: list[bytes], hinted: bool) -> str | None:
     # counts in the whole line bound those of words, which are looked at only where they could be enough
     if 100 * sum(map(line.count, SYMBOL_BYTES)) > MAX_SYMBOL_WORDS * n and 100 * sum(w[-1] in SYMBOLS for w in words) > MAX_SYMBOL_WORDS * n:
         return "punctuation"
-    if n >= 5 and 100 * (len(line) - len(line.translate(None, UPPER))) > 2 * MAX_UPPER_WORDS * n and 100 * sum(w.isupper() and len(w) > 1 for w in words) > MAX_UPPER_WORDS * n:
+    # letters beyond ASCII have two bytes at least
+    upper = len(line) - len(line.translate(None, UPPER)) + (0 if line.isascii() else len(line.translate(None, ASCII)) / 2)
+    if n >= 5 and 100 * upper > 2 * MAX_UPPER_WORDS * n and 100 * sum(s.isupper() and len(s) > 1 for s in (w.decode("utf-8") for w in words)) > MAX_UPPER_WORDS * n:
         return "punctuation"
-    if hinted and BOILERPLATE_LINE.search(line.decode("utf-8")):
+    if hinted and 100 * sum(len(m[0].split()) for m in BOILERPLATE_PHRASE.finditer(line.decode("utf-8"))) >= MIN_BOILERPLATE_WORDS * n:
         return "boilerplate"
     return None
 
@@ -112,8 +122,9 @@ def judge(text: str | None) -> tuple:
 def quality(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Figures and verdict of each row; ``with_text`` adds the ``cleaned`` text.
 
-    Null texts count as having no words and clean to the empty text. Rows are judged one by one, so
-    repeated rows get equal answers; a null doc_id stays null.
+    Null and empty texts have no words and clean to the empty text. Rows are judged one by one, so
+    repeated rows get equal answers; a null doc_id stays null. Texts may be of any length. Other columns are
+    left out, so that none can clash. An empty table gives no rows.
     """
     schema = SCHEMA + (", cleaned string" if with_text else "")
     names = [f.split()[0] for f in schema.split(", ")]

@@ -20,6 +20,55 @@ def slow_base(t):
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
+SEPARATORS = {"|", ">", "<", ">>", "»", "›", "·", "•", "/", "-", "--"}
+
+
+def slow_line(line):
+    """Whether a line goes, by all rules on text."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", line)
+    n = len(words)
+    share = lambda k: 100 * k / n
+    if not n:
+        return False
+    if share(sum(w in SEPARATORS for w in words)) > 20 or n <= 3 and not re.search(r"[.!?:;,…。！？][\"'”’»)\]]*$", words[-1]):
+        return True
+    if share(sum(w.endswith("!!") for w in words)) > 30 or share(sum(w[-1] in "#*$%&|<>" for w in words)) > 30:
+        return True
+    if n >= 5 and share(sum(w.isupper() and len(w) > 1 for w in words)) > 60:
+        return True
+    phrases = "|".join(q.BOILERPLATE)
+    return share(sum(len(m[0].split()) for m in re.finditer(rf"\b({phrases})\b|[{{}}©]+", line, re.I))) >= 20
+
+
+def slow_verdict(t):
+    """Words and lines removed, what is left, and whether the document stays."""
+    lines = (t or "").split("\n")
+    bad = [slow_line(x) for x in lines]
+    words = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x))
+    lost = sum(words(x) for x, b in zip(lines, bad, strict=True) if b)
+    base = slow_base(t)
+    return sum(bad), lost, "\n".join(x for x, b in zip(lines, bad, strict=True) if not b), not base[-1] and 100 * lost <= 50 * base[0]
+
+
+def test_verdict_by_brute_force(spark, odd_docs):
+    made = [
+        "Read the PRIVACY POLICY now please.\nÉCRIT TOUT EN MAJUSCULES ÇA VA\nEs WAR EINMAL ein Ort",
+        "Alle Rechte vorbehalten. Impressum\nTous droits réservés ©\nTodos los derechos reservados.\n" + "Eine ganz gewöhnliche Zeile mit Worten steht hier. " * 12,
+        "function f() { return x } end\nsome { words } here are code or not so sure of it\nBUY!! NOW!! ok yes",
+        "a b c\na b c.\na / b - c | d\none# two* three$ four five six\n\n   \n|",
+    ]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(made, 100)), "doc_id bigint, text string"))
+    docs = docs.union(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    got = sorted(((r.doc_id, r.n_lines_removed, r.n_words_removed, r.cleaned, r.kept) for r in q.quality(docs).collect()), key=repr)
+    assert got == sorted(((r.doc_id, *slow_verdict(r.text)) for r in docs.collect()), key=repr)
+
+
+def test_prose_with_one_phrase_stays(spark):
+    """Long lines are not lost for a single word or phrase."""
+    text = " ".join(f"word{k}" for k in range(1000)) + " a cookie, the copyright, read more { here."
+    assert q.judge(text)[6] and q.judge(text)[7] == 0
+
+
 def same(rows, docs):
     got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows), key=repr)
     assert got == sorted(((d, *slow_base(t)) for d, t in docs), key=repr)
@@ -46,6 +95,9 @@ def test_lines():
     assert fails("BUY!! NOW!! AND!! HERE!!") == "punctuation"
     assert fails("one### two*** three$$$ four%%%") == "punctuation"
     assert fails("We use cookies to make this site better.") == "boilerplate"
+    assert fails("Wir haben ein Impressum.") == "boilerplate" and fails("Aviso legal y política de privacidad.") == "boilerplate"
+    assert fails("ÉCRIT TOUT EN MAJUSCULES ÇA VA.") == "punctuation"
+    assert fails("She baked a cookie for the children and put it on the table.") is None
     assert fails("This is a plain sentence of prose.") is None
     assert fails("A verse without an end at all") is None
     text = "Home | About | News\n" + "This is a plain sentence of prose number one. " * 3
