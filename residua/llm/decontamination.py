@@ -29,7 +29,8 @@ BLOCK_BYTES = 8_000_000
 #: ASCII letters folded, other ASCII characters to blanks; bytes of non-ASCII characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-FOUND = "doc_id bigint, digest bigint, n_words bigint, hits array<int>, items array<bigint>"
+#: ``places`` are the hit words' characters in the original text, start and end; null unless asked for.
+FOUND = "doc_id bigint, digest bigint, n_words bigint, hits array<int>, items array<bigint>, places array<struct<w: int, s: int, e: int>>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -78,22 +79,26 @@ class WindowScanner:
         return np.flatnonzero(np.cumsum(edge)[:-1]), items
 
 
-def word_offsets(text: str, hits: list[int]) -> list[tuple[int, int]]:
-    """Character spans [start, end) in the original text of runs of consecutive hit words."""
-    flags = np.frombuffer(text.encode("utf-8"), np.uint8)
+def word_places(text: bytes, hits: list[int]) -> list[tuple[int, int, int]]:
+    """Number, first character and end in the original text of each hit word."""
+    flags = np.frombuffer(text, np.uint8)
     word = np.frombuffer(FOLD, np.uint8)[flags] != 32
     edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     chars = np.concatenate([[0], np.cumsum((flags & 0xC0) != 0x80)])  # bytes before -> characters before
+    return list(zip(hits, chars[starts[hits]].tolist(), chars[ends[hits]].tolist(), strict=True))
+
+
+def runs_of(places: list) -> list[tuple[int, int]]:
+    """Character spans [start, end) of runs of consecutive words."""
     spans: list[tuple[int, int]] = []
     before = None
-    for k in hits:
-        a, b = int(chars[starts[k]]), int(chars[ends[k]])
-        if before == k - 1:
-            spans[-1] = (spans[-1][0], b)
+    for p in sorted(places, key=lambda p: p["w"]):
+        if before == p["w"] - 1:
+            spans[-1] = (spans[-1][0], p["e"])
         else:
-            spans.append((a, b))
-        before = k
+            spans.append((p["s"], p["e"]))
+        before = p["w"]
     return spans
 
 
@@ -110,28 +115,31 @@ def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_byte
         yield block
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document row: ``n_words``, the numbers of hit words and the ids of items found.
+def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, with_places: bool = False) -> DataFrame:
+    """Per document row: ``n_words``, the numbers of hit words, the ids of items found, and ``places`` if asked for.
 
     Null texts have no words. An item without an id counts for hits, but is not listed. Items or
-    documents that repeat change nothing; a repeated document row is answered each time. With an
-    empty benchmark nothing is hit.
+    documents that repeat change nothing; a repeated document row is answered each time, rows that share a
+    doc_id are told apart by their text. Texts may be of any length. Other columns are left out, so that
+    none can clash. With an empty benchmark nothing is hit; an empty table gives no rows.
     """
     rows = docs.select("doc_id", utf8("text").alias("text")).withColumn("digest", F.xxhash64("text"))
-    blocks = [_scan_block(rows, block, window) for block in item_blocks(benchmark, block_items, block_bytes)] or [_scan_block(rows, [], window)]
+    scan = lambda block: _scan_block(rows, block, window, with_places)
+    blocks = [scan(block) for block in item_blocks(benchmark, block_items, block_bytes)] or [scan([])]
     found = blocks[0]
     if len(blocks) > 1:
         more = reduce(DataFrame.union, blocks[1:]).filter(F.size("hits") > 0)
-        key = ["doc_id", "digest"]
+        key, lists = ["doc_id", "digest"], ["hits", "items", *["places"] * with_places]
         # repeated rows are equal sets of a block, so that a group has at most a row for each block
-        more = more.groupBy(*key).agg(*(F.array_distinct(F.flatten(F.collect_set(c))).alias(f"more_{c}") for c in ("hits", "items")))
+        more = more.groupBy(*key).agg(*(F.array_distinct(F.flatten(F.collect_set(c))).alias(f"more_{c}") for c in lists))
         both = found.alias("a").join(more.alias("b"), (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))) & (F.col("a.digest") == F.col("b.digest")), "left")
-        merged = [F.sort_array(F.array_union(F.col(f"a.{c}"), F.coalesce(F.col(f"b.more_{c}"), F.array().cast(t)))).alias(c) for c, t in (("hits", "array<int>"), ("items", "array<bigint>"))]
+        kinds = dict(found.dtypes)
+        merged = [F.sort_array(F.array_union(F.col(f"a.{c}"), F.coalesce(F.col(f"b.more_{c}"), F.array().cast(kinds[c])))).alias(c) for c in lists]
         found = both.select("a.doc_id", "a.n_words", *merged)
-    return found.select("doc_id", "n_words", "hits", "items")
+    return found.select("doc_id", "n_words", "hits", "items", *["places"] * with_places)
 
 
-def _scan_block(rows: DataFrame, block: list[tuple[int | None, bytes]], window: int) -> DataFrame:
+def _scan_block(rows: DataFrame, block: list[tuple[int | None, bytes]], window: int, with_places: bool = False) -> DataFrame:
     shared, key = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(cols: list[list]) -> Iterator[dict[str, list]]:
@@ -139,10 +147,12 @@ def _scan_block(rows: DataFrame, block: list[tuple[int | None, bytes]], window:
             _SCANNERS.clear()
             _SCANNERS[key] = WindowScanner(shared.value, window)
         scanner = _SCANNERS[key]
-        doc_ids, texts, digests = cols
-        for lo in range(0, len(texts), 500):
-            found = [(len(words), *scanner.scan(words)) for words in map(words_of, texts[lo : lo + 500])]
-            yield {"doc_id": doc_ids[lo : lo + 500], "digest": digests[lo : lo + 500], "n_words": [x[0] for x in found], "hits": [x[1].tolist() for x in found], "items": [sorted(x[2]) for x in found]}
+        for lo in range(0, len(cols[0]), 500):
+            doc_ids, texts, digests = (c[lo : lo + 500] for c in cols)
+            found = [(len(words), *scanner.scan(words)) for words in map(words_of, texts)]
+            hits = [x[1].tolist() for x in found]
+            places = [[dict(zip("wse", p, strict=True)) for p in word_places(t, h)] if h else [] for t, h in zip(texts, hits, strict=True)] if with_places else [None] * len(hits)
+            yield {"doc_id": doc_ids, "digest": digests, "n_words": [x[0] for x in found], "hits": hits, "items": [sorted(x[2]) for x in found], "places": places}
 
     return map_batches(rows, run, FOUND)
 
@@ -171,7 +181,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window occurs. The scan drops rows where they lie.
 
-    With a benchmark of several blocks each block scans what the ones before it have kept.
+    With a benchmark of several blocks each block scans what the ones before it have kept. Null and empty
+    texts hold none and stay, as do null ids, repeated rows and columns of any name; texts may be of any
+    length. An empty benchmark drops nothing; an empty table gives no rows.
     """
     at = docs.columns.index("text")
 
@@ -197,12 +209,14 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_
 def hit_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """Character spans of the hit words in the original texts: doc_id, start_at, end_at.
 
-    Needs unique doc_ids; documents without hits give no rows.
+    The scan that finds the words maps them, so that rows need no key: each row with hits gives its own
+    spans, also where a doc_id is null, or repeated with the same or another text. Documents without hits, null and
+    empty ones give no rows. Other columns are left out, so that none can clash.
     """
-    hit = find_windows(docs, benchmark, window).filter(F.size("hits") > 0).select("doc_id", "hits")
+    found = find_windows(docs, benchmark, window, with_places=True).filter(F.size("hits") > 0)
 
     def run(cols: list[list]) -> Iterator[dict[str, list]]:
-        rows = [(d, a, b) for d, t, hits in zip(*cols, strict=True) for a, b in word_offsets(t, hits)]
+        rows = [(d, a, b) for d, places in zip(*cols, strict=True) for a, b in runs_of(places)]
         yield {"doc_id": [x[0] for x in rows], "start_at": [x[1] for x in rows], "end_at": [x[2] for x in rows]}
 
-    return map_batches(docs.select("doc_id", "text").join(hit, "doc_id"), run, "doc_id bigint, start_at int, end_at int")
+    return map_batches(found.select("doc_id", "places"), run, "doc_id bigint, start_at int, end_at int")

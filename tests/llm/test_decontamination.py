@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from residua.llm import decontamination as d
 from residua.llm.queries import op5_benchmark_decontamination
@@ -63,3 +64,31 @@ def test_spans_lie_in_the_original(spark):
     items = spark.createDataFrame([(1, "«second» line")], "item_id bigint, text string")
     rows = d.hit_spans(docs, items).collect()
     assert [text[r.start_at : r.end_at] for r in rows] == ["«Second»  LINE"]
+
+
+def slow_spans(text, items):
+    """Runs of hit words as they stand in the text."""
+    places = [m.span() for m in WORD.finditer(lower(text))]
+    words, hit = [text[a:b] for a, b in places], set()
+    for _, t in items:
+        w = WORD.findall(lower(t))
+        for win in {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9) if w else 0)}:
+            for k in range(len(words) - len(win) + 1):
+                if tuple(map(lower, words[k : k + len(win)])) == win:
+                    hit |= set(range(k, k + len(win)))
+    runs = [k for k in sorted(hit) if k - 1 not in hit]
+    return [(places[k][0], places[next(e for e in range(k, len(words) + 1) if e not in hit) - 1][1]) for k in runs]
+
+
+@pytest.mark.parametrize("block", [20_000, 2])
+def test_spans_of_odd_rows(spark, odd_docs, no_docs, monkeypatch, block):
+    """Null and repeated ids, with equal and with other texts; one block or several."""
+    monkeypatch.setattr(d, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(d.find_windows, "__defaults__", (d.WINDOW_WORDS, block, d.BLOCK_BYTES, False))
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    extra = spark.createDataFrame([(9, "Second line, é third LINE and\nsecond line"), (None, "the «third line» 漢字 🙂"), (9, "Second line, é third LINE and\nsecond line")], "doc_id bigint, text string")
+    docs = odd_docs.select("doc_id", "text", "n_words").unionByName(extra.withColumn("n_words", F.lit("clash")))
+    want = [(r.doc_id, a, b) for r in docs.collect() for a, b in slow_spans(r.text or "", ITEMS)]
+    got = sorted(map(tuple, d.hit_spans(docs, items).collect()), key=repr)
+    assert got == sorted(want, key=repr) and len(got) > 8
+    assert d.hit_spans(no_docs, items).count() == 0 and d.hit_spans(docs, items.limit(0)).count() == 0
