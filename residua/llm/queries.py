@@ -64,29 +64,37 @@ def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_windows.cut_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: A dated list: list_name, kind, entry, action, day.
-URL_EVENTS = (
-    ("spam", "domain", "cheap-pills.example.com", "add", "2024-01-10"),
-    ("spam", "domain", "cheap-pills.example.com", "remove", "2024-05-01"),
-    ("spam", "domain", "cheap-pills.example.com", "add", "2024-09-15"),
-    ("adult", "domain", "adult-x.example.net", "add", "2024-02-01"),
-    ("adult", "host", "m.adult-x.example.net", "add", "2023-06-01"),
-    ("adult", "host", "m.adult-x.example.net", "remove", "2024-07-01"),
-    ("malware", "host", "tionsh.example.net", "add", "2024-03-01"),
-    ("malware", "host", "tionsh.example.net", "remove", "2024-04-01"),
-    ("malware", "domain", "ththth.example.org", "add", "2024-06-01"),
-    ("phishing", "domain", "ththon.example.com", "add", "2023-12-01"),
-    ("phishing", "domain", "ththon.example.com", "add", "2024-02-02"),
-    ("phishing", "domain", "ththon.example.com", "remove", "2024-10-01"),
-    ("removals", "url", "therha.example.com/en/676", "add", "2024-01-01"),
-)
+def url_events(pages: DataFrame) -> DataFrame:
+    """A dated list made by rule from the addresses of ``pages``, so that it grows with them: list_name, kind, entry, action, listed_at.
+
+    By their MD5s an eighth of the hosts is listed as host, as domain or with its parent domain, on one of four
+    lists, added, removed and added again; a sixteenth of the addresses is listed for good.
+    """
+    host = url_lists.url_host(F.col("url"))
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    digit = lambda name, at, n: F.conv(F.substring(name, at, n), 16, 10).cast("int")
+    start = F.timestamp_seconds(F.lit(1_704_067_200))  # 2024-01-01
+    named = pages.select(host.alias("host"), path.alias("path")).dropna()
+    hosts = named.select("host").distinct().withColumn("h", F.md5("host")).filter(digit("h", 1, 1) < 2)
+    parent = F.when(F.col("host").rlike(r"\..*\."), F.regexp_replace("host", r"^[^.]+\.", "")).otherwise(F.col("host"))
+    hosts = hosts.select(
+        F.concat(F.lit("list"), digit("h", 3, 1) % 4).alias("list_name"),
+        F.when(digit("h", 2, 1) < 6, "host").otherwise("domain").alias("kind"),
+        F.when(digit("h", 2, 1) < 12, F.col("host")).otherwise(parent).alias("entry"),
+        F.explode(F.expr("array(struct('add' as action, 0 as later), struct('remove' as action, 40 as later), struct('add' as action, 80 as later))")).alias("e"),
+        digit("h", 4, 2).alias("day"),
+    )
+    addresses = named.distinct().withColumn("h", F.md5(F.concat("host", "path"))).filter(digit("h", 1, 1) == 7)
+    dated = lambda days: (start + F.make_dt_interval(days)).alias("listed_at")
+    return hosts.select("list_name", "kind", "entry", "e.action", dated(F.col("day") + F.col("e.later"))).union(
+        addresses.select(F.lit("urls"), F.lit("url"), F.concat("host", "path"), F.lit("add"), dated(digit("h", 2, 2)))
+    )
 
 
 def op10_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages have no fetch time: each gets a day of 2024 by its number."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("cast(date_add(date'2024-01-01', cast(page_id % 366 as int)) as timestamp)").alias("fetched_at"))
-    events = spark.createDataFrame(list(URL_EVENTS), "list_name string, kind string, entry string, action string, day string")
-    return url_lists.filter_urls(pages, events.withColumn("listed_at", F.to_timestamp("day")))
+    return url_lists.filter_urls(pages, url_events(table(spark, sf_dir, "pages")))
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_index, op2_best_fit_packing, op3_line_quality, op4_toxicity_ordinal, op5_benchmark_decontamination, op6_simhash_variants, op7_pii_disclosure, op8_bounded_ring_shards, op9_line_windows, op10_url_temporal_lists)}
@@ -126,11 +134,17 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (cut IS NULL
 UNION ALL SELECT doc_id, NULL, 0, 0 FROM documents WHERE text IS NULL
 """
 
-OP10_SQL = f"""
-WITH e AS (SELECT list_name, kind || ':' || entry AS key, action, day::TIMESTAMP AS t FROM (VALUES {", ".join(map(str, URL_EVENTS))}) x(list_name, kind, entry, action, day)),
+OP10_SQL = """
+WITH p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id % 366)::INT) AS f, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '[.]$', '') AS named,
+nullif(named, '') AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+hs AS (SELECT host, md5(host) AS h FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL) WHERE ('0x' || substr(md5(host), 1, 1))::INT < 2),
+us AS (SELECT host || path AS entry, md5(host || path) AS h FROM (SELECT DISTINCT host, path FROM p WHERE host IS NOT NULL) WHERE substr(md5(host || path), 1, 1) = '7'),
+e AS (SELECT DISTINCT 'list' || (('0x' || substr(h, 3, 1))::INT % 4) AS list_name, CASE WHEN ('0x' || substr(h, 2, 1))::INT < 6 THEN 'host:' ELSE 'domain:' END
+|| CASE WHEN ('0x' || substr(h, 2, 1))::INT >= 12 AND len(string_split(host, '.')) > 2 THEN regexp_replace(host, '^[^.]+[.]', '') ELSE host END AS key,
+action, TIMESTAMP '2024-01-01' + to_days((('0x' || substr(h, 4, 2))::INT + later)::INT) AS t FROM hs, (VALUES ('add', 0), ('remove', 40), ('add', 80)) x(action, later)
+UNION ALL SELECT 'urls', 'url:' || entry, 'add', TIMESTAMP '2024-01-01' + to_days(('0x' || substr(h, 2, 2))::INT) FROM us),
 i AS (SELECT *, lead(t) OVER (PARTITION BY list_name, key ORDER BY t, action) AS until FROM e),
 v AS (SELECT * FROM i WHERE action = 'add' AND (until IS NULL OR until > t)),
-p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days((page_id % 366)::INT) AS f, regexp_extract(lower(url), '://(?:[^/?#@]*@)?([^/?#:]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 k AS (SELECT page_id, f, unnest(list_concat(list_transform(range(1, len(string_split(host, '.')) + 1), lambda n: 'domain:' || array_to_string(string_split(host, '.')[n:], '.')), ['host:' || host, 'url:' || host || path])) AS key FROM p),
 m AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(list_name))), ',') AS names FROM k JOIN v USING (key) WHERE t <= f AND (until IS NULL OR f < until) GROUP BY page_id)
 SELECT page_id, host, coalesce(n, 0)::BIGINT AS n_entries, coalesce(names, '') AS lists, n IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)

@@ -2,7 +2,9 @@
 
 Dated additions and removals become validity intervals of each entry. Every capture is evaluated, as of
 its fetch time, against the entries active then: by its host and every parent domain (``domain``), by
-its very host (``host``), or by its address without scheme, query and fragment (``url``).
+its very host (``host``), or by its address without scheme, query and fragment (``url``). A list of any
+size is joined by key; the few keys that very many captures share, such as a large site or a common
+ending, are broadcast with their intervals.
 """
 
 from __future__ import annotations
@@ -10,10 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Entries up to which the list is broadcast; a larger one is joined by key, with hot keys dealt over SALTS.
-BROADCAST_ENTRIES = 100_000
-SALTS = 16
-
+from residua.llm.common import join_counted, join_skewed, materialize
 
 def validity(events: DataFrame) -> DataFrame:
     """list_name, key and ``spans``: the intervals [valid_from, valid_to) in which an entry is listed.
@@ -49,25 +48,29 @@ def url_keys(url: Column, host: Column) -> Column:
     return F.concat(domains, F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("url:"), host, path)))
 
 
-def filter_urls(captures: DataFrame, events: DataFrame, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def filter_urls(captures: DataFrame, events: DataFrame) -> DataFrame:
     """Each capture (page_id, url, fetched_at) with host, n_entries, lists and ``blocked``.
 
     ``n_entries`` counts the entries active at the fetch time, ``lists`` names their lists in order,
     joined with commas. A null url, one without host, or a null time meets no entry. Repeated rows are
-    answered each. Other columns are left out. An empty list blocks nothing.
+    answered each. Addresses may be of any length. Other columns are left out, so that none can clash. An
+    empty list blocks nothing, and an empty table gives no rows. All intervals of one entry are a single
+    array: they are the history of an entry, not of its captures.
     """
-    spans = validity(events)
+    each = F.struct("list_name", "spans")
+    facts = materialize(validity(events).groupBy("key").agg(F.collect_list(each).alias("listed")), "entries")
     host = url_host(F.col("url"))
     rows = captures.select("page_id", "url", "fetched_at").withColumn("host", host)
-    asked = rows.select("url", "fetched_at", "host").dropna().distinct()
-    asked = asked.select("url", "fetched_at", F.explode(url_keys(F.col("url"), F.col("host"))).alias("key"))
-    if spans.count() <= broadcast_entries:
-        met = asked.join(F.broadcast(spans), "key")
-    else:
-        copies = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = asked.withColumn("salt", F.pmod(F.xxhash64("url", "fetched_at"), F.lit(SALTS)).cast("int")).join(copies, ["key", "salt"])
-    as_of = F.exists("spans", lambda s: (s.valid_from <= F.col("fetched_at")) & (s.valid_to.isNull() | (F.col("fetched_at") < s.valid_to)))
-    found = met.filter(as_of).groupBy("url", "fetched_at").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("list_name")), ",").alias("names"))
-    found = found.select(F.col("url").alias("u"), F.col("fetched_at").alias("f"), "n", "names")
-    both = rows.join(found, (F.col("url") == F.col("u")) & (F.col("fetched_at") == F.col("f")), "left")
-    return both.select("page_id", "host", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_entries"), F.coalesce("names", F.lit("")).alias("lists"), F.col("n").isNotNull().alias("blocked"))
+    asked = rows.select("url", "fetched_at", "host").dropna().groupBy("url", "fetched_at").agg(F.first("host").alias("host"), F.count("*").alias("n"))
+    asked = materialize(asked, "asked")
+    keys = asked.select("url", "fetched_at", "n", F.explode(url_keys(F.col("url"), F.col("host"))).alias("key"))
+    met = join_skewed(keys, facts, "key")
+    as_of = lambda s: (s.valid_from <= F.col("fetched_at")) & (s.valid_to.isNull() | (F.col("fetched_at") < s.valid_to))
+    active = met.withColumn("names", F.transform(F.filter("listed", lambda e: F.exists(e.spans, as_of)), lambda e: e.list_name)).filter(F.size("names") > 0)
+    found = active.groupBy("url", "fetched_at").agg(F.first("n").alias("n"), F.sum(F.size("names")).alias("n_entries"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    found = found.select("url", "fetched_at", "n", "n_entries", F.array_join(F.sort_array("names"), ",").alias("lists"))
+    able = F.col("host").isNotNull() & F.col("fetched_at").isNotNull()
+    both = join_counted(rows.filter(able), found, ["url", "fetched_at"], "n", rows.count(), "left").drop("n")
+    none = rows.filter(~able).withColumns({"n_entries": F.lit(None).cast("bigint"), "lists": F.lit(None).cast("string")})
+    out = both.unionByName(none)
+    return out.select("page_id", "host", F.coalesce("n_entries", F.lit(0)).cast("bigint").alias("n_entries"), F.coalesce("lists", F.lit("")).alias("lists"), F.col("n_entries").isNotNull().alias("blocked"))

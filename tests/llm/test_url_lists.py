@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from residua.llm import url_lists as u
-from residua.llm.queries import URL_EVENTS, op10_url_temporal_lists
+from residua.llm import common
+from residua.llm.queries import op10_url_temporal_lists, url_events
 
 
 def slow(captures, events):
@@ -31,10 +32,12 @@ def slow(captures, events):
 
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
-    events = [(*e[:4], datetime.fromisoformat(e[4])) for e in URL_EVENTS]
-    pages = [(r.page_id, r.url, datetime(2024, 1, 1) + timedelta(days=r.page_id % 366)) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    events = [tuple(r) for r in url_events(pages).collect()]
+    assert len(events) > 20 and {e[1] for e in events} == {"host", "domain", "url"}
+    captures = [(r.page_id, r.url, datetime(2024, 1, 1) + timedelta(days=r.page_id % 366)) for r in pages.collect()]
     rows = op10_url_temporal_lists(spark, sf).collect()
-    assert sorted(map(tuple, rows), key=repr) == slow(pages, events)
+    assert sorted(map(tuple, rows), key=repr) == slow(captures, events)
     assert any(r.blocked for r in rows)
 
 
@@ -46,15 +49,17 @@ def test_case_of_paths(spark):
     assert {r.page_id: r.lists for r in u.filter_urls(caps, events).collect()} == {0: "a,b", 1: "b", 2: "b,c"}
 
 
-@pytest.mark.parametrize("broadcast", [1000, 0])
-def test_odd_rows(spark, broadcast):
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_odd_rows(spark, monkeypatch, hot):
+    """With every key hot, and with few; one address has most captures and is very long."""
+    monkeypatch.setattr(common, "HOT_SHARE", hot)
     day = lambda d: datetime(2024, 1, d)
     events = [("a", "domain", "x.com", "add", day(2)), ("a", "domain", "x.com", "remove", day(4)), ("a", "domain", "x.com", "add", day(4)), ("a", "domain", "x.com", "add", day(6)), ("a", "domain", "x.com", "add", day(6)), ("b", "host", "w.x.com", "add", day(1)), ("b", "url", "x.com/p", "add", day(3)), ("c", "domain", "com", "remove", day(1))]
-    urls = ["http://x.com/p?q", "https://u:1@W.X.com.:80/p#f", "ftp://notx.com/", None, "no address", "http:///p", "http://x.com"]
-    caps = [(k * 10 + d, url, day(d)) for k, url in enumerate(urls) for d in range(1, 9)] + [(None, urls[0], day(3)), (1, urls[0], None), (1, urls[0], day(7)), (1, urls[0], day(7))]
+    urls = ["http://x.com/p?q", "http://x.com/" + "long/" * 20_000, "https://u:1@W.X.com.:80/p#f", "ftp://notx.com/", None, "no address", "http:///p", "http://x.com"]
+    caps = [(k * 10 + d, url, day(d)) for k, url in enumerate(urls) for d in range(1, 9)] + [(None, urls[0], day(3)), (1, urls[0], None), *[(1, urls[0], day(7))] * 50]
     frame = spark.createDataFrame([(*c, "clash", 1) for c in caps], "page_id bigint, url string, fetched_at timestamp, host string, n int")
     listed = spark.createDataFrame([*events, ("d", None, "x.com", "add", day(1))], "list_name string, kind string, entry string, action string, listed_at timestamp")
-    rows = u.filter_urls(frame, listed, broadcast).collect()
+    rows = u.filter_urls(frame, listed).collect()
     assert sorted(map(tuple, rows), key=repr) == slow(caps, events)
-    assert u.filter_urls(frame.limit(0), listed, broadcast).count() == 0
-    assert not u.filter_urls(frame, listed.limit(0), broadcast).filter("blocked").count()
+    assert u.filter_urls(frame.limit(0), listed).count() == 0
+    assert not u.filter_urls(frame, listed.limit(0)).filter("blocked").count()
