@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from residua.llm import sharding
 from residua.llm.queries import op8_bounded_ring_shards
@@ -64,7 +65,47 @@ def test_flow_is_a_walk_around_the_ring():
     assert got == want and not queue
 
 
+def slow_places(rows, shards, virtual_nodes=sharding.VIRTUAL_NODES):
+    """Shards of (place, doc_id, size, checksum) rows, walking around the ring row by row."""
+    points, owners = sharding.ring(shards, virtual_nodes)
+    owners = [*owners.tolist(), int(owners[0])]
+    room, arcs, out = sharding.capacities(len(rows), shards), [[] for _ in owners], []
+    for r in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2], r[3])):
+        arcs[next((k for k, p in enumerate(points) if p >= r[0]), len(points))].append(r)
+    over = [[] for _ in owners]
+    for k, there in enumerate(arcs):
+        for r in there:
+            if room[owners[k]]:
+                room[owners[k]] -= 1
+                out.append((r, owners[k]))
+            else:
+                over[k].append(r)
+    waiting = []
+    for turn in range(2 * len(owners)):
+        k = turn % len(owners)
+        while waiting and room[owners[k]]:
+            room[owners[k]] -= 1
+            out.append((waiting.pop(0), owners[k]))
+        if turn < len(owners):
+            waiting += over[k]
+    assert not waiting
+    return sorted(((r[1], r[2], r[3], s) for r, s in out), key=repr)
+
+
+@pytest.mark.parametrize("shards", [3, 40])
+def test_every_row_goes_where_the_ring_says(spark, sf, odd_docs, shards):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(odd_docs.select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    keys = docs.select("doc_id", (F.octet_length(text).cast("bigint") + 16).alias("size"), F.crc32(text.cast("binary")).alias("crc"))
+    rows = [(r.at, r.doc_id, r.size, r.crc) for r in keys.withColumn("at", F.xxhash64("doc_id", "crc", "size")).collect()]
+    got = sorted(((r.doc_id, r.size, r.text_crc32, r.shard) for r in sharding.assign_shards(docs, shards, rank_rows=5).collect()), key=repr)
+    assert got == slow_places(rows, shards)
+
+
 def test_few_rows_move(spark):
-    docs = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text")
-    a, b = ({r.doc_id: r.shard for r in sharding.assign_shards(docs, n, virtual_nodes=256).collect()} for n in (20, 21))
-    assert sum(a[d] != b[d] for d in a) < 0.4 * len(a)
+    """From 40 to 41 shards a plain ring moves a 41st (2.4 %); equal counts cost about as much again."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "cast(id as string) as text")
+    a, b = ({r.doc_id: r.shard for r in sharding.assign_shards(docs, n).collect()} for n in (40, 41))
+    moved = sum(a[d] != b[d] for d in a) / len(a)
+    new = sum(s == 40 for s in b.values()) / len(b)
+    assert new <= moved < 0.065, moved

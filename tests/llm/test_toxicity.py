@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from residua.llm import toxicity as t
 from residua.llm.queries import op4_toxicity_ordinal
@@ -16,6 +17,48 @@ def test_query_on_labels_it_has_not_seen(spark):
     assert op4_toxicity_ordinal(spark, sf).count() == docs.count()
 
 
+def slow_features(text):
+    out = set()
+    for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split():
+        w = w.strip(t.EDGE.decode())
+        if w:
+            out |= {"=" + w} | {w[:n] for n in t.OPENINGS if len(w) >= n}
+    return out
+
+
+def test_sample_features_and_scores_by_brute_force(spark):
+    """The rows taken, the features chosen and every document's figures, each from plain loops."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    order = {r.doc_id: (r.h, r.doc_id, r.toxic) for r in labels.select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).collect()}
+    taken = {}
+    for y in (0, 1):
+        taken |= {d: y for _, d, _ in sorted(v for v in order.values() if v[2] == y)[:100]}
+    sample = t.materialize(t.labelled_sample(docs, labels, "toxic", 100), "sample")
+    assert {r.doc_id: (r.label, r.text) for r in sample.collect()} == {d: (y, texts[d]) for d, y in taken.items()}
+    seen = {d: slow_features(texts[d]) for d in taken}
+    n0, n1, scored = sum(y == 0 for y in taken.values()), sum(taken.values()), []
+    for f in set().union(*seen.values()):
+        a, b = (sum(f in seen[d] for d, y in taken.items() if y == c) for c in (0, 1))
+        if a + b >= t.MIN_DOCS:
+            chi2 = (a * (n1 - b) - b * (n0 - a)) ** 2 * (n0 + n1) / max((a + b) * (n0 + n1 - a - b) * n0 * n1, 1)
+            if chi2 >= t.MIN_CHI2:
+                scored.append((-chi2, f))
+    features = t.choose_features(sample)
+    assert features == [f for _, f in sorted(scored)] and 5 < len(features) < t.MAX_FEATURES
+    model = t.OrdinalModel(tuple(features), np.linspace(-1, 2, len(features)), np.array([0.5, 2.0]))
+    got = {r.doc_id: r for r in t.score_documents(docs, model).collect()}
+    for d, text in texts.items():
+        z = sum(model.weights[k] for k, f in enumerate(features) if f in slow_features(text))
+        p1, p2 = (1 / (1 + np.exp(c - z)) for c in model.thresholds)
+        want = [1 - p1, p1 - p2, p2]
+        assert abs(got[d].p_toxic - p1) < 1e-9 and abs(got[d].expected_severity - (p1 + p2)) < 1e-9
+        assert got[d].toxic == (p1 >= t.CUT) and abs(want[got[d].grade] - max(want)) < 1e-9
+    kept = {r.doc_id for r in t.drop_toxic(docs, model).collect()}
+    assert kept == {d for d in texts if not got[d].toxic}
+
+
 def test_likelihood_is_at_its_top():
     """No small step from the fitted weights and thresholds does better."""
     rng = np.random.default_rng(2)
