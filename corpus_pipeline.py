@@ -19,28 +19,45 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model calls toxic go."""
+    """Documents that the severity model calls toxic go.
+
+    Null and empty texts stay. Null ids, repeated rows, long texts and columns of any name change nothing.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit_severity(docs, table(spark, sf_dir, "labels")))
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows leave the texts; n_chars follows."""
+    """Later occurrences of repeated three-line windows leave the texts; n_chars follows.
+
+    All rows stay: null texts as they are (n_chars becomes null), texts that are cut entirely as empty ones.
+    Rows without doc_id come before all others; repeated rows (one doc_id and text) are one document.
+    """
     cut = line_windows.cut_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
     return cut.select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays.
+
+    Null and empty texts are one group. Of repeated rows one stays; a row without doc_id only where its group
+    has no other. Columns of any name stay.
+    """
     return simhash.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null and empty texts stay; null ids, repeated rows, long texts and columns of any name change nothing.
+    """
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is cut and packed: a row for each piece, with its sequence and place."""
+    """What is left is cut and packed: a row for each piece, with its sequence and place.
+
+    Null and empty texts are packed as an end id, repeated rows each for itself; a null doc_id stays null.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
