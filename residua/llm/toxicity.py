@@ -120,6 +120,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     Labels of more than two values are grades as they are. From 0 and 1 three grades are made: 0 stays;
     a positive row has grade 2 where it shows more of the chosen features than the median positive row.
     With no rows of one class, or no feature that tells, the model has no weights and calls nothing toxic.
+    Of features that tell, a model holds the MAX_FEATURES with the largest chi-squared.
     """
     sample = materialize(labelled_sample(docs, labels, label, per_class), "labelled")
     features = tuple(choose_features(sample))
@@ -168,6 +169,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """Per document row: expected_severity, p_toxic (a grade above 0), grade (most probable) and toxic.
 
     Null and empty texts have no features and score as such; repeated rows score alike; a null doc_id stays.
+    Texts may be of any length. Other columns are left out, so that none can clash. An empty table gives no rows.
     """
 
     def run(cols: list[list]) -> Iterator[dict[str, list]]:
@@ -190,7 +192,11 @@ def _index(model: OrdinalModel) -> WordIndex:
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model doesn't call toxic. Rows are dropped where they lie."""
+    """The rows of ``docs``, all columns, that the model doesn't call toxic. Rows are dropped where they lie.
+
+    Null and empty texts show no features and stay; null ids and repeated rows are judged by their text alone,
+    which may be of any length. Columns of any name stay as they are. An empty table gives no rows.
+    """
     import pyarrow as pa
 
     at = docs.columns.index("text")
