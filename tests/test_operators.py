@@ -58,3 +58,38 @@ def test_fit_matches_newton(spark):
     df = spark.createDataFrame([(r.tolist(), int(v)) for r, v in zip(x, y, strict=True)], "features array<double>, label int")
     m = model.fit(df)
     assert np.allclose([*m.coefficients.toArray(), m.intercept], w, atol=1e-4)
+    rows = model.score(m, df.withColumn("k", F.monotonically_increasing_id())).orderBy("k").collect()
+    p = 1 / (1 + np.exp(-(x @ m.coefficients.toArray() + m.intercept)))
+    assert np.allclose([r.probability for r in rows], p) and [r.prediction for r in rows] == (p > 0.5).astype(int).tolist()
+    assert [r.class_name for r in rows] == ["Adhesion" if v > 0.5 else "Non-adhesion" for v in p]
+
+
+def test_train_against_numpy(spark, tmp_path):
+    """Hold-out, folds and the final model of ``train`` from the same splits by Newton steps."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 2))
+    y = (x @ [1.5, -1] + rng.logistic(size=150) > 0.3).astype(int)
+    df = spark.createDataFrame([(k, r.tolist(), int(v)) for k, (r, v) in enumerate(zip(x, y, strict=True))], "key bigint, features array<double>, label int")
+
+    def newton(rows):
+        a, t, w = np.hstack([x[rows], np.ones((len(rows), 1))]), y[rows], np.zeros(3)
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-a @ w))
+            reg = np.diag([1.0, 1, 0])
+            w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + reg, a.T @ (p - t) + reg @ w)
+        return w
+
+    def accuracy(w, rows):
+        return ((np.hstack([x[rows], np.ones((len(rows), 1))]) @ w > 0) == y[rows]).mean()
+
+    split = sampling.stratified_split(df, "label", "key")
+    folds = {r.key: r.fold for r in sampling.stratified_folds(split.filter("not is_test"), "label", "key").collect()}
+    fitted, held = sorted(folds), sorted(r.key for r in split.filter("is_test").collect())
+    cv = [accuracy(newton([k for k in fitted if folds[k] != f]), [k for k in fitted if folds[k] == f]) for f in range(5)]
+    t = model.train(df, "key")
+    w = newton(fitted)
+    want = (accuracy(w, fitted), accuracy(w, held), np.mean(cv), 2 * np.std(cv))
+    assert np.allclose((t.train_accuracy, t.test_accuracy, t.cv_mean, t.cv_two_std), want)
+    assert np.allclose([*t.model.coefficients.toArray(), t.model.intercept], newton(list(range(150))), atol=1e-4)
+    model.save(t.model, str(tmp_path / "m"))
+    assert model.load(str(tmp_path / "m")).coefficients == t.model.coefficients
