@@ -111,6 +111,30 @@ CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, C
 url_key, captured_at, 0 AS range_no, row_number() OVER (ORDER BY url_key, captured_at, page_id) - 1 AS range_pos FROM g
 """
 
+WORD = r"'[^\x20\x09-\x0D]+'"
+#: Words and phrases are compared as the operator's, with word ends of ASCII letters.
+_SEPARATORS = ", ".join(f"'{x.decode()}'" for x in sorted(line_quality.SEPARATORS))
+_PHRASES = r"(?i)\b(?:" + "|".join(line_quality.BOILERPLATE) + r")\b|[{}©]+"
+_SHARE = "100 * len(list_filter(ws, lambda x: {})) > {} * n".format
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT row, regexp_extract_all(t, {WORD}) AS ws FROM d),
+l AS (SELECT row, line, ws, len(ws) AS n FROM (SELECT row, line, regexp_extract_all(line, {WORD}) AS ws FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d))),
+j AS (SELECT row, line, n, CASE WHEN n = 0 THEN false WHEN {_SHARE(f"x IN ({_SEPARATORS})", line_quality.MAX_SEPARATORS)} THEN true
+WHEN n <= {line_quality.NAVIGATION_WORDS} AND NOT regexp_matches(ws[-1], '[.!?:;,…。！？][\\"''”’»)\\]]*$') THEN true
+WHEN {_SHARE("suffix(x, '!!')", line_quality.MAX_BANG_WORDS)} OR {_SHARE("contains('#*$%&|<>', x[-1])", line_quality.MAX_SYMBOL_WORDS)} THEN true
+WHEN n >= 5 AND {_SHARE(r"length(x) > 1 AND regexp_matches(x, '[[:upper:]]|\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}')", line_quality.MAX_UPPER_WORDS)} THEN true
+ELSE 100 * coalesce(list_sum(list_transform(regexp_extract_all(line, '{_PHRASES}'), lambda m: len(string_split(m, ' ')))), 0) >= {line_quality.MIN_BOILERPLATE_WORDS} * n AND n > 0 END AS bad FROM l),
+b AS (SELECT row, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup, count(*) FILTER (bad) AS lines_gone, coalesce(sum(n) FILTER (bad), 0) AS words_gone FROM j GROUP BY row),
+g AS (SELECT row, k, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS gram FROM w, unnest(range(1, len(ws) - 1)) u(k)),
+c AS (SELECT row, k FROM (SELECT *, count(*) OVER (PARTITION BY row, gram) AS times FROM g) WHERE times > 1),
+r AS (SELECT row, count(DISTINCT k + i) AS repeats FROM c, unnest(range(3)) u(i) GROUP BY row),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines,
+coalesce(repeats, 0)::BIGINT AS n_repeat_words, lines_gone::BIGINT AS n_lines_removed, words_gone::BIGINT AS n_words_removed FROM d JOIN w USING (row) JOIN b USING (row) LEFT JOIN r USING (row)),
+v AS (SELECT *, n_words < {line_quality.MIN_WORDS} OR 100 * n_repeat_words > {line_quality.MAX_REPEATED} * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND 100 * n_words_removed <= {line_quality.MAX_LOST} * n_words AS kept FROM v
+"""
+
 FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, {FOLDED} AS ws FROM documents), i AS (SELECT item_id, {FOLDED} AS ws FROM benchmark),
@@ -150,4 +174,4 @@ m AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(lis
 SELECT page_id, host, coalesce(n, 0)::BIGINT AS n_entries, coalesce(names, '') AS lists, n IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_index": OP1_SQL, "op5_benchmark_decontamination": OP5_SQL, "op9_line_windows": OP9_SQL, "op10_url_temporal_lists": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_index": OP1_SQL, "op3_line_quality": OP3_SQL, "op5_benchmark_decontamination": OP5_SQL, "op9_line_windows": OP9_SQL, "op10_url_temporal_lists": OP10_SQL}
