@@ -9,9 +9,10 @@ verified on the whole fingerprint.
 Only distinct fingerprints are indexed. A key that very many of them share is cut further: the bits
 outside its segment also differ by 4 at most, so that of five parts of them one is equal, and each
 part in turn is added to the key. Within a key's rows links are followed as a search that
-drops what it has reached, and only the edges of a spanning forest leave the task: a family of close
-copies costs about its size, not its square. Components come from the edges by alternating large
-and small stars; everything about documents stays distributed.
+drops what it has reached, and only the edges of a spanning forest of all that a task has seen leave it: a
+family of close copies costs about its size, not its square. Components come from the edges by alternating
+large and small stars. Labels of stars and components with very many members are broadcast, as these are few;
+everything about documents stays distributed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import map_batches, materialize, parts_for, utf8
+from residua.llm.common import bitmap_of, discard, join_counted, map_batches, marked, materialize, parts_for, spare, utf8
 
 MAX_BITS = 4
 SHINGLE_WORDS = 4
@@ -33,7 +34,9 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 KEYS_PER_PART = 4_000_000
 #: A key that more fingerprints than this may share is cut further.
-HOT_ROWS = 50_000
+HOT_ROWS = 8_000
+#: Rows of a key that are compared side by side with all other keys' rows; larger ones are searched one by one.
+SMALL_ROWS = 24
 
 
 def fingerprint(text: bytes, words_each: int = SHINGLE_WORDS) -> int:
@@ -130,7 +133,7 @@ def hot_segments(distinct_fp: DataFrame, hot_rows: int) -> np.ndarray | None:
 
 
 def forest(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what is linked within each key's rows; no edge joins what others join already.
+    """Edges that join what is linked within each key's rows; no edge joins what others join already, by whatever key.
 
     Large groups are searched from a fingerprint outwards; what is reached leaves the group. Small
     ones are compared side by side, all groups at once.
@@ -139,32 +142,43 @@ def forest(key: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> tuple[n
     key, fp = key[order], fp[order].view(np.uint64)
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     sizes = np.diff(cuts)
-    out_a, out_b = [], []
-    small = np.repeat(sizes <= 24, sizes)
-    k, f = key[small], fp[small]
-    for lag in range(1, 24):
+    names, node = np.unique(fp, return_inverse=True)
+    parent, out_a, out_b = list(range(len(names))), [], []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            if (x := root(i)) != (y := root(j)):
+                parent[max(x, y)] = min(x, y)
+                out_a.append(i)
+                out_b.append(j)
+
+    small = np.repeat(sizes <= SMALL_ROWS, sizes)
+    k, f, at = key[small], fp[small], node[small]
+    for lag in range(1, SMALL_ROWS):
         if len(k) <= lag or not len(same := np.flatnonzero(k[lag:] == k[:-lag])):
             break
         near = same[np.bitwise_count(f[same] ^ f[same + lag]) <= max_bits]
-        out_a.append(f[near])
-        out_b.append(f[near + lag])
-    for g in np.flatnonzero(sizes > 24).tolist():
-        left = np.unique(fp[cuts[g] : cuts[g + 1]])
+        link(at[near], at[near + lag])
+    for g in np.flatnonzero(sizes > SMALL_ROWS).tolist():
+        left = np.unique(node[cuts[g] : cuts[g + 1]])
+        values = names[left]
         while len(left):
-            edge, left = [left[0]], left[1:]
+            edge, left, values = [left[0]], left[1:], values[1:]
             while edge and len(left):
-                near = np.bitwise_count(left ^ edge[-1]) <= max_bits
-                at = edge.pop()
+                here = edge.pop()
+                near = np.bitwise_count(values ^ names[here]) <= max_bits
                 if near.any():
                     reached = left[near]
-                    out_a.append(np.full(len(reached), at))
-                    out_b.append(reached)
+                    link(np.full(len(reached), here), reached)
                     edge.extend(reached)
-                    left = left[~near]
-    none = np.zeros(0, np.uint64)
-    a, b = np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.stack([none, none])
-    return pairs[0].view(np.int64), pairs[1].view(np.int64)
+                    left, values = left[~near], values[~near]
+    a, b = names[np.array(out_a, np.int64)], names[np.array(out_b, np.int64)]
+    return np.minimum(a, b).view(np.int64), np.maximum(a, b).view(np.int64)
 
 
 def near_edges(distinct_fp: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -197,20 +211,21 @@ def star_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Component label of each node that has an edge: node, label (the smallest node as a signed long).
 
     Alternates large stars and small stars until nothing changes. Each round is written to the shared
-    folder, so that no lineage grows and a lost executor costs a round at most.
+    folder, so that no lineage grows and a lost executor costs a round at most; the one before it goes.
     """
     edges = materialize(edges.select("a", "b"), "edges")
-    before = None
+    before = (edges.count(), None)
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("low"))
-        large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.filter("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("low"))
-        small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
-        edges = materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("low"), F.count("*").alias("n"))
+        large = join_counted(both, low, "a", "n", 2 * before[0]).filter(F.col("b") > F.col("a"))
+        down = materialize(large.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct(), "stars")  # each b is below its a
+        low = down.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = join_counted(down, low, "a", "n", 2 * before[0]).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
+        old, edges = edges, materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), "edges")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        discard(old)
+        discard(down)
         if now == before:
             break
         before = now
@@ -220,14 +235,15 @@ def star_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def classes(prints: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """fp and ``first``: the least (doc_id, digest) of its component, rows without doc_id last."""
+    """fp, its number of rows ``n``, and ``first``: the least (doc_id, digest) of its component, rows without doc_id last."""
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    known = materialize(prints.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
-    edges = near_edges(known.select("fp"), known.count(), hot_rows)
-    labels = star_components(edges).join(known, F.col("node") == F.col("fp"))
-    first = labels.groupBy("label").agg(F.min("first").alias("least"))
-    linked = labels.select("fp", "label").join(first, "label").select("fp", "least")
-    return known.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    known = materialize(prints.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")), "distinct")
+    rows = known.count()
+    edges = near_edges(known.select("fp"), rows, hot_rows)
+    labels = materialize(star_components(edges).join(known, F.col("node") == F.col("fp")).select("fp", "label", "first"), "labels")
+    least = labels.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("members"))
+    linked = join_counted(labels.select("fp", "label"), least, "label", "members", rows).select("fp", "least")
+    return known.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("first"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -235,24 +251,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``component_id`` is the smallest doc_id that links lead to, its own included. Null and empty
     texts have fingerprint zero and link like any other. Rows without doc_id link others, but only
-    name a component where no row of it has one (then null). Repeated rows are each returned.
+    name a component where no row of it has one (then null). Repeated rows are each returned. Texts may
+    be of any length. Other columns are left out, so that none can clash; an empty table gives no rows.
     """
     prints = materialize(fingerprints(docs), "fingerprints")
-    rows = spread(prints, classes(prints))
+    found = materialize(classes(prints), "classes")
+    rows = join_counted(prints, found, "fp", "n", prints.count())
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def spread(prints: DataFrame, found: DataFrame, salts: int = 16) -> DataFrame:
-    """Gives each row its fingerprint's class; a fingerprint of very many rows is dealt over ``salts`` keys."""
-    salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(salts)).cast("int"))
-    copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, ["fp", "salt"])
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, of which each component keeps one: the document of its smallest doc_id.
 
+    Rows without doc_id are kept where a component has no other. Of repeated rows (one doc_id and text)
+    one is kept, of rows that share a doc_id but not a text each is its own document. Null and empty texts
+    are one component. Columns of any name stay as they are; an empty table gives no rows.
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of which each component keeps one: the document of its smallest doc_id."""
+    What is dropped is decided on ids. Rows that no mark of a bounded bitmap tells to be dropped or repeated
+    stay where they lie; only the others are shuffled, to be compared with the exact list.
+    """
     prints = materialize(fingerprints(docs), "fingerprints")
-    keepers = classes(prints).select(F.col("first.doc_id").alias("__doc"), F.col("first.digest").alias("__digest")).distinct()
-    rows = docs.withColumn("__own", digest("text"))
-    both = rows.join(keepers, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__digest")), "left_semi")
-    return both.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
+    found = materialize(classes(prints), "classes")
+    rows = join_counted(prints, found, "fp", "n", prints.count())
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    # a row for each document with copies of itself, and for each one to drop
+    fate = rows.groupBy("doc_id", "digest").agg(F.first(own).alias("keep"), F.count("*").alias("n")).filter("n > 1 or not keep")
+    fate = materialize(fate.withColumn("mark", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "digest")), "fate")
+    own_digest, mark, touched, other_id, other_digest = spare(docs.columns, "own_digest", "mark", "touched", "other_id", "other_digest")
+    named = docs.withColumn(own_digest, digest("text"))
+    named = named.withColumn(touched, marked(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), own_digest), bitmap_of(fate, "mark")))
+    asked = named.filter(touched)
+    facts = fate.select(F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest), "keep").withColumnRenamed("keep", mark)
+    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(own_digest) == F.col(other_digest))
+    met = asked.join(facts, same, "left").filter(F.coalesce(mark, F.lit(True)))
+    once = met.dropDuplicates(["doc_id", own_digest])
+    return named.filter(~F.col(touched)).select(*docs.columns).unionByName(once.select(*docs.columns))
