@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from residua.scratch import discard, materialize, scratch_path
 
-__all__ = ["Bitmap", "bitmap_of", "discard", "join_counted", "join_skewed", "marked", "map_batches", "materialize", "parts_for", "scratch_path", "spare", "utf8"]
+__all__ = ["Bitmap", "bitmap_of", "discard", "held", "join_counted", "join_skewed", "marked", "map_batches", "materialize", "parts_for", "scratch_path", "spare", "utf8"]
 
 #: A key is hot where it has more than one in so many rows; so there are fewer hot keys than this.
 HOT_SHARE = 1000
@@ -51,11 +51,14 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str | list[str], n: str
 
 
 def join_skewed(rows: DataFrame, facts: DataFrame, key: str | list[str]) -> DataFrame:
-    """Inner ``join_counted`` where the rows of each key must be counted first."""
+    """Inner ``join_counted`` where the rows of each key must be counted first. Hot keys without a fact are not shuffled either."""
     keys = [key] if isinstance(key, str) else key
     (n,) = spare([*rows.columns, *facts.columns], "n")
+    total = rows.count()
     counts = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias(n))
-    return join_counted(rows, facts.join(counts, keys), keys, n, rows.count()).drop(n)
+    hot = materialize(counts.filter(F.col(n) * HOT_SHARE > total).select(*keys), "hot")
+    met = rows.join(F.broadcast(facts.join(F.broadcast(hot), keys, "left_semi")), keys)
+    return met.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(facts, keys))
 
 
 class Bitmap:
@@ -95,6 +98,18 @@ def marked(hash_: Column, bitmap: Bitmap) -> Column:
     return F.pandas_udf(probe, "boolean")(hash_)
 
 
+#: The one thing that a Python worker keeps between tasks.
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What ``make`` makes, kept by this worker until something else is: caches of several operators don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def map_batches(df: DataFrame, fn: Callable[[list[list]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """Arrow batches through ``fn``: it gets the columns as lists and yields dicts of output columns."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import map_batches, utf8
+from residua.llm.common import held, map_batches, utf8
 
 WINDOW_WORDS = 10
 BLOCK_ITEMS = 20_000
@@ -143,10 +143,7 @@ def _scan_block(rows: DataFrame, block: list[tuple[int | None, bytes]], window:
     shared, key = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(cols: list[list]) -> Iterator[dict[str, list]]:
-        if key not in _SCANNERS:
-            _SCANNERS.clear()
-            _SCANNERS[key] = WindowScanner(shared.value, window)
-        scanner = _SCANNERS[key]
+        scanner = held(key, lambda: WindowScanner(shared.value, window))
         for lo in range(0, len(cols[0]), 500):
             doc_ids, texts, digests = (c[lo : lo + 500] for c in cols)
             found = [(len(words), *scanner.scan(words)) for words in map(words_of, texts)]
@@ -157,10 +154,6 @@ def _scan_block(rows: DataFrame, block: list[tuple[int | None, bytes]], window:
     return map_batches(rows, run, FOUND)
 
 
-#: The automaton in use in this Python worker.
-_SCANNERS: dict[str, WindowScanner] = {}
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """Per document row: ``n_words``, ``n_hit``, ``n_items``, ``items_sha256`` and ``contaminated``.
 
@@ -192,10 +185,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if key not in _SCANNERS:
-                    _SCANNERS.clear()
-                    _SCANNERS[key] = WindowScanner(shared.value, window)
-                scan = _SCANNERS[key].scan
+                scan = held(key, lambda: WindowScanner(shared.value, window)).scan
                 keep = [t is None or not len(scan(words_of(t.encode("utf-8")))[0]) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 

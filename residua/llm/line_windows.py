@@ -10,11 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from residua.llm.common import bitmap_of, join_counted, map_batches, marked, materialize, spare
 
@@ -77,20 +75,11 @@ def merge_spans(name: str, window: int) -> Column:
     return F.expr(f"zip_with({first}, {last}, (s, e) -> named_struct('s', s, 'e', e))")
 
 
-@F.pandas_udf(StringType())
-def without_spans(text: pd.Series, cuts: pd.Series) -> pd.Series:
-    """Texts without the lines of their spans, each line looked at once; null for a null text."""
-
-    def kept(t: str | None, spans: list) -> str | None:
-        if t is None:
-            return None
-        lines, out, at = t.split("\n"), [], 0
-        for c in spans:
-            out += lines[at : c["s"]]
-            at = c["e"]
-        return "\n".join(out + lines[at:])
-
-    return pd.Series([kept(t, c) for t, c in zip(text, cuts, strict=True)], dtype=object)
+def without_spans(lines: str, cuts: str) -> Column:
+    """A column of lines joined again without its spans, each line looked at once."""
+    zero = F.array(F.lit(0))
+    before, after = F.concat(zero, F.transform(cuts, lambda c: c.e)), F.concat(F.transform(cuts, lambda c: c.s), F.array(F.size(lines)))
+    return F.array_join(F.flatten(F.zip_with(before, after, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
 
 
 def cut_lines(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
@@ -104,18 +93,18 @@ def cut_lines(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
     """
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_cut")]
     rows = docs.select(*names)
-    own, touched, other_id, other_digest, cuts, mark = spare(names, "own_digest", "touched", "other_id", "other_digest", "cuts", "mark")
+    own, touched, other_id, other_digest, cuts, mark, lines = spare(names, "own_digest", "touched", "other_id", "other_digest", "cuts", "mark", "lines")
     spans = spans_to_cut(docs, window).select(F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest), F.col("cuts").alias(cuts))
     spans = materialize(spans.withColumn(mark, F.xxhash64(F.coalesce(other_id, F.lit(-1)), other_digest)), "cuts")
     rows = rows.withColumn(own, digest("text"))
     rows = rows.withColumn(touched, marked(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), own), bitmap_of(spans, mark)))
     zero = F.lit(0).cast("bigint")
-    n_lines = F.when(F.col("text").isNull(), zero).otherwise(F.size(F.split("text", "\n", -1)).cast("bigint")).alias("n_lines")
-    whole = rows.filter(~F.col(touched)).select(*names, n_lines, zero.alias("n_cut"))
+    split = F.split("text", "\n", -1)
+    n_lines = lambda lines: F.when(F.col("text").isNull(), zero).otherwise(F.size(lines).cast("bigint")).alias("n_lines")
+    whole = rows.filter(~F.col(touched)).select(*names, n_lines(split), zero.alias("n_cut"))
     # a document's cuts are one row; a mark may also be another's, so that some rows meet none
     same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other_digest))
-    met = rows.filter(touched).join(spans, same, "left")
-    kept = without_spans(F.when(F.col(cuts).isNotNull(), F.col("text")), F.col(cuts))
-    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(kept).alias("text")
+    met = rows.filter(touched).join(spans, same, "left").withColumn(lines, split)
+    text = F.when(F.col(cuts).isNull() | F.col("text").isNull(), F.col("text")).otherwise(without_spans(lines, cuts)).alias("text")
     n_cut = F.coalesce(F.aggregate(cuts, zero, lambda a, c: a + c.e - c.s), zero).alias("n_cut")
-    return whole.unionByName(met.select(*[text if c == "text" else F.col(c) for c in names], n_lines, n_cut))
+    return whole.unionByName(met.select(*[text if c == "text" else F.col(c) for c in names], n_lines(F.col(lines)), n_cut))

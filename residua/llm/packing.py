@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import join_skewed, map_batches, materialize, parts_for, utf8
+from residua.llm.common import held, join_skewed, map_batches, materialize, parts_for, utf8
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -143,14 +143,9 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One for each Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: WordEncoder(path))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = SEQUENCE_TOKENS, with_ids: bool = False) -> DataFrame:

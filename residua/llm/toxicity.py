@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm.common import map_batches, materialize, utf8
+from residua.llm.common import held, map_batches, materialize, utf8
 
 #: Labelled rows of each class that a fit uses at most, chosen by a hash of doc_id.
 SAMPLE_PER_CLASS = 4000
@@ -181,14 +181,8 @@ def score_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     return map_batches(docs.select("doc_id", utf8("text").alias("text")), run, "doc_id bigint, expected_severity double, p_toxic double, grade int, toxic boolean")
 
 
-_INDEXES: dict[tuple[str, ...], WordIndex] = {}
-
-
 def _index(model: OrdinalModel) -> WordIndex:
-    if model.features not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[model.features] = WordIndex(model.features)
-    return _INDEXES[model.features]
+    return held(("words", model.features), lambda: WordIndex(model.features))
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
