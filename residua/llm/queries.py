@@ -97,7 +97,11 @@ def op10_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.filter_urls(pages, url_events(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index, op2_best_fit_packing, op3_line_quality, op4_toxicity_ordinal, op5_benchmark_decontamination, op6_simhash_variants, op7_pii_disclosure, op8_bounded_ring_shards, op9_line_windows, op10_url_temporal_lists)}
+_ALL = (
+    op1_warc_index, op2_best_fit_packing, op3_line_quality, op4_toxicity_ordinal, op5_benchmark_decontamination, op6_simhash_variants, op7_pii_disclosure,
+    op8_bounded_ring_shards, op9_line_windows, op10_url_temporal_lists,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: Up to one key range of pages, as the cuts between ranges are taken from a sample.
 OP1_SQL = """
@@ -174,4 +178,10 @@ m AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(lis
 SELECT page_id, host, coalesce(n, 0)::BIGINT AS n_entries, coalesce(names, '') AS lists, n IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_index": OP1_SQL, "op3_line_quality": OP3_SQL, "op5_benchmark_decontamination": OP5_SQL, "op9_line_windows": OP9_SQL, "op10_url_temporal_lists": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_index": OP1_SQL,
+    "op3_line_quality": OP3_SQL,
+    "op5_benchmark_decontamination": OP5_SQL,
+    "op9_line_windows": OP9_SQL,
+    "op10_url_temporal_lists": OP10_SQL,
+}
