@@ -9,7 +9,7 @@ if each term had also occurred without the entity, so that few sightings carry l
 values of a kind together, and the addresses of a mail domain, are entities as well. A term is any run
 of letters.
 
-All counts are of distinct texts over the whole corpus, so that copies change none. The terms in question
+All counts are of distinct texts over the whole corpus, so that copies change none. The terms to mark
 and the digests of copied texts travel as bitmaps sized by their number, 32 MB at most; what passes them is
 counted and joined exactly by term or digest, so the bitmaps decide nothing. Texts are cut into terms a few
 megabytes at a time, each distinct term of which is looked up once. A document holds spans of its own only.
@@ -39,6 +39,7 @@ UNSEEN = 1
 GENERALISE, REMOVE = 0.8, 0.95
 #: Bytes of text that are cut into terms at once.
 SLICE_BYTES = 8_000_000
+NONE = np.zeros(0, np.int64)
 
 # possessive: each run is read once, also in texts without any match
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?+")
@@ -168,38 +169,38 @@ def hashed(terms: DataFrame) -> DataFrame:
     return terms.select(F.xxhash64("term").alias("h"))
 
 
-def text_counts(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
-    """term and n_t: the distinct texts with each of the terms. ``copied`` has the digests of texts with copies.
+def text_counts(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """term and n_t: the distinct texts with each term of the corpus. ``copied`` has the digests of texts with copies.
 
-    Texts that may have copies give a row for each digest, all others are added up where they lie. Terms
-    that are not asked for may be among the rows.
+    Texts that may have copies give a row for each digest, all others are added up where they lie. All terms are
+    counted, so that the rows grow as the texts do, and not with the entities too.
     """
-    asked, again = (docs.sparkSession.sparkContext.broadcast(b) for b in (bitmap_of(hashed(terms), "h"), bitmap_of(copied, "digest")))
-
+    again = docs.sparkSession.sparkContext.broadcast(bitmap_of(copied, "digest"))
     names = ["digest", "term", "n", "terms"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            digests = batch.column(1).to_numpy()
+            digests, counts = batch.column(1).to_numpy(), []
             twice = again.value.marked(digests)
             for lo, edges, codes, words in term_slices(batch.column(0)):
-                wanted = asked.value.marked(term_hashes(words))
-                single, texts = [], []
+                single, texts = [NONE], []
                 for k in range(len(edges) - 1):
                     here = codes[edges[k] : edges[k + 1]]
-                    if twice[lo + k]:
-                        if (d := int(digests[lo + k])) in done:
-                            continue
+                    if not twice[lo + k]:
+                        single.append(np.unique(here))
+                    elif (d := int(digests[lo + k])) not in done:
                         done.add(d)
-                        texts.append((d, np.unique(here[wanted[here]])))
-                    else:
-                        single.append(np.unique(here[wanted[here]]))
-                n = np.bincount(np.concatenate([np.zeros(0, np.int64), *single]), minlength=len(words))
+                        texts.append((d, np.unique(here)))
+                n = np.bincount(np.concatenate(single), minlength=len(words))
                 some = np.flatnonzero(n)
-                lists = pa.ListArray.from_arrays(np.cumsum([0, *(len(t) for _, t in texts)]).astype(np.int32), words.take(pa.array(np.concatenate([np.zeros(0, np.int64), *(t for _, t in texts)]))))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), words.take(pa.array(some)), pa.array(n[some]), pa.nulls(len(some), lists.type)], names=names)
+                counts.append(pa.table({"term": words.take(pa.array(some)), "n": pa.array(n[some])}))
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *(len(t) for _, t in texts)]).astype(np.int32), words.take(pa.array(np.concatenate([NONE, *(t for _, t in texts)]))))
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in texts], pa.int64()), pa.nulls(len(texts), pa.string()), pa.nulls(len(texts), pa.int64()), lists], names=names)
+            if counts:
+                whole = pa.concat_tables(counts).group_by("term").aggregate([("n", "sum")])
+                for part in whole.select(["term", "n_sum"]).to_batches(max_chunksize=50_000):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), *part.columns, pa.nulls(len(part), pa.list_(pa.string()))], names=names)
 
     rows = docs.filter(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("digest"))
     found = materialize(rows.mapInArrow(count, "digest bigint, term string, n bigint, terms array<string>"), "terms_seen")
@@ -218,9 +219,10 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     n_e = counts.filter(F.col("term").isNull()).select("entity", F.col("n").alias("n_e"))
     pairs = counts.filter(F.col("term").isNotNull()).withColumnRenamed("n", "n_et")
     digests = base.groupBy("digest").count()
-    n_t = text_counts(docs, pairs.select("term").distinct(), digests.filter("count > 1"))
-    # a kind has pairs with nearly every term, and a common term with nearly every entity: equal counts become one
-    both = join_skewed(pairs, n_e, "entity").select("term", "n_et", "n_e").distinct().join(n_t, "term")
+    n_t = text_counts(docs, digests.filter("count > 1"))
+    # a kind has pairs with nearly every term, and a common term with nearly every entity. As n(t) is n(e, t) at least,
+    # of equal n(e, t) the rarest entity has the largest share
+    both = join_skewed(pairs, n_e, "entity").groupBy("term", "n_et").agg(F.min("n_e").alias("n_e")).join(n_t, "term")
     total = F.lit(float(max(digests.count(), 2)))
     pmi = F.log(total * F.col("n_et") / (F.col("n_e") * (F.col("n_t") + UNSEEN)))
     share = pmi / F.greatest(F.log(total / F.col("n_e")), F.lit(1e-9))
