@@ -41,8 +41,8 @@ BOILERPLATE = (
     "aceptar cookies", "aviso legal", "haga clic aquí", "iniciar sesión", "leer más", "política de privacidad", "términos de uso", "todos los derechos reservados", "utiliza cookies",
 )
 BOILERPLATE_PHRASE = re.compile(r"\b(?:" + "|".join(BOILERPLATE) + r")\b|[{}©]+", re.IGNORECASE)
-#: What a text must hold somewhere for a phrase to be possible: the longest ASCII run of letters of each phrase.
-HINTS = tuple({max(re.findall("[a-z]+", x), key=len).encode() for x in BOILERPLATE} | {b"{", b"}", "©".encode()})
+#: What a text must hold somewhere for a phrase to be possible: the longest part of each phrase in ASCII, one for all of cookies.
+HINTS = tuple({b"cookie" if "cookie" in x else max(re.findall("[a-z ]+", x), key=len).encode() for x in BOILERPLATE} | {b"{", b"}", "©".encode()})
 UPPER, ASCII = bytes(range(65, 91)), bytes(range(128))
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, "
