@@ -32,7 +32,7 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: Three segments: 4 differing bits leave one of them with one at most.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-KEYS_PER_PART = 4_000_000
+KEYS_PER_PART = 1_000_000
 #: A key that more fingerprints than this may share is cut further.
 HOT_ROWS = 8_000
 #: Rows of a key that are compared side by side with all other keys' rows; larger ones are searched one by one.
