@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residua.llm import decontamination, line_quality, line_windows, packing, pii, sharding, simhash, toxicity, url_lists, warc_index
+from residua.llm import decontamination, filter_audit, line_quality, line_windows, packing, pii, sharding, simhash, spelling, token_counts, toxicity, url_lists, warc_index
 
 SHARDS = 40
 TOKENIZER = "word_bpe_49k.json"
@@ -97,9 +97,21 @@ def op10_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lists.filter_urls(pages, url_events(table(spark, sf_dir, "pages")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 _ALL = (
     op1_warc_index, op2_best_fit_packing, op3_line_quality, op4_toxicity_ordinal, op5_benchmark_decontamination, op6_simhash_variants, op7_pii_disclosure,
-    op8_bounded_ring_shards, op9_line_windows, op10_url_temporal_lists,
+    op8_bounded_ring_shards, op9_line_windows, op10_url_temporal_lists, op11_spelling_variants, op12_filter_audit, op13_token_counts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -178,10 +190,28 @@ m AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(lis
 SELECT page_id, host, coalesce(n, 0)::BIGINT AS n_entries, coalesce(names, '') AS lists, n IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)
 """
 
+#: Counts of each combination of failures, then each order and step over them.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::INT
++ 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS fails FROM w),
+b AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS goods, count(*) FILTER (toxic) AS toxics FROM f LEFT JOIN b USING (doc_id) GROUP BY part, fails),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, unnest([1, 2, 3, 4, 5]) AS step, unnest([a.bit, b.bit, c.bit, d.bit, e.bit]) AS bit,
+unnest([0, a.bit, a.bit | b.bit, a.bit | b.bit | c.bit, 31 - e.bit]) AS before FROM l a, l b, l c, l d, l e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT part, filter_order, step, bit, sum(n) FILTER (fails & (before | bit) = 0) AS kept, sum(n) FILTER (fails & before = 0 AND fails & bit > 0) AS removed, sum(n) FILTER (fails & before > 0 AND fails & bit > 0) AS redundant,
+sum(n) FILTER (fails = bit) AS unique_fails, sum(goods) FILTER (fails & before = 0 AND fails & bit > 0) AS good_lost, sum(toxics) FILTER (fails & before = 0 AND fails & bit > 0) AS toxic_lost FROM c, o GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM s
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_index": OP1_SQL,
     "op3_line_quality": OP3_SQL,
     "op5_benchmark_decontamination": OP5_SQL,
     "op9_line_windows": OP9_SQL,
     "op10_url_temporal_lists": OP10_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
