@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from residua import sinks
 from residua.functions import sequences as fn
-from residua.operators import embedding, metrics, sampling, scoring
+from residua.operators import embedding, metrics, sampling, scoring, similarity
 from residua.scratch import scratch_path
 from residua.sources import fasta, hits
 from residua.streaming.fasta import score_stream, stream_fasta
@@ -45,7 +45,6 @@ def cleaned() -> Column:
 CLEAN = "translate(text, 'Jj*', 'LL')"
 SHARP = "upper(replace({}, 'ß', 'ss'))"
 UPPER_CLEAN = SHARP.format(CLEAN)
-UPPER_CUT = SHARP.format(f"substr({CLEAN}, 1, 1022)")
 
 
 def sql_count(upper: str, residue: str) -> str:
@@ -65,15 +64,14 @@ def sql_scored(upper: str) -> str:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents cleaned, cut to what an embedder reads, and scored with the fixed model."""
-    seq = fn.truncate(cleaned())
-    feats = fn.with_composition(table(spark, sf_dir, "documents").select("doc_id", seq.alias("seq")), "seq")
+    """documents cleaned and scored, whole, with the fixed model."""
+    feats = fn.with_composition(table(spark, sf_dir, "documents").select("doc_id", cleaned().alias("seq")), "seq")
     return feats.select("doc_id", scoring.linear_score([F.col(c) for c in fn.FEATURES], WEIGHTS, BIAS).alias("z"))
 
 
 def predict_sql(probability: str) -> str:
     said = "CASE WHEN z > 0 THEN 'Adhesion' ELSE 'Non-adhesion' END AS prediction"
-    return f"SELECT doc_id::VARCHAR AS id, {said}, {probability} AS probability_adhesion FROM ({sql_scored(UPPER_CUT)})"
+    return f"SELECT doc_id::VARCHAR AS id, {said}, {probability} AS probability_adhesion FROM ({sql_scored(UPPER_CLEAN)})"
 
 
 PREDICT_SQL = predict_sql("round(1 / (1 + exp(-z)), 6)")
@@ -81,7 +79,7 @@ PREDICT_SQL = predict_sql("round(1 / (1 + exp(-z)), 6)")
 
 @query(PREDICT_SQL + " WHERE z > 0")
 def predict_linear(spark, sf_dir):
-    """Clean, cut, composition, linear score, class name; positives only."""
+    """Clean, composition, linear score, class name; positives only."""
     return rounded(scoring.predictions(scored(spark, sf_dir), "doc_id", "z"))
 
 
@@ -258,6 +256,18 @@ def fetch_in_order(spark, sf_dir):
     return fasta.fetch(records, n.union(again)).select("ord", "id", "source")
 
 
+#: For prose, where short words say nothing. An error costs what 18 letters bring: above 90 there is a run of 19, which has a seed.
+PROSE = similarity.Search(k=12, window=8, strip=32, min_seeds=1, min_score=150, mismatch=-90, gap_open=90, gap_extend=90)
+SF_SMALL = "/root/testdata/sf0.001"
+
+
+@query()
+def similarity_join(spark, sf_dir):
+    """Local alignments of every fiftieth document with all. No SQL aligns: held to the whole matrix in the tests."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), cleaned().alias("sequence"), "doc_id")
+    return similarity.similar(docs.filter("doc_id % 50 = 0"), docs, PROSE).drop("evalue", "bits")
+
+
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
 def counts_by_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
