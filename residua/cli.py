@@ -13,11 +13,12 @@ import sys
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from residua import sinks
 from residua.operators import embedding, metrics, model, sampling
+from residua.scratch import materialize
 from residua.session import session, ship_package
 from residua.sources import fasta, hits
 
@@ -86,7 +87,7 @@ def run_predict(spark: SparkSession, path: str, model_path: str, out: str | None
     scored = scored.select("file_path", "record_no", "id", F.col("class_name").alias("prediction"), F.col("probability").alias("probability_adhesion"))
     out = out or sinks.prediction_name(path, not fasta.is_file(spark, path))
     ordered = scored.orderBy("file_path", "record_no")
-    sinks.write_predictions(ordered, out)
+    sinks.write_predictions(ordered, out, one_file=True)
     if not silent:
         for r in ordered.toLocalIterator():  # a part at a time
             print(f"{r.id}: {r.prediction} (p={r.probability_adhesion:.3f})")
@@ -103,6 +104,8 @@ def labelled(spark: SparkSession, positive: str, negative: str, require_both: bo
 
 
 def run_train(spark: SparkSession, positive: str, negative: str, out: str, test_size: float, make: Make, name: str = embedding.DEFAULT_MODEL) -> model.Training:
+    if not 0 < test_size < 1:
+        raise CommandError("the test size must lie between 0 and 1", 2)
     rows = with_features(embedded(labelled(spark, positive, negative, True), make, name).select("key", "features", "label"))
     done = model.train(rows, "key", test_size=test_size)
     model.save(done.model, out)
@@ -123,11 +126,14 @@ def run_filter_hits(spark: SparkSession, paths: list[str], out: str, percent: fl
         if p not in there:
             print(f"Error: {p} not found", file=sys.stderr)
     if there:
+        said = Observation("skipped")  # counted as the lines pass, in the one scan of the files
+        odd = {(k, p): f"{p}_{k}" for k in range(len(there)) for p in ("short", "identity")}
         judged = hits.judge_hits(hits.read_hit_lines(spark, there))
-        skipped = judged.filter("problem in ('short', 'identity')").groupBy("file_no", "problem").count().orderBy("file_no", "problem")
-        for r in skipped.toLocalIterator():  # at most two rows for each file
-            warn(f"{there[r.file_no]}: {r['count']} lines skipped: {'fewer than 11 columns' if r.problem == 'short' else 'no number for identity'}")
-        kept = hits.above_identity(judged.filter("problem is null"), percent)
+        judged = judged.observe(said, *(F.count_if((F.col("file_no") == k) & (F.col("problem") == p)).alias(name) for (k, p), name in odd.items()))
+        kept = materialize(hits.above_identity(judged.filter("problem is null"), percent), "kept")
+        for (k, p), name in odd.items():
+            if n := said.get[name]:
+                warn(f"{there[k]}: {n} lines skipped: {'fewer than 11 columns' if p == 'short' else 'no number for identity'}")
         sinks.write_hits(kept.orderBy("file_no", "file_path", "block", "n"), out)
     return int(len(there) < len(paths))
 
@@ -218,6 +224,13 @@ def run(a: argparse.Namespace) -> int:
     return 0
 
 
+def cause(error: Exception) -> str:
+    """What went wrong in one line: of an error in a worker the one that was raised there, else the first line that says something."""
+    lines = [x.strip() for x in str(error).splitlines() if x.strip()]
+    raised = [x for x in lines if re.match(r"[A-Za-z_][\w.]*(Error|Exception): \S", x) and not x.startswith(("org.", "java."))]
+    return re.sub(r"^(\w+\.)*\w+: ", "", raised[0]) if raised else lines[0] if lines else type(error).__name__
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
@@ -226,7 +239,7 @@ def main(argv: list[str] | None = None) -> int:
         print(f"Error: {e}", file=sys.stderr)
         return e.code
     except (PySparkException, ValueError) as e:
-        print(f"Error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
+        print(f"Error: {cause(e)}", file=sys.stderr)
         return 1
 
 

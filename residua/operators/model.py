@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residua.operators.metrics import accuracy, cv_summary
-from residua.operators.sampling import stratified_folds, stratified_split
+from residua.operators.sampling import class_quotas, stratified_folds, stratified_split
 from residua.operators.scoring import class_name
 
 MAX_ITERATIONS = 1000
@@ -43,6 +43,12 @@ class Training:
 
 def train(df: DataFrame, key: str, features: str = "features", label: str = "label", test_size: float = 0.2, folds: int = 5, seed: int = 42) -> Training:
     """Hold-out score, cross-validation on the training part, and a model refitted on all rows."""
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # a row for each class
+    if len(sizes) < 2 or min(sizes.values()) < folds:
+        raise ValueError(f"training needs at least {folds} rows of each of two classes, there are {sizes}")
+    tests = class_quotas(sizes, test_size)
+    if not all(tests.values()) or any(sizes[k] - tests[k] < folds for k in sizes):
+        raise ValueError(f"a test size of {test_size} leaves too few rows to test or to train on: {sizes}")
     split = stratified_split(df.select(key, features, label), label, key, test_size, seed).persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = stratified_folds(split.filter(~F.col("is_test")), label, key, folds).persist(StorageLevel.MEMORY_AND_DISK)
     held = fit(fit_rows, features, label)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.functions.sequences import format_probability
@@ -13,10 +15,58 @@ from residua.sources.fasta import format_record
 from residua.sources.hits import hit_line
 
 
-def write_predictions(df: DataFrame, folder: str, one_file: bool = False) -> None:
-    """CSV with a header; probability to four decimals. ``one_file`` for small results only."""
+def write_predictions(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """CSV with a header, probability to four decimals, in the order of ``df``: a folder of parts, or ``one_file``."""
     rows = df.select("id", "prediction", format_probability(F.col("probability_adhesion")).alias("probability_adhesion"))
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).csv(folder)
+    if not one_file:
+        rows.write.mode("overwrite").option("header", True).csv(path)
+        return
+    parts = f"{path.rstrip('/')}.{uuid.uuid4().hex}.parts"
+    try:
+        rows.write.option("header", False).csv(parts)
+        join_parts(df.sparkSession, parts, ",".join(rows.columns) + "\n", path)
+    finally:
+        p, files = hadoop_path(df.sparkSession, parts)
+        files.delete(p, True)
+
+
+def join_parts(spark: SparkSession, folder: str, opening: str, path: str) -> None:
+    """Makes one file of ``opening`` and the parts in ``folder``, in their order, and puts it in the place of ``path`` when it is whole.
+
+    The file system joins them where it can, without moving a byte. Where it can't they are copied one behind the
+    other, a buffer at a time.
+    """
+    where, files = hadoop_path(spark, folder)
+    joined = hadoop_path(spark, f"{folder}/joined")[0]
+    found = sorted((s.getPath() for s in files.listStatus(where) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda p: p.getName())
+    jvm = spark.sparkContext._jvm
+    out = files.create(joined, True)
+    out.write(bytearray(opening.encode("utf-8")))
+    try:
+        if found and _joins(files, joined):
+            out.close()
+            array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(found))
+            for k, p in enumerate(found):
+                array[k] = p
+            files.concat(joined, array)
+        else:
+            for p in found:
+                source = files.open(p)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 22, False)
+                source.close()
+    finally:
+        out.close()
+    target = hadoop_path(spark, path)[0]
+    files.delete(target, True)
+    if not files.rename(joined, target):
+        raise OSError(f"{path} could not be written")
+
+
+def _joins(files, path) -> bool:
+    try:
+        return bool(files.hasPathCapability(path, "fs.capability.paths.concat"))
+    except PySparkException:
+        return False
 
 
 def prediction_name(path: str, is_folder: bool) -> str:

@@ -135,6 +135,9 @@ def test_train_predict_and_evaluate(spark, tmp_path, capsys):
     cli.run_predict(spark, p["pos"], p["model"], p["out"], False, embedding.TestEmbedder, silent=False)
     rows = [(r.id, r.prediction) for r in spark.read.option("header", True).csv(p["out"]).collect()]
     assert rows == [(f"pos{k}_{j}", "Adhesion") for k in range(2) for j in range(10)]  # in order of file and record
+    text = (tmp_path / "out").read_text().splitlines()  # one file, with one header
+    assert text[0] == "id,prediction,probability_adhesion" and [x.split(",")[0] for x in text[1:]] == [r[0] for r in rows]
+    assert [f.name for f in tmp_path.iterdir() if "out" in f.name and not f.name.endswith(".crc")] == ["out"]
     said = capsys.readouterr().out.splitlines()
     assert len(said) == 20 and said[0].startswith("pos0_0: Adhesion (p=0.")
     m = cli.run_evaluate(spark, p["pos"], p["neg"], p["model"], embedding.TestEmbedder)["confusion"].first()
@@ -147,6 +150,13 @@ def test_exit_codes(spark, tmp_path, capsys):
     t = str(tmp_path)
     assert cli.main(["predict", "--input", f"{t}/a.fasta", "--embedder", "test"]) == 1  # no model
     assert "train one first" in capsys.readouterr().err
+    for size in ("0", "1", "-0.5", "2", "nan"):
+        assert cli.main(["train", "--positive", f"{t}/a.fasta", "--negative", f"{t}/a.fasta", "--output", f"{t}/m", "--embedder", "test", "--test-size", size]) == 2
+        assert "between 0 and 1" in capsys.readouterr().err
+    assert cli.main(["train", "--positive", f"{t}/a.fasta", "--negative", f"{t}/a.fasta", "--output", f"{t}/m", "--embedder", "test"]) == 1
+    assert "at least 5 rows of each" in capsys.readouterr().err
+    assert cli.main(["train", "--positive", f"{t}/a.fasta", "--negative", f"{t}/a.fasta", "--output", f"{t}/m"]) == 1  # the default embedder isn't here
+    assert "needs torch and esm on every worker; choose another with --embedder" in capsys.readouterr().err
     assert cli.main(["train", "--positive", f"{t}/empty", "--negative", f"{t}/none", "--output", f"{t}/m", "--embedder", "test"]) == 1
     assert cli.main(["train", "--positive", f"{t}/a.fasta", "--negative", f"{t}/none", "--output", f"{t}/m", "--embedder", "nocolon"]) == 1
     assert cli.main(["sample-ids", "--input-dir", t, "--output-dir", f"{t}/o", "--num-ids", "0"]) == 2
@@ -167,6 +177,41 @@ def test_exit_codes(spark, tmp_path, capsys):
     assert residua.train_classifier and residua.read_fasta is fasta.read_fasta
 
 
+def test_one_file_or_none(spark, tmp_path):
+    """Parts in order behind one header; an older file stays where a run fails, and nothing else does."""
+    out = tmp_path / "p.csv"
+    df = spark.range(1000).select(F.concat(F.lit('i,"'), "id").alias("id"), F.lit("Adhesion").alias("prediction"), (F.col("id") / 1000).alias("probability_adhesion"))
+    sinks.write_predictions(df.repartition(7).orderBy("probability_adhesion"), str(out), one_file=True)
+    lines = out.read_text().splitlines()
+    assert lines[0] == "id,prediction,probability_adhesion" and [float(x.rsplit(",", 1)[1]) for x in lines[1:]] == [k / 1000 for k in range(1000)]
+    assert spark.read.option("header", True).csv(str(out)).count() == 1000
+    sinks.write_predictions(df.limit(0), str(out), one_file=True)
+    assert out.read_text() == "id,prediction,probability_adhesion\n"
+    bad = df.withColumn("probability_adhesion", F.raise_error(F.lit("broken")).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_predictions(bad, str(out), one_file=True)
+    assert out.read_text() == "id,prediction,probability_adhesion\n" and [f.name for f in tmp_path.iterdir() if not f.name.endswith(".crc")] == ["p.csv"]
+
+
+def records_read(sc, stage: int) -> int:
+    """By all attempts of a stage; 0 for one that was skipped."""
+    attempts = sc._jsc.sc().statusStore().stageData(stage, False, sc._jvm.java.util.ArrayList(), False, sc._gateway.new_array(sc._jvm.double, 0))
+    return sum(attempts.apply(k).inputRecords() for k in range(attempts.size()))
+
+
+def test_hits_are_scanned_once(spark, tmp_path, capsys):
+    """The warnings' counts come with the rows, not from a scan of their own."""
+    good = "\t".join(["q", "s", "95", *"4567890", "1e-5"])
+    (tmp_path / "h").write_text(f"{good}\nshort\n" * 50)
+    sc = spark.sparkContext
+    sc.setJobGroup("hits", "hits")
+    assert cli.run_filter_hits(spark, [str(tmp_path / "h")], str(tmp_path / "o"), 90.0) == 0
+    read = [records_read(sc, s) for j in sc.statusTracker().getJobIdsForGroup("hits") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [n for n in read if n > 50] == [100]
+    assert "50 lines skipped" in capsys.readouterr().err
+
+
 def test_sample_ids(spark, tmp_path):
     (tmp_path / "o.fasta").write_text(">a\nA\n>b\nA\n>c\nA\n")
     (tmp_path / "o.tab").write_text("q\tb\n")
