@@ -11,7 +11,7 @@ from residua import sinks
 from residua.functions import sequences as fn
 from residua.operators import embedding, metrics, sampling, scoring, similarity
 from residua.scratch import scratch_path
-from residua.sources import fasta, hits
+from residua.sources import datasource, fasta, fasta_index, hits
 from residua.streaming.fasta import score_stream, stream_fasta
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +193,14 @@ def fasta_parse(spark, sf_dir):
     return rows.select(F.regexp_extract("file_path", FILE_NO, 1).cast("bigint").alias("f"), "record_no", "id", "description", "sequence")
 
 
+@query(SQL["fasta_parse"])
+def fasta_source(spark, sf_dir):
+    """The same files through the data source."""
+    path = fasta_files(spark, sf_dir, F.concat(F.lit("d"), "doc_id"), F.translate("text", ">", ""))
+    rows = datasource.read_fasta(spark, path, suffixes=".txt")
+    return rows.select(F.regexp_extract("file_path", FILE_NO, 1).cast("bigint").alias("f"), "record_no", "id", "description", "sequence")
+
+
 @query(f"""
 SELECT f, row_number() OVER (PARTITION BY f ORDER BY least_doc) AS ord, id
 FROM (SELECT doc_id // {FILE_DOCS} AS f, lang || (doc_id % 97) AS id, min(doc_id) AS least_doc FROM documents GROUP BY 1, 2)
@@ -226,6 +234,41 @@ def fasta_discovery(spark, sf_dir):
     return rows.select(F.regexp_extract("file_path", r"/k(\d)/", 1).cast("int").alias("k"), "id", "description", "sequence")
 
 
+@query(f"SELECT row_number() OVER (ORDER BY doc_id) AS record_no, 'd' || doc_id AS id, lang AS description, {BODY} AS sequence FROM documents")
+def fasta_block_gzip(spark, sf_dir):
+    """All documents in one block-gzip file, written in parts and read in ranges of a megabyte."""
+    datasource.register(spark)
+    docs = table(spark, sf_dir, "documents").orderBy("doc_id").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("lang").alias("description"), F.translate("text", ">", "").alias("sequence"))
+    root = scratch_path(spark, "blocks")
+    docs.write.format("fasta").option("compression", "blocks").mode("append").save(f"{root}/parts")
+    sinks.join_parts(spark, f"{root}/parts", "", f"{root}/one.fa.gz")
+    return datasource.read_fasta(spark, f"{root}/one.fa.gz", splitBytes=1 << 20).drop("file_path")
+
+
+#: What a folded record may hold here: visible ASCII, so that letters are bytes.
+PLAIN = r"[^\x21-\x7E]|>"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_replace(text, '{PLAIN}', '', 'g') AS s FROM documents),
+w AS (SELECT doc_id AS ord, 'd' || doc_id || ':' || (1 + doc_id % 50) || '-' || (100 + doc_id % 90) AS id, substr(s, 1 + doc_id % 50, 100 + doc_id % 90 - doc_id % 50) AS s FROM d JOIN labels USING (doc_id)
+UNION ALL SELECT doc_id + 1000000000, 'd' || doc_id, s FROM d JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT ord, id, translate(s, 'Jj*', 'LL') AS sequence FROM w
+""")
+def fetch_regions(spark, sf_dir):
+    """Regions and whole records by an index of byte offsets, from files with lines of 60 letters."""
+    root = scratch_path(spark, "folded")
+    folded = F.regexp_replace(F.regexp_replace("text", PLAIN, ""), "(.{60})", "$1\n")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("").alias("description"), folded.alias("sequence"))
+    sinks.write_fasta(docs, f"{root}/files")
+    fasta_index.save(fasta_index.build(spark, f"{root}/files"), f"{root}/index")
+    e, name = F.col("doc_id"), F.concat(F.lit("d"), "doc_id")
+    labels = table(spark, sf_dir, "labels")
+    parts = labels.select(e.alias("ord"), F.concat(name, F.lit(":"), 1 + e % 50, F.lit("-"), 100 + e % 90).alias("id"))
+    whole = labels.filter("toxic = 1").select((e + 1_000_000_000).alias("ord"), name.alias("id"))
+    return fasta_index.fetch(spark.read.parquet(f"{root}/index"), parts.union(whole))
+
+
 @query(f"SELECT 'd' || doc_id AS id, {BODY} AS sequence, (doc_id % 4 = 0)::INT AS label FROM documents WHERE doc_id % 4 IN (0, 2)")
 def fasta_training(spark, sf_dir):
     """Positive and negative folders as training reads them: suffixes in lower case only."""
