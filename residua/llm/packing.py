@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,9 @@ GROUP_ROWS = 131_072
 #: Words that a worker remembers at most, in each of two generations.
 CACHE_WORDS = 400_000
 
+#: An ASCII capital and a first byte that a combining mark may have: what they compose to depends on the letter's case.
+CAPITAL_BEFORE_MARK = re.compile(rb"[A-Z][\xcc\xcd\xd2-\xf4]")
+
 #: ``ids_hash`` tells, beside the checksum, pieces of texts apart that share a doc_id.
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids_hash bigint"
 
@@ -51,7 +55,7 @@ class WordEncoder:
     """Token ids of whole texts, exactly as the tokenizer gives them, by remembering words.
 
     Where a tokenizer lowers letters, drops white space and never merges across it, a text's ids are those
-    of its blank-separated words in turn. Words are kept with ASCII letters lowered. Texts that hold the
+    of its blank-separated words in turn. Words are kept with ASCII letters lowered, but where a mark may stand on one. Texts that hold the
     opening of a special token go to the tokenizer whole, and so do all texts where the tokenizer's file
     doesn't say that it works so.
     """
@@ -115,7 +119,7 @@ class WordEncoder:
         """Little-endian 32-bit ids of each text."""
         if not self.by_words:
             return [self.pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
-        split = [None if self.SPECIAL in t else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+        split = [None if self.SPECIAL in t else (t if CAPITAL_BEFORE_MARK.search(t) else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts]
         out = []
         for text, words in zip(texts, split, strict=True):
             if words is None:

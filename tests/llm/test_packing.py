@@ -108,6 +108,15 @@ def test_sequences_hold_the_ids(spark, odd_docs):
     assert [d for k in sorted(rows) for d in rows[k].doc_ids] == [p.doc_id for p in order]
 
 
+@pytest.mark.parametrize("text", ["T\u0308 t\u0308 T\u0308e end", "W\u030a. Y\u030a, J\u030c J\u0327\u030c", "H\u0331 E\u0301 \u00c9 MÊME Über I\u0307"])
+def test_marks_on_capitals(text):
+    """What a mark composes to may exist for the small letter alone, and letters are lowered after that."""
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.WordEncoder(tokenizer_path()).encode([text.encode()])[0], "<u4").tolist() == want
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path):
     """A tokenizer that keeps case and blanks is not cut into words."""
     from tokenizers import Tokenizer, models, pre_tokenizers
