@@ -16,12 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm.common import held, map_batches, materialize, utf8
+from residua.llm.common import any_names, held, map_batches, materialize, utf8
 
 #: Labelled rows of each class that a fit uses at most, chosen by a hash of doc_id.
 SAMPLE_PER_CLASS = 4000
-#: Features that a model holds at most, and what one must show to be taken in.
-MAX_FEATURES, MIN_DOCS, MIN_CHI2 = 512, 5, 25.0
+#: What a feature must show to be taken into a model.
+MIN_DOCS, MIN_CHI2 = 5, 25.0
 PENALTY, STEPS, RATE = 1e-5, 800, 0.05
 #: A document is toxic where a grade above 0 is at least this probable.
 CUT = 0.5
@@ -50,22 +50,41 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, features: tuple[str, ...] = (), grades: int | None = None) -> OrdinalModel:
-    """Penalised maximum likelihood by Adam steps. x: rows of 0 and 1; grade: 0 .. grades - 1."""
+@dataclass(frozen=True)
+class Presence:
+    """A matrix of 0 and 1 by the row and column of each 1."""
+
+    rows: np.ndarray
+    columns: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=w[self.columns], minlength=self.shape[0])
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """Of the values of the rows that have a column."""
+        return np.bincount(self.columns, weights=v[self.rows], minlength=self.shape[1])
+
+
+def presence(x: np.ndarray) -> Presence:
+    return Presence(*np.nonzero(x), x.shape)
+
+
+def fit_ordinal(x: Presence, grade: np.ndarray, features: tuple[str, ...] = (), grades: int | None = None) -> OrdinalModel:
+    """Penalised maximum likelihood by Adam steps. grade: 0 .. grades - 1."""
     n, width = x.shape
     cuts = (grades or int(grade.max(initial=1)) + 1) - 1
     w, theta0, gaps = np.zeros(width), 0.0, np.zeros(max(cuts - 1, 0))
     moments = [np.zeros(width + cuts), np.zeros(width + cuts)]
-    x = x.astype(np.float64)
     rows = np.arange(n)
     for step in range(1, STEPS + 1):
         theta = theta0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        below = 1 / (1 + np.exp(np.clip((x @ w)[:, None] - theta[None, :], -60, 60)))  # P(grade <= k)
+        below = 1 / (1 + np.exp(np.clip(x.times(w)[:, None] - theta[None, :], -60, 60)))  # P(grade <= k)
         full = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
         p = np.maximum(full[rows, grade + 1] - full[rows, grade], 1e-12)
         slope = full * (1 - full)
         high, low = slope[rows, grade + 1] / p, slope[rows, grade] / p
-        g_w = x.T @ (high - low) / n + PENALTY * w
+        g_w = x.sums(high - low) / n + PENALTY * w
         g_theta = np.array([(-(high * (grade == k)) + low * (grade == k + 1)).mean() for k in range(cuts)])
         g = np.concatenate([g_w, [g_theta.sum()], [g_theta[k + 1 :].sum() * np.exp(gaps[k]) for k in range(cuts - 1)]])
         for m, power, keep in ((moments[0], 1, 0.9), (moments[1], 2, 0.999)):
@@ -96,7 +115,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def choose_features(sample: DataFrame) -> list[str]:
-    """The features that tell label 0 from the others best, by chi-squared."""
+    """The features that tell label 0 from the others, best first by chi-squared; bounded by the words of the sample."""
 
     def count(cols: list[list]) -> Iterator[dict[str, list]]:
         seen: dict[str, list[int]] = {}
@@ -110,7 +129,7 @@ def choose_features(sample: DataFrame) -> list[str]:
     by = counted.groupBy("feature").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).filter(F.col("a") + F.col("b") >= MIN_DOCS)
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = (a * (n1 - b) - b * (n0 - a)) ** 2 * (n0 + n1) / F.greatest((a + b) * (n0 + n1 - a - b) * float(n0) * n1, F.lit(1.0))
-    top = by.select("feature", chi2.alias("chi2")).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "feature").limit(MAX_FEATURES)
+    top = by.select("feature", chi2.alias("chi2")).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "feature")
     return [r.feature for r in top.collect()]
 
 
@@ -120,7 +139,6 @@ def fit_severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     Labels of more than two values are grades as they are. From 0 and 1 three grades are made: 0 stays;
     a positive row has grade 2 where it shows more of the chosen features than the median positive row.
     With no rows of one class, or no feature that tells, the model has no weights and calls nothing toxic.
-    Of features that tell, a model holds the MAX_FEATURES with the largest chi-squared.
     """
     sample = materialize(labelled_sample(docs, labels, label, per_class), "labelled")
     features = tuple(choose_features(sample))
@@ -129,15 +147,14 @@ def fit_severity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     def encode(cols: list[list]) -> Iterator[dict[str, list]]:
         yield {"label": cols[0], "x": [sorted({number[f] for w in text_words(t) for f in word_features(w) if f in number}) for t in cols[1]]}
 
-    rows = map_batches(sample.select("label", utf8("text").alias("text")), encode, "label int, x array<int>").collect()
-    grade = np.array([r.label for r in rows], np.int64)
-    if not features or not rows or grade.min() == grade.max():
+    rows = map_batches(sample.select("label", utf8("text").alias("text")), encode, "label int, x array<int>").toArrow().combine_chunks()
+    grade = rows.column("label").to_numpy().astype(np.int64)
+    if not features or not len(grade) or grade.min() == grade.max():
         return OrdinalModel((), np.zeros(0), np.array([60.0, 61.0]))
-    x = np.zeros((len(rows), len(features)), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r.x] = 1
+    shown = rows.column("x").combine_chunks().value_lengths().to_numpy()
+    columns = rows.column("x").combine_chunks().flatten().to_numpy()
+    x = Presence(np.repeat(np.arange(len(grade)), shown), columns, (len(grade), len(features)))
     if grade.max() == 1:
-        shown = x.sum(axis=1)
         grade = grade + (grade * (shown > np.median(shown[grade == 1]))).astype(np.int64)
     return fit_ordinal(x, grade, features)
 
@@ -185,6 +202,7 @@ def _index(model: OrdinalModel) -> WordIndex:
     return held(("words", model.features), lambda: WordIndex(model.features))
 
 
+@any_names()
 def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of ``docs``, all columns, that the model doesn't call toxic. Rows are dropped where they lie.
 
