@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from residua.scratch import discard, materialize, scratch_path
 
-__all__ = ["Bitmap", "bitmap_of", "discard", "held", "join_counted", "join_skewed", "marked", "map_batches", "materialize", "parts_for", "scratch_path", "spare", "utf8"]
+__all__ = ["Bitmap", "any_names", "bitmap_of", "discard", "document_key", "held", "join_counted", "join_skewed", "marked", "map_batches", "materialize", "parts_for", "scratch_path", "spare", "utf8"]
 
 #: A key is hot where it has more than one in so many rows; so there are fewer hot keys than this.
 HOT_SHARE = 1000
@@ -36,6 +37,30 @@ def spare(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def any_names(*added: str) -> Callable:
+    """For functions of documents that keep all columns: these may have names of any kind, with dots, blanks or doubled.
+
+    Within the function ``doc_id`` and ``text`` have their names and all others plain ones, by place. Its result has
+    those columns and the ones that it ``added``, which get spare names where the documents have theirs.
+    """
+
+    def wrap(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(fn)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            plain = [c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(docs.columns)]
+            out = fn(docs.toDF(*plain), *args, **kwargs)
+            return out.select(*plain, *added).toDF(*docs.columns, *spare(docs.columns, *added))
+
+        return run
+
+    return wrap
+
+
+def document_key(doc_id: str, digest: Column) -> list[Column]:
+    """unnamed, known_id and digest: what tells documents apart, as columns that are never null."""
+    return [F.col(doc_id).isNull().alias("unnamed"), F.coalesce(doc_id, F.lit(0)).alias("known_id"), digest.alias("digest")]
+
+
 def join_counted(rows: DataFrame, facts: DataFrame, key: str | list[str], n: str, total: int, how: str = "inner") -> DataFrame:
     """Joins many rows for a key with at most one fact for each key, exact whatever share of the rows a key has.
 

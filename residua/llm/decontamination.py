@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import held, map_batches, utf8
+from residua.llm.common import any_names, held, map_batches, utf8
 
 WINDOW_WORDS = 10
 BLOCK_ITEMS = 20_000
@@ -171,6 +171,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     )
 
 
+@any_names()
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window occurs. The scan drops rows where they lie.
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import bitmap_of, join_counted, map_batches, marked, materialize, spare
+from residua.llm.common import any_names, bitmap_of, document_key, join_counted, map_batches, marked, materialize
 
 WINDOW_LINES = 3
 
@@ -59,13 +59,14 @@ def digest(name: str) -> Column:
 
 
 def spans_to_cut(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
-    """doc_id, digest and ``cuts``: merged spans [start, end) of lines that later occurrences cover."""
+    """doc_id, digest, ``cuts``: merged spans [start, end) of lines that later occurrences cover, and ``n``: rows of that document."""
     found = materialize(windows(docs, window), "windows")
     place = F.struct("doc_id", "digest", "line")
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter(~F.col("first").eqNullSafe(F.col("last")))
     later = join_counted(found, repeated, ["h1", "h2"], "n", found.count()).filter(~place.eqNullSafe(F.col("first")))
-    starts = later.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("starts"))
-    return starts.select("doc_id", "digest", merge_spans("starts", window).alias("cuts"))
+    starts = later.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("starts"), F.count("*").alias("places"))
+    # a document's repeated rows have all places alike
+    return starts.select("doc_id", "digest", merge_spans("starts", window).alias("cuts"), F.expr("places div size(starts)").alias("n"))
 
 
 def merge_spans(name: str, window: int) -> Column:
@@ -82,29 +83,28 @@ def without_spans(lines: str, cuts: str) -> Column:
     return F.array_join(F.flatten(F.zip_with(before, after, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
 
 
+@any_names("n_lines", "n_cut")
 def cut_lines(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
-    """All columns of ``docs``, ``text`` without the cut lines, and ``n_lines`` and ``n_cut`` (long).
+    """All columns of ``docs``, ``text`` without the cut lines, and then ``n_lines`` and ``n_cut`` (long).
 
     Null texts stay null with no lines; a text of fewer lines than a window is never cut. Rows with
     the same doc_id and text are one document: they neither repeat each other nor differ in result.
     Rows with no doc_id come before all others. A text that is cut entirely becomes empty. Texts may be of
-    any length. Columns of ``docs`` named n_lines or n_cut are replaced, those of any other name stay. An
-    empty table gives no rows.
+    any length. Columns of any name stay; where ``docs`` has an n_lines or n_cut, the new one has an underscore
+    behind its name. An empty table gives no rows.
     """
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_cut")]
-    rows = docs.select(*names)
-    own, touched, other_id, other_digest, cuts, mark, lines = spare(names, "own_digest", "touched", "other_id", "other_digest", "cuts", "mark", "lines")
-    spans = spans_to_cut(docs, window).select(F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest), F.col("cuts").alias(cuts))
-    spans = materialize(spans.withColumn(mark, F.xxhash64(F.coalesce(other_id, F.lit(-1)), other_digest)), "cuts")
-    rows = rows.withColumn(own, digest("text"))
-    rows = rows.withColumn(touched, marked(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), own), bitmap_of(spans, mark)))
+    names = docs.columns
+    key = ["unnamed", "known_id", "digest"]
+    spans = spans_to_cut(docs, window).select(*document_key("doc_id", F.col("digest")), "cuts", "n")
+    spans = materialize(spans.withColumn("mark", F.xxhash64(*key)), "cuts")
+    rows = docs.select("*", *document_key("doc_id", digest("text")))
+    rows = rows.withColumn("touched", marked(F.xxhash64(*key), bitmap_of(spans, "mark")))
     zero = F.lit(0).cast("bigint")
     split = F.split("text", "\n", -1)
     n_lines = lambda lines: F.when(F.col("text").isNull(), zero).otherwise(F.size(lines).cast("bigint")).alias("n_lines")
-    whole = rows.filter(~F.col(touched)).select(*names, n_lines(split), zero.alias("n_cut"))
+    whole = rows.filter("not touched").select(*names, n_lines(split), zero.alias("n_cut"))
     # a document's cuts are one row; a mark may also be another's, so that some rows meet none
-    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(own) == F.col(other_digest))
-    met = rows.filter(touched).join(spans, same, "left").withColumn(lines, split)
-    text = F.when(F.col(cuts).isNull() | F.col("text").isNull(), F.col("text")).otherwise(without_spans(lines, cuts)).alias("text")
-    n_cut = F.coalesce(F.aggregate(cuts, zero, lambda a, c: a + c.e - c.s), zero).alias("n_cut")
-    return whole.unionByName(met.select(*[text if c == "text" else F.col(c) for c in names], n_lines(F.col(lines)), n_cut))
+    met = join_counted(rows.filter("touched"), spans.drop("mark"), key, "n", docs.count(), "left").withColumn("lines", split)
+    text = F.when(F.col("cuts").isNull() | F.col("text").isNull(), F.col("text")).otherwise(without_spans("lines", "cuts")).alias("text")
+    n_cut = F.coalesce(F.aggregate("cuts", zero, lambda a, c: a + c.e - c.s), zero).alias("n_cut")
+    return whole.unionByName(met.select(*[text if c == "text" else F.col(c) for c in names], n_lines(F.col("lines")), n_cut))

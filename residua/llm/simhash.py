@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import bitmap_of, discard, join_counted, map_batches, marked, materialize, parts_for, spare, utf8
+from residua.llm.common import any_names, bitmap_of, discard, document_key, join_counted, map_batches, marked, materialize, parts_for, utf8
 
 MAX_BITS = 4
 SHINGLE_WORDS = 4
@@ -203,11 +203,12 @@ def near_edges(distinct_fp: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])], names=["a", "b"])
 
     keys = distinct_fp.mapInArrow(expand, "key bigint, fp bigint")
-    parts = max(2 * distinct_fp.sparkSession.sparkContext.defaultParallelism, parts_for(64 * rows, KEYS_PER_PART))
+    each = 64 if flags is None else 64 * (MAX_BITS + 1)  # keys of a fingerprint at most
+    parts = max(2 * distinct_fp.sparkSession.sparkContext.defaultParallelism, parts_for(each * rows, KEYS_PER_PART))
     return keys.repartition(parts, "key").mapInArrow(link, "a bigint, b bigint").distinct()
 
 
-def star_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def star_components(edges: DataFrame) -> DataFrame:
     """Component label of each node that has an edge: node, label (the smallest node as a signed long).
 
     Alternates large stars and small stars until nothing changes. Each round is written to the shared
@@ -215,7 +216,7 @@ def star_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     edges = materialize(edges.select("a", "b"), "edges")
     before = (edges.count(), None)
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("low"), F.count("*").alias("n"))
         large = join_counted(both, low, "a", "n", 2 * before[0]).filter(F.col("b") > F.col("a"))
@@ -229,8 +230,6 @@ def star_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b").distinct())
 
 
@@ -260,6 +259,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
+@any_names()
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, of which each component keeps one: the document of its smallest doc_id.
 
@@ -277,12 +277,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     # a row for each document with copies of itself, and for each one to drop
     fate = rows.groupBy("doc_id", "digest").agg(F.first(own).alias("keep"), F.count("*").alias("n")).filter("n > 1 or not keep")
     fate = materialize(fate.withColumn("mark", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "digest")), "fate")
-    own_digest, mark, touched, other_id, other_digest = spare(docs.columns, "own_digest", "mark", "touched", "other_id", "other_digest")
-    named = docs.withColumn(own_digest, digest("text"))
-    named = named.withColumn(touched, marked(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), own_digest), bitmap_of(fate, "mark")))
-    asked = named.filter(touched)
-    facts = fate.select(F.col("doc_id").alias(other_id), F.col("digest").alias(other_digest), "keep").withColumnRenamed("keep", mark)
-    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(own_digest) == F.col(other_digest))
-    met = asked.join(facts, same, "left").filter(F.coalesce(mark, F.lit(True)))
-    once = met.dropDuplicates(["doc_id", own_digest])
-    return named.filter(~F.col(touched)).select(*docs.columns).unionByName(once.select(*docs.columns))
+    own, key = document_key("doc_id", digest("text")), ["unnamed", "known_id", "digest"]
+    named = docs.select("*", *own)
+    named = named.withColumn("touched", marked(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "digest"), bitmap_of(fate, "mark")))
+    facts = fate.select(*document_key("doc_id", F.col("digest")), "keep", "n")
+    met = join_counted(named.filter("touched"), facts, key, "n", docs.count(), "left").filter(F.coalesce("keep", F.lit(True)))
+    return named.filter("not touched").select(*docs.columns).unionByName(met.dropDuplicates(key).select(*docs.columns))
