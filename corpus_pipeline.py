@@ -21,7 +21,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model calls toxic go.
 
-    Null and empty texts stay. Null ids, repeated rows, long texts and columns of any name change nothing.
+    Null and empty texts stay. Null ids, repeated rows, long texts and columns of any name change nothing; an
+    empty table gives no rows.
     """
     return toxicity.drop_toxic(docs, toxicity.fit_severity(docs, table(spark, sf_dir, "labels")))
 
@@ -30,17 +31,19 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Later occurrences of repeated three-line windows leave the texts; n_chars follows.
 
     All rows stay: null texts as they are (n_chars becomes null), texts that are cut entirely as empty ones.
-    Rows without doc_id come before all others; repeated rows (one doc_id and text) are one document.
+    Rows without doc_id come before all others; repeated rows (one doc_id and text) are one document. Texts may
+    be of any length. Columns of any name stay, those named n_lines and n_cut too. An empty table gives no rows.
     """
-    cut = line_windows.cut_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
-    return cut.select(*docs.columns)
+    cut = line_windows.cut_lines(docs)
+    cut = cut.drop(*cut.columns[len(docs.columns) :])
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cut
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
     Null and empty texts are one group. Of repeated rows one stays; a row without doc_id only where its group
-    has no other. Columns of any name stay.
+    has no other. Texts may be of any length. Columns of any name stay; an empty table gives no rows.
     """
     return simhash.keep_first(docs)
 
@@ -48,7 +51,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go.
 
-    Null and empty texts stay; null ids, repeated rows, long texts and columns of any name change nothing.
+    Null and empty texts stay; null ids, repeated rows, long texts and columns of any name change nothing; an
+    empty table gives no rows.
     """
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is cut and packed: a row for each piece, with its sequence and place.
 
-    Null and empty texts are packed as an end id, repeated rows each for itself; a null doc_id stays null.
+    Null and empty texts are packed as an end id, repeated rows each for itself; a null doc_id stays null. Texts
+    may be of any length. Other columns are left out; an empty table gives no rows.
     """
     return packing.pack_documents(docs, tokenizer_path())
 
