@@ -86,10 +86,35 @@ def test_train_against_numpy(spark, tmp_path):
     folds = {r.key: r.fold for r in sampling.stratified_folds(split.filter("not is_test"), "label", "key").collect()}
     fitted, held = sorted(folds), sorted(r.key for r in split.filter("is_test").collect())
     cv = [accuracy(newton([k for k in fitted if folds[k] != f]), [k for k in fitted if folds[k] == f]) for f in range(5)]
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("one", "seven fits in one set of passes")
     t = model.train(df, "key")
+    spark.sparkContext.setJobGroup("each", "seven fits")
+    single = [model.fit(split.filter("not is_test")), *(model.fit(split.filter("not is_test").filter(~F.col("key").isin([k for k in fitted if folds[k] == f]))) for f in range(5)), model.fit(split)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert t.steps < 15 and 4 * jobs("one") <= jobs("each"), (jobs("one"), jobs("each"))
+    assert np.allclose([*single[-1].coefficients.toArray(), single[-1].intercept], [*t.model.coefficients.toArray(), t.model.intercept], atol=1e-6)
     w = newton(fitted)
     want = (accuracy(w, fitted), accuracy(w, held), np.mean(cv), 2 * np.std(cv))
     assert np.allclose((t.train_accuracy, t.test_accuracy, t.cv_mean, t.cv_two_std), want)
-    assert np.allclose([*t.model.coefficients.toArray(), t.model.intercept], newton(list(range(150))), atol=1e-4)
+    assert np.allclose([*t.model.coefficients.toArray(), t.model.intercept], newton(list(range(150))), atol=1e-9)
     model.save(t.model, str(tmp_path / "m"))
     assert model.load(str(tmp_path / "m")).coefficients == t.model.coefficients
+
+
+def test_fits_at_once(spark, monkeypatch):
+    """Every fit's weights are at its own minimum, also where sums pass through several stages and steps must be halved."""
+    from residua.scratch import materialize
+
+    monkeypatch.setattr(model, "TREE_PARTS", 2)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 4)) * 30, rng.normal(size=(300, 1))], axis=1)
+    y = (x[:, 0] > 5).astype(int)  # apart by one feature
+    fold = np.where(np.arange(300) % 6 == 0, -1, np.arange(300) % 3)
+    rows = [(r.tolist(), int(v), bool(f < 0), int(f)) for r, v, f in zip(x, y, fold, strict=True)]
+    df = materialize(spark.createDataFrame(rows, "features array<double>, label int, is_test boolean, fold int").repartition(9), "rows")
+    weights, _ = model.fit_all(df, 3)
+    a, reg = np.hstack([x, np.ones((300, 1))]), np.append(np.ones(5), 0)
+    for k, taken in enumerate(model.members(fold < 0, fold, 3)):
+        p = 1 / (1 + np.exp(-a[taken] @ weights[k]))
+        assert np.abs(a[taken].T @ (p - y[taken]) + reg * weights[k]).max() < 1e-6
