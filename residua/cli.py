@@ -49,8 +49,8 @@ def embedded(df: DataFrame, make: Make, name: str) -> DataFrame:
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """The rows that have features, persisted; says how many have none, and fails where all do."""
-    rows = rows.persist()
+    """The rows that have features, written once so that no lost executor costs their inference again; says how many have none, and fails where all do."""
+    rows = materialize(rows, "embedded")
     n, failed = rows.agg(F.count("*"), F.count_if(F.col("features").isNull())).first()
     if not n:
         raise CommandError("no sequences found in the input")
@@ -210,15 +210,16 @@ def run(a: argparse.Namespace) -> int:
         run_sample_ids(spark, a.input_dir, a.output_dir, a.tab_pattern, a.fasta_pattern, a.tab_column, a.num_ids, a.seed)
         return 0
     make = embedding.factory(a.embedder, a.model_name)
+    worker_name = f"{a.embedder} {a.model_name}"  # under which a worker keeps it
     if a.command == "predict":
-        out = run_predict(spark, a.input, a.model or default_model(a.model_name), a.output, a.show_all, make, a.model_name, a.silent)
+        out = run_predict(spark, a.input, a.model or default_model(a.model_name), a.output, a.show_all, make, worker_name, a.silent)
         print(f"Predictions: {out}")
     elif a.command == "train":
         out = a.output or default_model(a.model_name)
-        t = run_train(spark, a.positive, a.negative, out, a.test_size, make, a.model_name)
+        t = run_train(spark, a.positive, a.negative, out, a.test_size, make, worker_name)
         print(f"train {t.train_accuracy:.4f} test {t.test_accuracy:.4f} cv {t.cv_mean:.4f} +/- {t.cv_two_std:.4f}\nModel: {out}")
     else:
-        for name, df in run_evaluate(spark, a.positive, a.negative, a.model or default_model(a.model_name), make, a.model_name).items():
+        for name, df in run_evaluate(spark, a.positive, a.negative, a.model or default_model(a.model_name), make, worker_name).items():
             print(name)
             df.show(truncate=False)
     return 0
