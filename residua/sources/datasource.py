@@ -29,7 +29,8 @@ BATCH_RECORDS, BATCH_BYTES = 2000, 8 << 20
 RECORD = "file_path string, block bigint, n bigint, offset bigint, id string, description string, sequence string"
 COUNT = "file_path string, block bigint, records bigint"
 INDEX = "file_path string, id string, offset bigint, bytes bigint, body bigint, letters bigint, line_letters int, line_bytes int"
-SCHEMAS = {"records": RECORD, "counts": COUNT, "index": INDEX}
+HEADER = "file_path string, block bigint, n bigint, id string"
+SCHEMAS = {"records": RECORD, "headers": HEADER, "counts": COUNT, "index": INDEX}
 
 
 def matches(name: str, upper: bool) -> bool:
@@ -128,6 +129,9 @@ class FastaReader(DataSourceReader):
         path = public_path(r.path)
         if self.what == "counts":
             return batches(iter([(path, r.start, sum(1 for _ in self.found(r)))]), COUNT, -1)
+        if self.what == "headers":
+            named = ((n, ranges.parts_of(text)[0]) for n, (_, text) in enumerate(self.found(r)))
+            return batches(((path, r.start, n, i) for n, i in named if self.ids is None or i in self.ids), HEADER, -1)
         if self.what == "index":
             return batches(self.places(r, path), INDEX, -1)
         return batches(self.rows(r, path), RECORD, 6)
@@ -151,7 +155,9 @@ class FastaStream(DataSourceStreamReader):
     """Files that come, and what is appended to plain ones; an offset is the sizes of the files that were read."""
 
     def __init__(self, options: dict):
-        self.reader = FastaReader({**options, "what": "records", "onerror": "fail"})
+        self.reader = FastaReader({**options, "onerror": "fail"})
+        if self.reader.what not in ("records", "headers"):
+            raise ValueError("a stream has records or headers")
 
     def initialOffset(self) -> dict:
         return {}
