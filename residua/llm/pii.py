@@ -4,10 +4,14 @@ Emails, IP addresses, card and phone numbers are found by their form. Each such
 entity. Corpus co-occurrence tells how much of an entity's information a term carries: with N
 documents, IC(e) = log(N / n(e)) and PMI(e; t) = log(N n(e, t) / (n(e) n(t))). A term within
 ``REACH`` words of an entity that carries at least ``GENERALISE`` of IC is generalised wherever it
-occurs, and removed from ``REMOVE`` on. Entities seen once count too: ``UNSEEN`` is added to n(t), as
-if each term had also occurred without the entity, so that few sightings carry less than many. The
-values of a kind together, and the addresses of a mail domain, are entities as well. A term is any run
-of letters.
+occurs, and removed from ``REMOVE`` on. That they meet so often must be no chance: were they independent,
+n(e, t) or more meetings would have a probability of at most exp(-G), where G = n(e, t) (PMI - 1) + n(e) n(t) / N
+is half the likelihood-ratio statistic. A pair counts where that, times the number of all pairs, is at most
+``CHANCE``; so one meeting never decides, and a corpus without disclosing terms has none marked. The values of a
+kind together, and the addresses of a mail domain, are entities as well.
+
+A term is a run of letters and their marks, of two at least. In scripts that are written without blanks it is
+each pair of neighbouring letters (a letter alone where it stands so), counted like all others.
 
 All counts are of distinct texts over the whole corpus, so that copies change none. The terms to mark
 and the digests of copied texts travel as bitmaps sized by their number, 32 MB at most; what passes them is
@@ -17,6 +21,7 @@ megabytes at a time, each distinct term of which is looked up once. A document h
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -35,7 +40,8 @@ from residua.llm.common import bitmap_of, join_skewed, map_batches, materialize
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "generalise", "remove")
 REACH = 8
-UNSEEN = 1
+#: Marks by chance that a corpus may be expected to have at most.
+CHANCE = 0.05
 GENERALISE, REMOVE = 0.8, 0.95
 #: Bytes of text that are cut into terms at once.
 SLICE_BYTES = 8_000_000
@@ -46,7 +52,13 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?+
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM, BETWEEN_TERMS = regex.compile(r"\p{L}+"), r"[^\p{L}]+"
+RUN, BETWEEN_RUNS = regex.compile(r"[\p{L}\p{M}]+"), r"[^\p{L}\p{M}]+"
+# Scripts that are written without blanks between words.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+SEGMENT = regex.compile(rf"(?P<letters>(?:{UNSPACED}\p{{M}}*)+)|(?:(?!{UNSPACED}).)+", regex.DOTALL)
+UNIT = regex.compile(rf"{UNSPACED}\p{{M}}*")
+#: The first letter of a script without blanks: texts and runs below it are cut by blanks and marks alone.
+FIRST_UNSPACED = "\u0e00"
 WORD = re.compile(r"\S+")
 
 
@@ -85,6 +97,28 @@ def entities(kind: str, value: str) -> list[str]:
     return [f"{kind}:{'.'.join(str(int(p)) for p in parts) if kind == 'ip' else ''.join(parts)}", kind]
 
 
+def run_terms(run: str) -> list[tuple[str, int, int]]:
+    """Terms of a run of letters and marks, with their places in it."""
+    if max(run, default="") < FIRST_UNSPACED:
+        return [(run, 0, len(run))] if len(run) > 1 else []
+    out = []
+    for m in SEGMENT.finditer(run):
+        if m["letters"] is None:
+            out += [(m[0], *m.span())] if m.end() - m.start() > 1 else []
+            continue
+        units = [(m.start() + u.start(), m.start() + u.end()) for u in UNIT.finditer(m[0])]
+        pairs = zip(units, units[1:], strict=False) if len(units) > 1 else zip(units, units, strict=True)
+        out += [(run[a:b], a, b) for (a, _), (_, b) in pairs]
+    return out
+
+
+def terms_in(text: str) -> Iterator[tuple[str, int, int]]:
+    """Terms of a lower-case text, with their places."""
+    for m in RUN.finditer(text):
+        for term, a, b in run_terms(m[0]):
+            yield term, m.start() + a, m.start() + b
+
+
 def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> dict[str, set[str]]:
     """Terms within ``reach`` words of each entity of a lower-case text, however long these are; none that start in a value.
 
@@ -102,9 +136,9 @@ def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int = REACH)
         words.append(lo)
         at = hi
     terms: list[set[str]] = [set() for _ in words]
-    for m in TERM.finditer(text):
-        if not taken[m.start() + 1]:
-            terms[bisect_right(words, m.start()) - 1].add(m[0])
+    for term, at, _ in terms_in(text):
+        if not taken[at + 1]:
+            terms[bisect_right(words, at) - 1].add(term)
     found: dict[str, set[str]] = {}
     firsts = [lo for lo, _ in runs]
     for kind, a, b in spans:
@@ -153,13 +187,25 @@ def term_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
-        split = pc.split_pattern_regex(lower(texts.slice(lo, hi - lo)), pattern=BETWEEN_TERMS)
-        terms = split.flatten().dictionary_encode()
+        split = pc.split_pattern_regex(lower(texts.slice(lo, hi - lo)), pattern=BETWEEN_RUNS)
+        runs = split.flatten().dictionary_encode()
         edges = split.offsets.to_numpy()
-        yield lo, edges - edges[0], terms.indices.to_numpy(), terms.dictionary
+        yield lo, *as_terms(edges - edges[0], runs.indices.to_numpy(), runs.dictionary)
         lo = hi
 
 
+def as_terms(edges: np.ndarray, codes: np.ndarray, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The same of the terms of runs: each distinct run is cut once."""
+    number: dict[str, int] = {}
+    of_run = [[number.setdefault(t, len(number)) for t, _, _ in run_terms(run)] for run in runs.to_pylist()]
+    sizes = np.fromiter(map(len, of_run), np.int64, len(of_run))
+    flat = np.fromiter((t for some in of_run for t in some), np.int64, int(sizes.sum()))
+    begins, lengths = np.cumsum(sizes) - sizes, sizes[codes]
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.repeat(begins[codes] - total[:-1], lengths) + np.arange(total[-1])
+    return total[edges], flat[at], pa.array(list(number), pa.string())
+
+
 def term_hashes(terms: pa.Array) -> np.ndarray:
     """Spark's xxhash64 of each term."""
     return np.array([xxhash.xxh64_intdigest(t, 42) for t in terms.cast(pa.binary()).to_pylist()], np.uint64)
@@ -221,12 +267,15 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     digests = base.groupBy("digest").count()
     n_t = text_counts(docs, digests.filter("count > 1"))
     # a kind has pairs with nearly every term, and a common term with nearly every entity. As n(t) is n(e, t) at least,
-    # of equal n(e, t) the rarest entity has the largest share
+    # of equal n(e, t) the rarest entity has the largest share, and the most evidence where they meet more than by chance
     both = join_skewed(pairs, n_e, "entity").groupBy("term", "n_et").agg(F.min("n_e").alias("n_e")).join(n_t, "term")
     total = F.lit(float(max(digests.count(), 2)))
-    pmi = F.log(total * F.col("n_et") / (F.col("n_e") * (F.col("n_t") + UNSEEN)))
+    pmi = F.log(total * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = pmi / F.greatest(F.log(total / F.col("n_e")), F.lit(1e-9))
-    return both.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= GENERALISE).select("term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"), "share")
+    evidence = F.col("n_et") * (pmi - 1) + F.col("n_e") * F.col("n_t") / total
+    needed = math.log(max(pairs.count(), 1) / CHANCE)
+    sure = both.filter((pmi > 0) & (evidence >= needed)).groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= GENERALISE)
+    return sure.select("term", F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"), "share")
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -241,7 +290,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 hits = np.unique(np.searchsorted(edges, np.flatnonzero(wanted[codes]), side="right") - 1)
                 names = set(words.filter(pa.array(wanted)).to_pylist())
                 low = lower(texts.take(pa.array(lo + hits))).to_pylist()
-                found = [(lo + k, m[0], *m.span()) for k, text in zip(hits.tolist(), low, strict=True) for m in TERM.finditer(text) if m[0] in names]
+                found = [(lo + k, *t) for k, text in zip(hits.tolist(), low, strict=True) for t in terms_in(text) if t[0] in names]
                 at = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([doc_ids.take(at), digests.take(at), pa.array([f[1] for f in found], pa.string()), *(pa.array([f[k] for f in found], pa.int32()) for k in (2, 3))], names=["doc_id", "digest", "term", "s", "e"])
 
@@ -293,7 +342,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             for x in spans:
                 if x["s"] >= at:
                     parts += [text[at : x["s"]], {"generalise": "[TERM]", "remove": ""}.get(x["kind"], f"[{x['kind'].upper()}]")]
-                    at = x["e"]
+                at = max(at, x["e"])  # spans of neighbouring letters overlap
             out.append("".join(parts) + (text or "")[at:])
         yield {"doc_id": cols[0], "text": out}
 
