@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import regex
 from pyspark.sql import DataFrame
 
 from residua.llm.common import map_batches
@@ -21,15 +22,17 @@ MAX_REPEATED = 50
 MAX_LOST = 50
 #: Line rules: share of words, in percent.
 MAX_SYMBOL_WORDS, MAX_BANG_WORDS, MAX_UPPER_WORDS, MAX_SEPARATORS = 30, 30, 60, 20
-NAVIGATION_WORDS = 3
+#: Words of a navigation line at most, and code points of these: scripts without blanks have long lines of few words.
+NAVIGATION_WORDS, NAVIGATION_LETTERS = 3, 36
 
 SYMBOLS = b"#*$%&|<>"
 SYMBOL_BYTES = [bytes([c]) for c in SYMBOLS]
-#: Ends of sentences; also after closing quotes and brackets.
-TERMINAL = re.compile(r"[.!?:;,…。！？][\"'”’»)\]]*$")
+#: What ends sentences and clauses, in all scripts, by its Unicode property; also after closing quotes and brackets.
+ENDS = "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000))) if regex.match(r"[\p{Terminal_Punctuation}\p{Sentence_Terminal}…]", c))
+TERMINAL = re.compile(rf"[{re.escape(ENDS)}][\"'”’»)\]」』]*$")
 SEPARATORS = frozenset((b"|", b">", b"<", b">>", "»".encode(), "›".encode(), "·".encode(), "•".encode(), b"/", b"-", b"--"))
 #: Share of a line's words, in percent, that boilerplate phrases must make up.
-MIN_BOILERPLATE_WORDS = 20
+MIN_BOILERPLATE_WORDS = 50
 #: Phrases of legal notes, consent and calls to click, as whole words, in English, German, French and Spanish.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "copyright", "enable javascript", "licensed under", "log in", "lorem ipsum",
@@ -60,7 +63,7 @@ def line_fails(line: bytes, words: list[bytes], hinted: bool) -> str | None:
         return None
     if 100 * sum(map(SEPARATORS.__contains__, words)) > MAX_SEPARATORS * n:
         return "navigation"
-    if n <= NAVIGATION_WORDS and not TERMINAL.search(words[-1].decode("utf-8")):
+    if n <= NAVIGATION_WORDS and sum(len(w.decode("utf-8")) for w in words) <= NAVIGATION_LETTERS and not TERMINAL.search(words[-1].decode("utf-8")):
         return "navigation"
     if b"!!" in line and 100 * sum(w.endswith(b"!!") for w in words) > MAX_BANG_WORDS * n:
         return "punctuation"

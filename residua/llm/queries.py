@@ -131,13 +131,14 @@ WORD = r"'[^\x20\x09-\x0D]+'"
 #: Words and phrases are compared as the operator's, with word ends of ASCII letters.
 _SEPARATORS = ", ".join(f"'{x.decode()}'" for x in sorted(line_quality.SEPARATORS))
 _PHRASES = r"(?i)\b(?:" + "|".join(line_quality.BOILERPLATE) + r")\b|[{}©]+"
+_ENDS = "".join(f"\\x{{{ord(c):X}}}" for c in line_quality.ENDS)
 _SHARE = "100 * len(list_filter(ws, lambda x: {})) > {} * n".format
 OP3_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT row, regexp_extract_all(t, {WORD}) AS ws FROM d),
 l AS (SELECT row, line, ws, len(ws) AS n FROM (SELECT row, line, regexp_extract_all(line, {WORD}) AS ws FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d))),
 j AS (SELECT row, line, n, CASE WHEN n = 0 THEN false WHEN {_SHARE(f"x IN ({_SEPARATORS})", line_quality.MAX_SEPARATORS)} THEN true
-WHEN n <= {line_quality.NAVIGATION_WORDS} AND NOT regexp_matches(ws[-1], '[.!?:;,…。！？][\\"''”’»)\\]]*$') THEN true
+WHEN n <= {line_quality.NAVIGATION_WORDS} AND length(array_to_string(ws, '')) <= {line_quality.NAVIGATION_LETTERS} AND NOT regexp_matches(ws[-1], '[{_ENDS}][\\"''”’»)\\]」』]*$') THEN true
 WHEN {_SHARE("suffix(x, '!!')", line_quality.MAX_BANG_WORDS)} OR {_SHARE("contains('#*$%&|<>', x[-1])", line_quality.MAX_SYMBOL_WORDS)} THEN true
 WHEN n >= 5 AND {_SHARE(r"length(x) > 1 AND regexp_matches(x, '[[:upper:]]|\p{Lu}') AND NOT regexp_matches(x, '\p{Ll}')", line_quality.MAX_UPPER_WORDS)} THEN true
 ELSE 100 * coalesce(list_sum(list_transform(regexp_extract_all(line, '{_PHRASES}'), lambda m: len(string_split(m, ' ')))), 0) >= {line_quality.MIN_BOILERPLATE_WORDS} * n AND n > 0 END AS bad FROM l),

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import regex
+
 from residua.llm import line_quality as q
 from residua.llm.queries import op3_line_quality
 
@@ -30,14 +32,14 @@ def slow_line(line):
     share = lambda k: 100 * k / n
     if not n:
         return False
-    if share(sum(w in SEPARATORS for w in words)) > 20 or n <= 3 and not re.search(r"[.!?:;,…。！？][\"'”’»)\]]*$", words[-1]):
+    if share(sum(w in SEPARATORS for w in words)) > 20 or n <= 3 and len("".join(words)) <= 36 and not regex.search(r"[\p{Terminal_Punctuation}\p{Sentence_Terminal}…][\"'”’»)\]」』]*$", words[-1]):
         return True
     if share(sum(w.endswith("!!") for w in words)) > 30 or share(sum(w[-1] in "#*$%&|<>" for w in words)) > 30:
         return True
     if n >= 5 and share(sum(w.isupper() and len(w) > 1 for w in words)) > 60:
         return True
     phrases = "|".join(q.BOILERPLATE)
-    return share(sum(len(m[0].split()) for m in re.finditer(rf"\b({phrases})\b|[{{}}©]+", line, re.I))) >= 20
+    return share(sum(len(m[0].split()) for m in re.finditer(rf"\b({phrases})\b|[{{}}©]+", line, re.I))) >= 50
 
 
 def slow_verdict(t):
@@ -94,8 +96,9 @@ def test_lines():
     assert fails("Read on") == "navigation"
     assert fails("BUY!! NOW!! AND!! HERE!!") == "punctuation"
     assert fails("one### two*** three$$$ four%%%") == "punctuation"
-    assert fails("We use cookies to make this site better.") == "boilerplate"
-    assert fails("Wir haben ein Impressum.") == "boilerplate" and fails("Aviso legal y política de privacidad.") == "boilerplate"
+    assert fails("We use cookies.") == "boilerplate" and fails("Copyright 2020 Acme. All rights reserved.") == "boilerplate"
+    assert fails("Das Impressum.") == "boilerplate" and fails("Aviso legal y política de privacidad.") == "boilerplate"
+    assert not any(map(fails, ("Copyright law is old.", "We log in at noon.", "We use cookies to make this site better.", "Wir haben ein Impressum.")))
     assert fails("ÉCRIT TOUT EN MAJUSCULES ÇA VA.") == "punctuation"
     assert fails("She baked a cookie for the children and put it on the table.") is None
     assert fails("This is a plain sentence of prose.") is None
@@ -104,6 +107,19 @@ def test_lines():
     assert q.judge(text)[-1] == text.split("\n", 1)[1]
 
 
+def test_scripts():
+    """Short lines end in the marks of their script, and lines of a script without blanks are long though of few words."""
+    lines = {
+        "ar": "هل أنت بخير؟", "ur": "یہ ٹھیک ہے۔", "hi": "वह घर गया।", "am": "ሰላም ነው።", "hy": "Նա գնաց։", "zh": "他今天早上很早就起床然后走了很远的路到城里去买东西看望他的老朋友们并且一起吃饭聊天直到晚上",
+        "ja": "「行きましょう。」", "th": "วันนี้อากาศดีมากเราจึงออกไปเดินเล่นที่สวนสาธารณะใกล้บ้านกันทั้งครอบครัว", "bo": "བཀྲ་ཤིས་བདེ་ལེགས།",
+    }
+    for text in lines.values():
+        assert q.line_fails(text.encode(), text.encode().split(), False) is None, text
+    arabic = "\n".join(f"{'ابتثجحخ'[k % 7] * 3} {'دذرزسش'[k % 6] * 4} {'صضطظع'[k % 5] * 3}؟" for k in range(40))
+    assert q.judge(arabic)[6] and q.judge(arabic)[7] == 0
+    assert q.line_fails("首页 新闻".encode(), "首页 新闻".encode().split(), False) == "navigation"
+
+
 def test_document_that_loses_too_much(spark):
     prose = " ".join(f"word{k}" for k in range(60)) + "."
     nav = "\n".join(f"a{k} | b{k} | c{k}" for k in range(40))
