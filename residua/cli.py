@@ -1,4 +1,4 @@
-"""Commands: predict, train, evaluate, filter-hits and sample-ids.
+"""Commands: predict, train, evaluate, search, filter-hits, fetch and sample-ids.
 
 Results go to standard output, warnings and errors to standard error. A command ends with 0, with 1 where
 its input or output fails it, and with 2 where an argument is out of range.
@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from residua import sinks
-from residua.operators import embedding, metrics, model, sampling
+from residua.operators import embedding, metrics, model, sampling, similarity
+from residua.operators.ranks import row_numbers
 from residua.scratch import materialize
 from residua.session import session, ship_package
-from residua.sources import fasta, hits
+from residua.sources import fasta, fasta_index, hits
 
 Make = Callable[[], embedding.Embedder]
 POSITIVE_DIR, NEGATIVE_DIR, MODELS_DIR = "data/positive", "data/negative", "models"
@@ -138,6 +139,36 @@ def run_filter_hits(spark: SparkSession, paths: list[str], out: str, percent: fl
     return int(len(there) < len(paths))
 
 
+def by_id(rows: DataFrame) -> DataFrame:
+    """id and sequence, of records that share an id the first by file and number."""
+    first = F.min(F.struct("file_path", "record_no", "sequence")).alias("first")
+    return rows.filter("id <> ''").groupBy("id").agg(first).select("id", "first.sequence")
+
+
+def run_search(spark: SparkSession, query: str, subjects: str, out: str, evalue: float, min_score: int) -> None:
+    """Writes one hit table of all queries' alignments with all subjects, by query and e-value."""
+    if evalue < 0 or min_score < 1:
+        raise CommandError("the e-value must not be negative, and the score must be 1 or more", 2)
+    sides = [materialize(by_id(sequences(spark, p)), "sequences") for p in (query, subjects)]
+    found = similarity.similar(*sides, similarity.Search(min_score=min_score)).filter(F.col("evalue") <= evalue)
+    sinks.write_lines(similarity.as_hit_lines(found.orderBy("query", "evalue", "subject")), out)
+
+
+def run_fetch(spark: SparkSession, path: str, ids: str, out: str, index: str) -> int:
+    """Writes the records and regions that a list names, in its order, as one file; makes the index where there is none. 1 where some aren't found."""
+    if not fasta.exists(spark, index):
+        fasta_index.save(fasta_index.build(spark, path), index)
+    lines = spark.read.text(ids).select("value", *fasta.place()).filter(F.trim("value") != "")
+    asked = row_numbers(lines.select(F.trim("value").alias("id"), "n"), [], "n", [], "ord").select("ord", "id")
+    asked = materialize(asked, "asked")
+    found = materialize(fasta_index.fetch(spark.read.parquet(index), asked), "found")
+    sinks.write_lines(found.orderBy("ord").select(fasta.format_record(F.col("id"), F.lit(None).cast("string"), F.col("sequence")).alias("value")), out)
+    missing = asked.join(found.select("ord"), "ord", "left_anti").select("id").distinct()
+    if n := missing.count():
+        warn(f"{n} ids are in no record, among them {', '.join(r.id for r in missing.orderBy('id').limit(5).collect())}")
+    return int(n > 0)
+
+
 def run_sample_ids(spark: SparkSession, folder: str, out: str, tab_glob: str, fasta_glob: str, column: int, n: int, seed: int) -> None:
     if column < 1 or n < 1:
         raise CommandError("the column and the number of ids must be 1 or more", 2)
@@ -190,6 +221,17 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("inputs", nargs="+")
     c.add_argument("--output", required=True)
     c.add_argument("--percent-id", type=float, default=90.0)
+    c = command("search")
+    c.add_argument("--query", required=True)
+    c.add_argument("--subjects", required=True, help="FASTA file or folder")
+    c.add_argument("--output", required=True)
+    c.add_argument("--evalue", type=float, default=1e-5)
+    c.add_argument("--min-score", type=int, default=similarity.Search().min_score)
+    c = command("fetch")
+    c.add_argument("--input", required=True, help="plain FASTA file or folder")
+    c.add_argument("--ids", required=True, help="file with an id or a region (id:from-to) in each line")
+    c.add_argument("--index", required=True, help="folder of the index; made where it isn't there")
+    c.add_argument("--output", required=True)
     c = command("sample-ids")
     c.add_argument("--input-dir", default=".")
     c.add_argument("--output-dir", required=True)
@@ -206,6 +248,11 @@ def run(a: argparse.Namespace) -> int:
     ship_package(spark)
     if a.command == "filter-hits":
         return run_filter_hits(spark, a.inputs, a.output, a.percent_id)
+    if a.command == "search":
+        run_search(spark, a.query, a.subjects, a.output, a.evalue, a.min_score)
+        return 0
+    if a.command == "fetch":
+        return run_fetch(spark, a.input, a.ids, a.output, a.index)
     if a.command == "sample-ids":
         run_sample_ids(spark, a.input_dir, a.output_dir, a.tab_pattern, a.fasta_pattern, a.tab_column, a.num_ids, a.seed)
         return 0

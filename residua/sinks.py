@@ -30,6 +30,17 @@ def write_predictions(df: DataFrame, path: str, one_file: bool = False) -> None:
         files.delete(p, True)
 
 
+def write_lines(df: DataFrame, path: str) -> None:
+    """One text file of the lines in ``value``, in the order of ``df``."""
+    parts = f"{path.rstrip('/')}.{uuid.uuid4().hex}.parts"
+    try:
+        df.select("value").write.text(parts)
+        join_parts(df.sparkSession, parts, "", path)
+    finally:
+        p, files = hadoop_path(df.sparkSession, parts)
+        files.delete(p, True)
+
+
 def join_parts(spark: SparkSession, folder: str, opening: str, path: str) -> None:
     """Makes one file of ``opening`` and the parts in ``folder``, in their order, and puts it in the place of ``path`` when it is whole.
 

@@ -212,6 +212,28 @@ def test_hits_are_scanned_once(spark, tmp_path, capsys):
     assert "50 lines skipped" in capsys.readouterr().err
 
 
+def test_search_filter_and_fetch(spark, tmp_path, capsys):
+    """The chain of commands: hits of a query, those above an identity, and the records that they name."""
+    t = str(tmp_path)
+    seq = "MKTAYIAKQRQISFVKSHFSRQLEERLGLIEVQAPILSRVGDGTQDNLSGAEKAVQVKVKALPDAQFEVV"
+    (tmp_path / "q.fa").write_text(f">q one\n{seq}\n")
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.fasta").write_text(f">same\nWWWW{seq[:60]}\n{seq[60:]}WW\n>other\n{'GPGPNDNDWYWY' * 9}\n>near\n{seq[:30]}{seq[30:].replace('Q', 'W').replace('L', 'I')}\n>same\nAAAA\n")
+    assert cli.main(["search", "--query", f"{t}/q.fa", "--subjects", f"{t}/s", "--output", f"{t}/h.tab", "--evalue", "1e-10"]) == 0
+    lines = [x.split("\t") for x in (tmp_path / "h.tab").read_text().splitlines()]
+    assert [x[:3] for x in lines] == [["q", "same", "100.00"], ["q", "near", lines[1][2]]] and 75 < float(lines[1][2]) <= 90 and len(lines[0]) == 12
+    assert lines[0][6:10] == ["1", "70", "5", "74"]
+    assert cli.main(["filter-hits", f"{t}/h.tab", "--output", f"{t}/kept"]) == 0
+    (tmp_path / "ids").write_text("".join(f"{r.value.split(chr(9))[1]}\n" for r in spark.read.text(f"{t}/kept").collect()) + "near:2-6\n")
+    for _ in range(2):  # the second time with the index that is there
+        assert cli.main(["fetch", "--input", f"{t}/s", "--ids", f"{t}/ids", "--index", f"{t}/index", "--output", f"{t}/o.fa"]) == 0
+        assert (tmp_path / "o.fa").read_text() == f">same\nWWWW{seq}WW\n>near:2-6\n{seq[1:6]}\n"
+    (tmp_path / "ids").write_text("nobody\n\nnear:1-2\n")
+    assert cli.main(["fetch", "--input", f"{t}/s", "--ids", f"{t}/ids", "--index", f"{t}/index", "--output", f"{t}/o.fa"]) == 1
+    assert "1 ids are in no record, among them nobody" in capsys.readouterr().err and (tmp_path / "o.fa").read_text() == f">near:1-2\n{seq[:2]}\n"
+    assert cli.main(["search", "--query", f"{t}/q.fa", "--subjects", f"{t}/s", "--output", f"{t}/h", "--evalue", "-1"]) == 2
+
+
 def test_sample_ids(spark, tmp_path):
     (tmp_path / "o.fasta").write_text(">a\nA\n>b\nA\n>c\nA\n")
     (tmp_path / "o.tab").write_text("q\tb\n")
