@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residua.llm.common import bitmap_of, join_skewed, map_batches, materialize
+from residua.llm.common import bitmap_of, document_key, join_counted, join_skewed, map_batches, materialize
 
 #: Kinds in their order: found by form, then by disclosure.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -346,7 +346,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
             out.append("".join(parts) + (text or "")[at:])
         yield {"doc_id": cols[0], "text": out}
 
-    found = find_personal_data(docs).select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), "spans").distinct()
-    rows = docs.select("doc_id", "text", text_digest().alias("own"))
-    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("own") == F.col("__digest")))
+    found = find_personal_data(docs).groupBy("doc_id", "digest").agg(F.first("spans").alias("spans"), F.count("*").alias("n"))
+    facts = materialize(found.select(*document_key("doc_id", F.col("digest")), "spans", "n"), "found")
+    rows = docs.select("doc_id", "text", *document_key("doc_id", text_digest()))
+    both = join_counted(rows, facts, ["unnamed", "known_id", "digest"], "n", docs.count())
     return map_batches(both.select("doc_id", "text", "spans"), run, "doc_id bigint, text string")
