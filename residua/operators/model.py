@@ -179,11 +179,10 @@ def train(df: DataFrame, key: str, features: str = "features", label: str = "lab
     weights, passes = fit_all(rows, folds)
     right = pass_over(rows, weights, folds, right_sums, 4)
     n_test = sum(tests.values())
-    test_right = right[0, 3]
     # the rows that a fold's fit leaves out are that fold and the test part
     by_fold = pass_over(rows.filter(~F.col("is_test")), weights, folds, right_sums, 4)[1 : folds + 1]
     each = by_fold[:, 3] / by_fold[:, 2]
-    return Training(as_model(df.sparkSession, weights[-1]), right[0, 1] / right[0, 0], test_right / n_test, float(each.mean()), float(2 * each.std()), passes)
+    return Training(as_model(df.sparkSession, weights[-1]), float(right[0, 1] / right[0, 0]), float(right[0, 3] / n_test), float(each.mean()), float(2 * each.std()), passes)
 
 
 def save(model: LogisticRegressionModel, path: str) -> None:

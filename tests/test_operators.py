@@ -92,6 +92,7 @@ def test_train_against_numpy(spark, tmp_path):
     spark.sparkContext.setJobGroup("each", "seven fits")
     single = [model.fit(split.filter("not is_test")), *(model.fit(split.filter("not is_test").filter(~F.col("key").isin([k for k in fitted if folds[k] == f]))) for f in range(5)), model.fit(split)]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(type(v) is float for v in (t.train_accuracy, t.test_accuracy, t.cv_mean, t.cv_two_std))
     assert t.steps < 15 and 4 * jobs("one") <= jobs("each"), (jobs("one"), jobs("each"))
     assert np.allclose([*single[-1].coefficients.toArray(), single[-1].intercept], [*t.model.coefficients.toArray(), t.model.intercept], atol=1e-6)
     w = newton(fitted)
@@ -118,3 +119,10 @@ def test_fits_at_once(spark, monkeypatch):
     for k, taken in enumerate(model.members(fold < 0, fold, 3)):
         p = 1 / (1 + np.exp(-a[taken] @ weights[k]))
         assert np.abs(a[taken].T @ (p - y[taken]) + reg * weights[k]).max() < 1e-6
+
+
+def test_train_eval_query(spark):
+    from residua.plans.catalog import QUERIES, SF_SMALL
+
+    (row,) = QUERIES["train_eval"](spark, SF_SMALL).collect()
+    assert all(0.5 <= v <= 1 for v in row[:3]) and row.cv_two_std >= 0
