@@ -2,7 +2,11 @@
 
 Every three consecutive lines are hashed. Windows that occur more than once in the corpus stay where
 they occur first, in order of doc_id and line; the lines that later occurrences cover are removed,
-overlapping occurrences as one span. Only hashes and positions are shuffled for the search. Texts that a
+overlapping occurrences as one span.
+
+A task looks at its texts in runs. What isn't the first place of a window within its run can't be the first in
+the corpus, so only one place for each window of a run has to meet those of other runs: one shuffle of hashes and
+positions, in which a window has at most as many rows as there are runs, however often it occurs. Texts that a
 bounded bitmap tells to have nothing to cut stay where they lie; the others move once, to meet their spans.
 """
 
@@ -10,13 +14,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from residua.llm.common import any_names, bitmap_of, document_key, join_counted, map_batches, marked, materialize
+from residua.llm.common import any_names, bitmap_of, document_key, join_counted, marked, materialize
 
 WINDOW_LINES = 3
+#: Windows that a run holds before it is sorted (some 50 MB); a longer text is a run of its own.
+RUN_WINDOWS = 1 << 20
+
+PLACES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("repeat", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("line", pa.int32()), ("times", pa.int32())])
 
 
 def line_key(line: str) -> bytes:
@@ -24,34 +34,63 @@ def line_key(line: str) -> bytes:
     return " ".join(line.lower().split()).encode("utf-8")
 
 
-def window_hashes(text: str, window: int = WINDOW_LINES) -> list[int]:
-    """128-bit hashes of all windows in order; a window whose lines are all blank has none (0)."""
+def window_hashes(text: str, window: int = WINDOW_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """Start lines of all windows in order, and their 128-bit hashes as two columns; windows of blank lines are left out."""
     keys = [line_key(x) for x in text.split("\n")]
-    out = []
-    for k in range(len(keys) - window + 1):
-        some = keys[k : k + window]
-        out.append(xxhash.xxh3_128_intdigest(b"\n".join(some)) if any(some) else 0)
-    return out
-
-
-def windows(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
-    """doc_id, digest (of the text), line (of the window's start, from 0) and the window's hash as h1, h2."""
-
-    def run(cols: list[list]) -> Iterator[dict[str, list]]:
-        for lo in range(0, len(cols[0]), 500):
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "digest", "line", "h1", "h2")}
-            for doc_id, text, digest in zip(*(c[lo : lo + 500] for c in cols), strict=True):
-                for k, h in enumerate(window_hashes(text, window)):
-                    if h:
-                        rows["doc_id"].append(doc_id)
-                        rows["digest"].append(digest)
-                        rows["line"].append(k)
-                        rows["h1"].append((h >> 64) - (1 << 63))
-                        rows["h2"].append((h & (1 << 64) - 1) - (1 << 63))
-            yield rows
-
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", digest("text").alias("digest"))
-    return map_batches(rows, run, "doc_id bigint, digest bigint, line int, h1 bigint, h2 bigint")
+    starts = [k for k in range(len(keys) - window + 1) if any(keys[k : k + window])]
+    hashes = b"".join(xxhash.xxh3_128_digest(b"\n".join(keys[k : k + window])) for k in starts)
+    return np.array(starts, np.int32), np.frombuffer(hashes, np.int64).reshape(-1, 2)
+
+
+def first_places(doc_id: np.ndarray, named: np.ndarray, digest: np.ndarray, line: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+    """The places of a run, each once with its ``times``; those behind the first one of their window are numbered in ``repeat``."""
+    order = np.lexsort((line, digest, doc_id, named, hashes[:, 1], hashes[:, 0]))
+    doc_id, named, digest, line, hashes = doc_id[order], named[order], digest[order], line[order], hashes[order]
+    new_window = np.ones(len(order), bool)
+    new_window[1:] = (hashes[1:] != hashes[:-1]).any(axis=1)
+    new_place = new_window.copy()
+    for column in (named, doc_id, digest, line):
+        new_place[1:] |= column[1:] != column[:-1]
+    at = np.flatnonzero(new_place)
+    times = np.diff(np.append(at, len(order))).astype(np.int32)
+    first = new_window[at]
+    columns = [
+        pa.array(hashes[at, 0]), pa.array(hashes[at, 1]), pa.array(np.arange(len(at), dtype=np.int32), mask=first),
+        pa.array(doc_id[at], mask=~named[at]), pa.array(digest[at]), pa.array(line[at]), pa.array(times),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=PLACES)
+
+
+def places(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
+    """The places of all windows by runs: h1, h2 (the window's hash), repeat (null for the run's first place of it),
+    doc_id, digest (of the text), line (of the window's start, from 0) and times (rows of the run that have this place)."""
+    size = RUN_WINDOWS
+
+    def flushed(run: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if run:
+            lengths = [len(lines) for _, _, lines, _ in run]
+            ids = np.repeat(np.array([0 if d is None else d for d, *_ in run], np.int64), lengths)
+            named = np.repeat(np.array([d is not None for d, *_ in run]), lengths)
+            digests = np.repeat(np.array([g for _, g, *_ in run], np.int64), lengths)
+            found = first_places(ids, named, digests, np.concatenate([x for _, _, x, _ in run]), np.concatenate([h for *_, h in run]))
+            for lo in range(0, len(found), 100_000):
+                yield found.slice(lo, 100_000)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, n = [], 0
+        for batch in batches:
+            for doc_id, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines, hashes = window_hashes(text, window)
+                if len(lines):
+                    run.append((doc_id, digest, lines, hashes))
+                    n += len(lines)
+                if n >= size:
+                    yield from flushed(run)
+                    run, n = [], 0
+        yield from flushed(run)
+
+    rows = docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text", digest("text").alias("digest"))
+    return rows.mapInArrow(find, "h1 bigint, h2 bigint, repeat int, doc_id bigint, digest bigint, line int, times int")
 
 
 def digest(name: str) -> Column:
@@ -60,11 +99,10 @@ def digest(name: str) -> Column:
 
 def spans_to_cut(docs: DataFrame, window: int = WINDOW_LINES) -> DataFrame:
     """doc_id, digest, ``cuts``: merged spans [start, end) of lines that later occurrences cover, and ``n``: rows of that document."""
-    found = materialize(windows(docs, window), "windows")
-    place = F.struct("doc_id", "digest", "line")
-    repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter(~F.col("first").eqNullSafe(F.col("last")))
-    later = join_counted(found, repeated, ["h1", "h2"], "n", found.count()).filter(~place.eqNullSafe(F.col("first")))
-    starts = later.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("starts"), F.count("*").alias("places"))
+    # repeats within a run are later ones whatever else there is: their numbers spread them over the partitions
+    of_window = Window.partitionBy("h1", "h2", "repeat").orderBy("doc_id", "digest", "line")
+    later = places(docs, window).withColumn("rank", F.rank().over(of_window)).filter("repeat is not null or rank > 1")
+    starts = later.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("starts"), F.sum("times").alias("places"))
     # a document's repeated rows have all places alike
     return starts.select("doc_id", "digest", merge_spans("starts", window).alias("cuts"), F.expr("places div size(starts)").alias("n"))
 

@@ -94,3 +94,32 @@ def test_odd_rows_by_brute_force(odd_docs):
     found = {(a, d, t): want[(a, d), t] for a, d, _, t in order}
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_cut) for r in lw.cut_lines(odd_docs).collect()), key=repr)
     assert got == sorted(((d, *(found[d is not None, d or 0, t] if t is not None else (None, 0, 0))) for d, t, _ in rows), key=repr)
+
+
+def test_runs(spark, monkeypatch):
+    """Runs of one text, of some and of all, over few and many partitions, find the same; so do rows that repeat within and between runs."""
+    rng = random.Random(5)
+    docs = [(k % 90 if k % 7 else None, "\n".join(rng.choice("abc ") for _ in range(rng.randrange(0, 12)))) for k in range(120)]
+    docs += [docs[k] for k in (3, 3, 40, 70)]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = []
+    for size, parts in ((1, 7), (25, 3), (1 << 20, 1), (1 << 20, 11)):
+        monkeypatch.setattr(lw, "RUN_WINDOWS", size)
+        got.append(sorted(map(tuple, lw.cut_lines(table.repartition(parts)).collect()), key=repr))
+    assert all(x == got[0] for x in got) and len(got[0]) == len(docs) and any(r[3] for r in got[0])
+
+
+def test_a_window_has_a_row_for_each_run(spark):
+    """However often a passage occurs, what has to meet is one place of each run; the rest is spread by number."""
+    table = spark.createDataFrame([(k, "p\nq\nr\np\nq\nr") for k in range(2000)], "doc_id bigint, text string").repartition(5)
+    found = lw.places(table)
+    assert found.filter("repeat is null").groupBy("h1", "h2").count().agg(F.max("count")).first()[0] <= 5
+    assert found.count() == 2000 * 4 and found.agg(F.sum("times")).first()[0] == 2000 * 4
+
+
+def test_rows_of_a_document(spark):
+    """``n`` counts a document's rows, in one run or several."""
+    rows = [(1, "a\nb\nc"), *[(2, "a\nb\nc\nd")] * 5, (3, "x\ny\nz")]
+    for parts in (1, 4):
+        spans = lw.spans_to_cut(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)).collect()
+        assert [(r.doc_id, [tuple(c) for c in r.cuts], r.n) for r in spans] == [(2, [(0, 3)], 5)]
