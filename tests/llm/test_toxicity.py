@@ -11,9 +11,9 @@ def test_query_on_labels_it_has_not_seen(spark):
     known, held = labels.filter("doc_id % 2 = 0"), {r.doc_id: r.toxic for r in labels.filter("doc_id % 2 = 1").collect()}
     said = {r.doc_id: r for r in t.score_documents(docs, t.fit_severity(docs, known)).collect()}
     clean = [d for d, y in held.items() if not y]
-    assert sum(said[d].toxic for d in clean) <= 0.005 * len(clean)
+    assert sum(said[d].toxic for d in clean) <= 0.003 * len(clean)
     toxic = [d for d, y in held.items() if y]
-    assert sum(said[d].toxic for d in toxic) >= 0.85 * len(toxic)
+    assert sum(said[d].toxic for d in toxic) >= 0.88 * len(toxic)
     assert op4_toxicity_ordinal(spark, sf).count() == docs.count()
 
 
